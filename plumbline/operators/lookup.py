@@ -1,4 +1,4 @@
-"""Joining facts with a derived lookup table whose size is not known beforehand."""
+"""Size checks, and joins with derived tables whose size is not known beforehand."""
 
 from __future__ import annotations
 
@@ -9,6 +9,29 @@ from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 20_000
 
+# Rows that one window partition may hold.
+WINDOW_ROWS = 4_000_000
+
+
+def large_groups(
+    df: DataFrame, keys: Sequence[str], window_rows: int = WINDOW_ROWS, broadcast_rows: int = BROADCAST_ROWS
+) -> DataFrame | None:
+    """The keys with more rows than one window partition may hold; None if there are none.
+
+    The table is marked for broadcast if it is short enough. Most tables are so small as a
+    whole that counting the rows answers the question, and for a written table that only
+    reads file footers.
+    """
+    if df.count() <= window_rows:
+        return None
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("_size")).where(F.col("_size") > window_rows).drop("_size")
+    rows = sizes.limit(broadcast_rows + 1).collect()
+    if not rows:
+        return None
+    if len(rows) > broadcast_rows or not keys:
+        return sizes
+    return F.broadcast(df.sparkSession.createDataFrame(rows, sizes.schema))
+
 
 def attach(
     facts: DataFrame,

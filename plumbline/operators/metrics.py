@@ -20,8 +20,9 @@ from plumbline.functions.grids import (
     bin_edges,
     calibration_bin,
 )
-from plumbline.functions.scalars import absolute_error, null_group, predicted, safe_ratio, zero_ratio
-from plumbline.operators.curves import ranking_curves
+from plumbline.functions.scalars import absolute_error, count_reached, null_group, predicted, safe_ratio, zero_ratio
+from plumbline.operators.curves import areas, ranking_curves, with_running_totals
+from plumbline.operators.lookup import WINDOW_ROWS, attach, large_groups
 
 METRIC_COLUMNS = [
     "rows",
@@ -115,16 +116,34 @@ def with_confusion_ratios(counts: DataFrame) -> DataFrame:
     return counts.withColumns(confusion_ratios(*[F.col(n) for n in names]))
 
 
-def _binned(counts: DataFrame, keys: Sequence[str], guess: Column, bins: int, edges: str) -> DataFrame:
+def _sums(counts: DataFrame, keys: Sequence[str], guess: Column, bins: int, edges: str, curves: bool) -> DataFrame:
+    """Per key: confusion counts, calibration and, from running totals if present, the areas."""
     pos, neg, score = F.col("_pos"), F.col("_neg"), F.col("_score")
-    return counts.groupBy(*keys, calibration_bin(score, bins, edges).alias("_bin")).agg(
+    parts = [
         F.sum(pos + neg).alias("_n"),
         F.sum(pos).alias("_y"),
         F.sum((pos + neg) * score).alias("_p"),
         F.sum(pos * (1.0 - score) * (1.0 - score) + neg * score * score).alias("_sq"),
         F.sum(F.when(guess == 1, pos).otherwise(0)).alias("_tp"),
         F.sum(F.when(guess == 1, neg).otherwise(0)).alias("_fp"),
-    )
+    ]
+    if curves:
+        parts += [F.sum("_ap").alias("_ap"), F.sum("_area").alias("_area")]
+        parts += [F.max("_np").alias("_np"), F.max("_nn").alias("_nn")]
+    binned = counts.groupBy(*keys, calibration_bin(score, bins, edges).alias("_bin")).agg(*parts)
+    gap = F.when(F.col("_bin").isNotNull(), F.abs(F.col("_y") - F.col("_p")))
+    totals = {
+        "rows": F.sum("_n"),
+        "true_positive": F.sum("_tp"),
+        "true_negative": F.sum("_n") - F.sum("_y") - F.sum("_fp"),
+        "false_positive": F.sum("_fp"),
+        "false_negative": F.sum("_y") - F.sum("_tp"),
+        "brier_score": F.try_divide(F.sum("_sq"), F.sum("_n")),
+        "ece": F.try_divide(F.coalesce(F.sum(gap), F.lit(0.0)), F.sum("_n")),
+    }
+    if curves:
+        totals.update(areas(F.col("_ap"), F.col("_area"), F.col("_np"), F.col("_nn")))
+    return binned.groupBy(*keys).agg(*[c.alias(n) for n, c in totals.items()])
 
 
 def evaluate(
@@ -138,44 +157,53 @@ def evaluate(
     one_class_ap: float | None = 0.0,
     y: str = "y_true",
     p: str = "y_prob",
+    window_rows: int = WINDOW_ROWS,
 ) -> DataFrame:
     """All metrics per key: ``keys`` + ``METRIC_COLUMNS`` (without the curves if so asked).
 
     ``threshold`` is a number or an expression of the keys. ``edges`` is the rule for bin
     edges in the calibration error. ``min_rows`` leaves out smaller groups. Average precision
     without positives is ``one_class_ap``; with ``None`` it is NULL whenever a class is missing.
+
+    Groups of up to ``window_rows`` rows take one pass: one shuffle of the counts by (key,
+    score), one by key. Larger groups get their areas from running totals over score slices.
     """
     keys = list(keys)
     counts = score_counts(scored, keys, y, p)
     guess = predicted(F.col("_score"), threshold)
-    binned = _binned(counts, keys, guess, bins, edges)
-    gap = F.when(F.col("_bin").isNotNull(), F.abs(F.col("_y") - F.col("_p")))
-    sums = binned.groupBy(*keys).agg(
-        F.sum("_n").alias("rows"),
-        F.sum("_tp").alias("true_positive"),
-        (F.sum("_n") - F.sum("_y") - F.sum("_fp")).alias("true_negative"),
-        F.sum("_fp").alias("false_positive"),
-        (F.sum("_y") - F.sum("_tp")).alias("false_negative"),
-        (F.sum("_sq") / F.sum("_n")).alias("brier_score"),
-        (F.coalesce(F.sum(gap), F.lit(0.0)) / F.sum("_n")).alias("ece"),
-    )
-    if min_rows > 0:
-        sums = sums.where(F.col("rows") >= min_rows)
-    result = with_confusion_ratios(sums)
     names = [m for m in METRIC_COLUMNS if curves or m not in ("pr_auc", "roc_auc")]
-    if not curves:
-        return result.select(*keys, *names)
-    ranked = ranking_curves(counts, keys, "_score", "_pos", "_neg")
-    if keys:
-        result = result.join(ranked, keys)
-    else:
+
+    def one_pass(part: DataFrame) -> DataFrame:
+        if curves:
+            part = with_running_totals(part, keys, "_score", "_pos", "_neg")
+        return _sums(part, keys, guess, bins, edges, curves)
+
+    def in_slices(part: DataFrame) -> DataFrame:
+        sums = _sums(part, keys, guess, bins, edges, False)
+        ranked = ranking_curves(part, keys, "_score", "_pos", "_neg")
+        if keys:
+            return sums.join(ranked, keys)
         pair = ranked.select(F.struct("pr_auc", "roc_auc").alias("c")).scalar()
-        result = result.withColumn("_c", pair).select("*", "_c.pr_auc", "_c.roc_auc")
-    if one_class_ap is None:
-        ap = F.when(F.col("roc_auc").isNotNull(), F.col("pr_auc"))
+        return sums.withColumn("_c", pair).select("*", "_c.pr_auc", "_c.roc_auc").drop("_c")
+
+    large = large_groups(scored, keys, window_rows) if curves else None
+    if large is None:
+        sums = one_pass(counts)
+    elif not keys:
+        sums = in_slices(counts)
     else:
-        ap = F.coalesce(F.col("pr_auc"), F.lit(one_class_ap))
-    return result.withColumn("pr_auc", ap).select(*keys, *names)
+        small_part = one_pass(counts.join(large, keys, "left_anti"))
+        sums = small_part.unionByName(in_slices(counts.join(large, keys, "left_semi")))
+    if min_rows > 0:
+        sums = sums.where(F.col("rows") >= min_rows)
+    result = with_confusion_ratios(sums)
+    if curves:
+        if one_class_ap is None:
+            ap = F.when(F.col("roc_auc").isNotNull(), F.col("pr_auc"))
+        else:
+            ap = F.coalesce(F.col("pr_auc"), F.lit(one_class_ap))
+        result = result.withColumn("pr_auc", ap)
+    return result.select(*keys, *names)
 
 
 def subgroup_metrics(
@@ -257,8 +285,6 @@ def threshold_counts(
     Each score is filed under the number of thresholds it reaches; the counts at a threshold
     are the sums over all higher files.
     """
-    from plumbline.functions.grids import count_reached
-
     keys, grid = list(keys), sorted(thresholds)
     filed = scored.groupBy(*keys, count_reached(F.col(p), grid).alias("_k")).agg(
         F.count_if(F.col(y) == 1).alias("_pos"), F.count_if(F.col(y) == 0).alias("_neg")
@@ -335,8 +361,6 @@ def with_model_threshold(scored: DataFrame, tuned: DataFrame | None = None) -> D
         default = F.when(F.col("model") == model, value).otherwise(default)
     if tuned is None:
         return scored.withColumn("threshold", default)
-    from plumbline.operators.lookup import attach
-
     joined = attach(scored, tuned.select("model", F.col("threshold").alias("_tuned")), ["model"])
     return joined.withColumn("threshold", F.coalesce("_tuned", default)).drop("_tuned")
 

@@ -1,10 +1,11 @@
 """Exact quantiles of any number of rows, without gathering the values in one task.
 
-``percentile`` keeps every distinct value of a group in one aggregation buffer. Here a
-group is cut into ordered buckets first: one count per bucket tells which buckets hold the
-wanted ranks, and only the values of those buckets are looked at again. Buckets are narrow
-relative to the value, and a bucket with very many values is cut a second time, so that no
-window ever sees more than a bounded number of rows, however the values are spread.
+``percentile`` keeps every distinct value of a group in one aggregation buffer. Here values
+are counted first, and a small table is ranked by one window per key. A large table is cut
+into ordered buckets: one count per bucket tells which buckets hold the wanted ranks, and
+only the values of those buckets are looked at again. Buckets are narrow relative to the
+value and are cut a second time, so that no window sees more than a bounded number of rows,
+however the values are spread.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import to_number
+from plumbline.operators.lookup import WINDOW_ROWS
 
 # Buckets per doubling of the value, for the first cut and within one bucket of it.
 COARSE, FINE = 256, 65536
@@ -42,28 +44,24 @@ def _lookup(ranks: Column, values: Column, total: Column, p: float) -> Column:
     return low + (high - low) * (place - F.floor(place))
 
 
-def quantiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: Column,
-    probs: Sequence[float],
-    few_keys: bool | None = None,
-) -> DataFrame:
-    """Linear-interpolation quantiles per key: columns ``keys``, ``n``, ``quantiles`` (array).
+def _ranked_in_one_window(base: DataFrame, keys: list[str], probs: Sequence[float]) -> DataFrame:
+    """The wanted ranks with their values, by one window over the counted values of each key."""
+    per_key = W.partitionBy(*keys)
+    values = base.groupBy(*keys, "_v").agg(F.count("*").alias("_c"))
+    ordered = values.select(
+        "*",
+        F.sum("_c").over(per_key).alias("n"),
+        (F.sum("_c").over(per_key.orderBy("_v")) - F.col("_c")).alias("_before"),
+    )
+    last = F.col("_before") + F.col("_c")
+    mine = F.filter(_needed_ranks(F.col("n"), probs), lambda r: (r >= F.col("_before")) & (r < last))
+    return ordered.select(*keys, "n", "_v", F.explode(mine).alias("_rank"))
 
-    Set ``few_keys`` where the number of keys is fixed by the caller (column names, say):
-    the wanted buckets are then few, and are broadcast so that only matching rows move.
-    Otherwise all values are counted by (key, value), which splits a hot key over many
-    tasks. Missing values and NaN are ignored; keys must not be NULL.
-    """
-    keys = list(keys)
-    few = not keys if few_keys is None else few_keys
+
+def _ranked_in_buckets(base: DataFrame, keys: list[str], probs: Sequence[float], few: bool) -> DataFrame:
+    """The same from counts per bucket, then per value of the buckets that hold wanted ranks."""
     spot = _position(F.col("_v"))
-    base = (
-        df.select(*keys, to_number(value).alias("_v"))
-        .where(F.col("_v").isNotNull())
-        .withColumn("_b", F.floor(spot))
-    )
+    base = base.withColumn("_b", F.floor(spot))
 
     # Count per bucket, and the buckets in which the wanted ranks lie.
     per_key = W.partitionBy(*keys)
@@ -95,10 +93,35 @@ def quantiles(
     hit = hit.select(*keys, "n", "_b", "_s", "_rank", (F.col("_at") - F.col("_sbefore")).alias("_in"))
     in_slice = W.partitionBy(*keys, "_b", "_s")
     ordered = values.withColumn("_vbefore", F.sum("_c").over(in_slice.orderBy("_v")) - F.col("_c"))
-    found = ordered.join(hit, [*keys, "_b", "_s"]).where(
+    return ordered.join(hit, [*keys, "_b", "_s"]).where(
         (F.col("_in") >= F.col("_vbefore")) & (F.col("_in") < F.col("_vbefore") + F.col("_c"))
     )
 
+
+def quantiles(
+    df: DataFrame,
+    keys: Sequence[str],
+    value: Column,
+    probs: Sequence[float],
+    few_keys: bool | None = None,
+    window_rows: int = WINDOW_ROWS,
+) -> DataFrame:
+    """Linear-interpolation quantiles per key: columns ``keys``, ``n``, ``quantiles`` (array).
+
+    A table of at most ``window_rows`` rows takes one pass, a larger one two. Set ``few_keys``
+    where the number of keys is fixed by the caller (column names, say): the wanted buckets
+    are then few, and are broadcast so that only matching rows move. Otherwise all values are
+    counted by (key, value), which splits a hot key over many tasks. Missing values and NaN
+    are ignored; keys must not be NULL.
+    """
+    keys = list(keys)
+    few = not keys if few_keys is None else few_keys
+    base = df.select(*keys, to_number(value).alias("_v")).where(F.col("_v").isNotNull())
+    if df.count() <= window_rows:
+        found = _ranked_in_one_window(base, keys, probs)
+    else:
+        found = _ranked_in_buckets(base, keys, probs, few)
+
     # At most two ranks per quantile and key are gathered here.
     pairs = found.groupBy(*keys, "n").agg(F.sort_array(F.collect_list(F.struct("_rank", "_v"))).alias("_p"))
     ranks, at = F.col("_p._rank"), F.col("_p._v")

@@ -31,7 +31,10 @@ def read_nested(spark: SparkSession, path: str, limit: int = 0) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """CSV with header and quoted, possibly multi-line text. The schema is never inferred."""
+    """CSV with header and quoted, possibly multi-line text; empty text is NULL.
+
+    The schema is never inferred.
+    """
     return (
         spark.read.schema(schema)
         .option("header", True)

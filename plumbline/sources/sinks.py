@@ -15,7 +15,9 @@ def write_report(df: DataFrame, path: str, fmt: str = "parquet", partition_by: S
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     if fmt == "csv":
-        writer.option("header", True).option("quote", '"').option("escape", '"').csv(path)
+        # Spaces at either end belong to the text; the writer would cut them off.
+        spaces = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+        writer.options(header=True, quote='"', escape='"', **spaces).csv(path)
     else:
         writer.parquet(path)
     return path
