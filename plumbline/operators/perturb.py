@@ -134,6 +134,21 @@ def degradation_scenarios(
     return damaged.where(~dropped)
 
 
+def scenario_text(kind: Column, rate: Column) -> Column:
+    """What a degradation scenario does, in the words of the report."""
+    percent = F.concat(F.round(rate * 100).cast("int").cast("string"), F.lit("%"))
+    both = F.concat(F.lit("en el "), percent, F.lit(" de train y test"))
+    fields = F.lit(" poniendo description_length=0 y has_description=0.")
+    kept = F.lit(" de ejemplos positivos en entrenamiento; el test no se altera.")
+    return (
+        F.when(kind == "none", "Datos originales preparados, sin degradación artificial.")
+        .when(kind == "priority_null", F.concat(F.lit("Se elimina priority "), both, F.lit(".")))
+        .when(kind == "description_loss", F.concat(F.lit("Se simula pérdida textual "), both, fields))
+        .when(kind == "priority_noise", F.concat(F.lit("Se cambia aleatoriamente priority "), both, F.lit(".")))
+        .when(kind == "positive_undersample_train", F.concat(F.lit("Se conserva solo el "), percent, kept))
+    )
+
+
 def choose_group(df: DataFrame, candidates: Sequence[str] = tuple(GROUP_CANDIDATES)) -> DataFrame:
     """One row: the first candidate column with three or more values, its rarest and most
     frequent value. Ties go to the value that sorts first."""

@@ -1,6 +1,12 @@
 """All registered queries. Importing the modules registers them."""
 
-from plumbline.plans import queries_change, queries_metrics, queries_scalar, queries_tables  # noqa: F401
+from plumbline.plans import (  # noqa: F401
+    queries_change,
+    queries_jobs,
+    queries_metrics,
+    queries_scalar,
+    queries_tables,
+)
 from plumbline.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
