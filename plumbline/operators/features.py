@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,6 +33,7 @@ IDENTIFIER_WORDS = [
     "comment",
 ]
 MOST_LEVELS = 50
+MOST_CODES = 100_000
 
 
 def looks_like_identifier(name: str) -> bool:
@@ -97,6 +98,22 @@ def most_frequent(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return counts.groupBy("column").agg(F.min_by(value, F.struct(-F.col("count"), value)).alias("value"))
 
 
+def category_levels(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
+    """The values of each column, most frequent first, to be one-hot encoded.
+
+    The values become model state, so they are read to the driver; more of them than a model
+    can hold is an error.
+    """
+    counts = value_counts(df, columns).where(F.col("value").isNotNull())
+    rows = counts.limit(MOST_CODES + 1).collect()
+    if len(rows) > MOST_CODES:
+        raise ValueError(f"more than {MOST_CODES} values to encode in {list(columns)}")
+    levels: dict[str, list[str]] = {c: [] for c in columns}
+    for row in sorted(rows, key=lambda x: (-x["count"], x["value"])):
+        levels[row["column"]].append(row["value"])
+    return levels
+
+
 def medians(df: DataFrame, columns: Sequence[str], approx: bool = False) -> DataFrame:
     return column_quantiles(df, columns, [0.5], approx).select("column", F.col("quantiles")[0].alias("value"))
 
@@ -163,8 +180,8 @@ def fit_features(
     Numeric columns without any value are left out. Values unseen in training get a zero code.
     """
     fills: dict = {}
-    if categorical:
-        fills.update({r.column: r.value for r in most_frequent(train, categorical).collect()})
+    levels = category_levels(train, categorical) if categorical else {}
+    fills.update({c: found[0] for c, found in levels.items() if found})
     if numeric:
         fills.update({r.column: r.value for r in medians(train, numeric, approx).collect()})
     numeric = [c for c in numeric if c in fills]
@@ -179,12 +196,15 @@ def fit_features(
     if named:
         indexed, coded = [f"_idx{c}" for c in named], [f"_hot{c}" for c in named]
         stages = [
-            StringIndexer(inputCols=named, outputCols=indexed, handleInvalid="keep"),
+            *[
+                StringIndexerModel.from_labels(levels[c], inputCol=f"_cat_{c}", outputCol=f"_idx_cat_{c}", handleInvalid="keep")
+                for c in categorical
+            ],
             OneHotEncoder(inputCols=indexed, outputCols=coded, dropLast=True),
         ]
         parts = [*coded, *parts]
     stages.append(VectorAssembler(inputCols=parts, outputCol="features"))
-    cats = [F.coalesce(F.col(c).cast("string"), F.lit(fills.get(c, ""))).alias(f"_cat_{c}") for c in categorical]
+    cats = [F.lit(fills.get(c, "")).alias(f"_cat_{c}") for c in categorical]
     nums = [F.lit(0.0).alias(f"_num_{c}") for c in numeric]
     encoder = Pipeline(stages=stages).fit(train.select(*cats, *nums))
     return FeatureModel(list(categorical), numeric, fills, means, scales, encoder)

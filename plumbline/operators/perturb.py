@@ -119,7 +119,9 @@ def degradation_scenarios(
     key = F.concat_ws("-", F.col(id_column).cast("string"), F.col("scenario"))
     kind = F.col("degradation_type")
     struck = hit(key, "degrade", F.col("degradation_rate"))
-    noisy = category_noise(spread, "priority", (kind == "priority_noise") & struck, "degrade", key, source=df)
+    noisy = spread
+    if any(t == "priority_noise" for _, t, _ in scenarios):
+        noisy = category_noise(spread, "priority", (kind == "priority_noise") & struck, "degrade", key, source=df)
     blank = (kind == "priority_null") & struck
     lost = (kind == "description_loss") & struck
     damaged = noisy.withColumns(
@@ -173,20 +175,31 @@ def chosen_group(df: DataFrame, candidates: Sequence[str] = tuple(GROUP_CANDIDAT
     return row.group_feature, row.minority_group, row.majority_group
 
 
-def bias_predicates(train: DataFrame, group: str, minority: str, majority: str, id_column: str = "id") -> dict[str, Column]:
-    """Which rows each bias scenario touches, as predicates: exact counts, chosen by hash."""
+def bias_predicates(
+    train: DataFrame,
+    group: str,
+    minority: str,
+    majority: str,
+    scenarios: Sequence[str] = tuple(BIAS_SCENARIOS),
+    id_column: str = "id",
+) -> dict[str, Column]:
+    """Which rows each of the scenarios touches, as predicates: exact counts, chosen by hash."""
     same = F.col(group).cast("string")
     rare, common = F.coalesce(same == minority, F.lit(False)), F.coalesce(same == majority, F.lit(False))
     label = F.col(TARGET)
 
-    def exact(where: Column, size, salt: str) -> Column:
-        return exact_fraction(train, where, size, id_column, salt)
+    def exact(scenario: str, where: Column, size, salt: str) -> Column:
+        return exact_fraction(train, where, size, id_column, salt) if scenario in scenarios else F.lit(False)
+
+    def kept(n: int) -> int:
+        return min(n, max(1, int(n * KEEP_MINORITY)))
 
+    under, minor, major = BIAS_SCENARIOS[1], BIAS_SCENARIOS[4], BIAS_SCENARIOS[5]
     return {
         "minority": rare,
-        "kept_minority": exact(rare, lambda n: min(n, max(1, int(n * KEEP_MINORITY))), "keep-minority"),
-        "flip_to_0": exact(rare & (label == 1), lambda n: int(n * FLIP_MINORITY), "flip-minority"),
-        "flip_to_1": exact(common & (label == 0), lambda n: int(n * FLIP_MAJORITY), "flip-majority"),
+        "kept_minority": exact(under, rare, kept, "keep-minority"),
+        "flip_to_0": exact(minor, rare & (label == 1), lambda n: int(n * FLIP_MINORITY), "flip-minority"),
+        "flip_to_1": exact(major, common & (label == 0), lambda n: int(n * FLIP_MAJORITY), "flip-majority"),
     }
 
 
@@ -202,7 +215,7 @@ def bias_scenarios(
     unknown = set(scenarios) - set(BIAS_SCENARIOS)
     if unknown:
         raise ValueError(f"unknown scenarios: {sorted(unknown)}")
-    touched = bias_predicates(train, group, minority, majority, id_column)
+    touched = bias_predicates(train, group, minority, majority, scenarios, id_column)
     marked = train.withColumns({f"_{n}": p for n, p in touched.items()})
     spread = marked.withColumn("scenario", F.explode(F.array(*[F.lit(s) for s in scenarios])))
     now = F.col("scenario")

@@ -29,6 +29,7 @@ Scorer = Callable[[DataFrame, DataFrame, str, str], DataFrame]
 FAIRNESS_GROUPS = ["project_key", "issuetype", "priority", "status", "has_description", "created_year", "created_month"]
 FAIRNESS_ROWS, BIAS_ROWS, SUBGROUP_ROWS = 10, 20, 30
 SEEDS = list(range(42, 52))
+FREE_TEXT = ["summary", "description"]
 EVALUATED = ["rows", "positive_rate_true", "positive_rate_predicted", *QUALITY_METRICS]
 SHORT = {"false_positive_rate": "fpr", "false_negative_rate": "fnr"}
 FAIRNESS_SHORT = {
@@ -106,13 +107,24 @@ def union_all(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
+def narrow(df: DataFrame) -> DataFrame:
+    """Without free text, of which the models only use the length."""
+    return df.drop(*FREE_TEXT)
+
+
 def split_labelled(df: DataFrame, test_size: float = 0.2, seed: int = 42) -> DataFrame:
-    rows = prepare.labelled_rows(df)
-    return selection.with_split(rows, selection.stratified_test(rows, TARGET, test_size, seed=seed))
+    """The labelled rows with their side of a stratified split, written by side.
+
+    A fit reads its training rows many times; written, they are one pruned partition.
+    """
+    rows = narrow(prepare.labelled_rows(df))
+    made = selection.with_split(rows, selection.stratified_test(rows, TARGET, test_size, seed=seed))
+    return stage(made, "split", partition_by=["split"])
 
 
-def halves(split: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return split.where("split = 'train'").drop("split"), split.where("split = 'test'").drop("split")
+def halves(split: DataFrame, column: str = "split") -> tuple[DataFrame, DataFrame]:
+    side = F.col(column)
+    return split.where(side == "train").drop(column), split.where(side == "test").drop(column)
 
 
 # ---------------------------------------------------------------- data reports
@@ -211,14 +223,14 @@ def degradation_experiment(
     df: DataFrame, scorer: Scorer, scenarios: Sequence[tuple] = tuple(perturb.DEGRADATION_SCENARIOS)
 ) -> Reports:
     """Train and evaluate on each damaged copy, against the undamaged one."""
-    made = perturb.degradation_scenarios(split_labelled(df), scenarios)
-    damaged = stage(made, "degraded", partition_by=["scenario"]).select(*made.columns)
+    split = split_labelled(df)
     parts = []
-    for name, _, _ in scenarios:
-        train, test = halves(damaged.where(F.col("scenario") == name))
-        parts.append(scorer(train, test, name, "scenario"))
+    for scenario in scenarios:
+        train, test = halves(perturb.degradation_scenarios(split, [scenario]).drop("scenario"))
+        parts.append(scorer(train, test, scenario[0], "scenario"))
     scored = stage(union_all(parts), "scored")
     found = metrics.evaluate(scored, ["scenario"], TUNED_THRESHOLD, "open0")
+    damaged = perturb.degradation_scenarios(split, scenarios)
     side, label = F.col("split"), F.col(TARGET)
     sizes = damaged.groupBy("scenario", "degradation_type", "degradation_rate").agg(
         F.count_if(side == "train").alias("train_rows"),
@@ -260,10 +272,20 @@ def cleaning_experiment(df: DataFrame, scorer: Scorer) -> Reports:
 
 def temporal_drift(df: DataFrame, scorer: Scorer, test_fraction: float = 0.2) -> Reports:
     """A random and a temporal split of the same rows, and what shifts over the temporal one."""
-    rows = prepare.labelled_rows(df, ["created"])
-    random = selection.with_split(rows, selection.stratified_test(rows, TARGET, test_fraction))
-    train_rows = selection.temporal_train(rows, test_fraction)
-    temporal = rows.withColumn("split", F.when(train_rows, "train").otherwise("test"))
+    rows = narrow(prepare.labelled_rows(df, ["created"]))
+    in_test = selection.stratified_test(rows, TARGET, test_fraction)
+    in_train = selection.temporal_train(rows, test_fraction)
+    both = rows.withColumns(
+        {
+            "random_split": F.when(in_test, "test").otherwise("train"),
+            "temporal_split": F.when(in_train, "train").otherwise("test"),
+        }
+    )
+    both = stage(both, "splits")
+    random, temporal = [
+        both.withColumn("split", F.col(name)).drop("random_split", "temporal_split")
+        for name in ("random_split", "temporal_split")
+    ]
     splits = {"random_split": random, "temporal_split": temporal}
     parts = [scorer(*halves(split), name, "split_type") for name, split in splits.items()]
     scored = stage(union_all(parts), "scored")
@@ -299,7 +321,7 @@ def _ranges(split: DataFrame) -> DataFrame:
 
 def retraining(df: DataFrame, scorer: Scorer, periods: int = 5) -> Reports:
     """Static, cumulative and sliding training windows, each tested on the later periods."""
-    rows = prepare.labelled_rows(df, ["created"])
+    rows = narrow(prepare.labelled_rows(df, ["created"]))
     windows = drift.training_windows(periods)
     binned = stage(selection.with_time_bins(rows, periods), "periods", partition_by=["period"])
     parts = []
@@ -336,10 +358,13 @@ def retraining(df: DataFrame, scorer: Scorer, periods: int = 5) -> Reports:
 
 def stability(df: DataFrame, scorer_for: Callable[[int], Scorer], seeds: Sequence[int] = tuple(SEEDS)) -> Reports:
     """The same model on differently seeded splits."""
+    rows = narrow(prepare.labelled_rows(df))
+    sides = {f"_split{seed}": selection.stratified_test(rows, TARGET, seed=seed) for seed in seeds}
+    split = stage(rows.withColumns({n: F.when(t, "test").otherwise("train") for n, t in sides.items()}), "splits")
     parts = []
     for seed in seeds:
-        train, test = halves(split_labelled(df, seed=seed))
-        parts.append(scorer_for(seed)(train, test, str(seed), "seed"))
+        train, test = halves(split, f"_split{seed}")
+        parts.append(scorer_for(seed)(train.drop(*sides), test.drop(*sides), str(seed), "seed"))
     scored = stage(union_all(parts), "scored").withColumn("seed", F.col("seed").cast("int"))
     found = metrics.evaluate(scored, ["seed"], TUNED_THRESHOLD, "closed0").select("seed", *EVALUATED)
     return {
@@ -412,11 +437,10 @@ def bias_experiment(
     rows = prepare.labelled_rows(df)
     feature, minority, majority = group or perturb.chosen_group(rows)
     train, test = halves(split_labelled(rows))
-    made = perturb.bias_scenarios(train, feature, minority, majority)
-    biased = stage(made, "biased", partition_by=["scenario"]).select(*made.columns)
-    parts = [
-        scorer(biased.where(F.col("scenario") == name), test, name, "scenario") for name in perturb.BIAS_SCENARIOS
-    ]
+    parts = []
+    for name in perturb.BIAS_SCENARIOS:
+        biased = perturb.bias_scenarios(train, feature, minority, majority, [name]).drop("scenario")
+        parts.append(scorer(biased, test, name, "scenario"))
     scored = stage(union_all(parts), "scored")
     whole = _run_metrics(scored, "scenario", threshold).withColumns(
         {"group_feature": F.lit(feature), "minority_group": F.lit(minority), "majority_group": F.lit(majority)}

@@ -83,7 +83,7 @@ def main():
         try:
             outcome = compare(spark, db, name, run, sqls.get(name), sf_dir)
         except Exception as error:
-            outcome = f"ERROR {type(error).__name__}: {str(error)[:1500]}"
+            outcome = f"ERROR {type(error).__name__}: {str(error)[:300]}"
         failed += not outcome.startswith(("ok", "rows only"))
         print(f"{name:45s} {time.time() - start:6.2f}s  {outcome}", flush=True)
     print("failed:", failed)
