@@ -289,26 +289,20 @@ def threshold_counts(
     filed = scored.groupBy(*keys, count_reached(F.col(p), grid).alias("_k")).agg(
         F.count_if(F.col(y) == 1).alias("_pos"), F.count_if(F.col(y) == 0).alias("_neg")
     )
-    # At most len(grid) + 1 rows per key: fold them into one sum per threshold and class.
-    sums = []
-    for i in range(len(grid)):
-        reached = F.col("_k") > F.lit(i)
-        sums += [
-            F.sum(F.when(reached, F.col("_pos")).otherwise(0)).alias(f"_tp{i}"),
-            F.sum(F.when(reached, F.col("_neg")).otherwise(0)).alias(f"_fp{i}"),
-        ]
-    wide = filed.groupBy(*keys).agg(F.sum("_pos").alias("_np"), F.sum("_neg").alias("_nn"), *sums)
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(float(t)).alias("threshold"),
-                F.col(f"_tp{i}").alias("true_positive"),
-                F.col(f"_fp{i}").alias("false_positive"),
-            )
-            for i, t in enumerate(grid)
-        ]
+    # At most len(grid) + 1 files per key: gather them and add up those above each threshold.
+    per_key = filed.groupBy(*keys).agg(
+        F.collect_list(F.struct("_k", "_pos", "_neg")).alias("_files"),
+        F.sum("_pos").alias("_np"),
+        F.sum("_neg").alias("_nn"),
     )
-    long = wide.select(*keys, "_np", "_nn", F.inline(cells))
+    steps = F.posexplode(F.array(*[F.lit(float(t)) for t in grid]))
+    spread = per_key.select(*keys, "_files", "_np", "_nn", steps.alias("_i", "threshold"))
+
+    def reached(part: str) -> Column:
+        above = F.filter(F.col("_files"), lambda f: f["_k"] > F.col("_i"))
+        return F.aggregate(above, F.lit(0).cast("long"), lambda total, f: total + f[part])
+
+    long = spread.withColumns({"true_positive": reached("_pos"), "false_positive": reached("_neg")})
     return long.select(
         *keys,
         "threshold",

@@ -245,10 +245,15 @@ def possible_worlds(
 
     A draw picks one training row with a value in that column, so categories come up as often
     as they do in training. Training rows are numbered per column; the draws, few beside them,
-    look their number up. A column without training values stays missing.
+    look their number up. A column without training values stays missing. Columns without
+    gaps are not touched, and only training values of the others are numbered.
     """
     columns = [c for c in [*categorical, *numeric] if c in rows.columns and c in train.columns]
     spread = rows.withColumn("world_id", F.explode(F.sequence(F.lit(1), F.lit(worlds))))
+    gaps = rows.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first() if columns else {}
+    columns = [c for c in columns if gaps[c] > 0]
+    if not columns:
+        return spread
     cells = F.array(
         *[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns]
     )

@@ -3,7 +3,8 @@
 Jobs that need a classifier take a *scorer*: a callable ``scorer(train, test, run, name)``
 that returns the test rows with ``y_true``, ``y_prob`` and the run's name in column ``name``.
 ``ForestScorer`` and ``zoo_scorers`` fit MLlib models; a formula will do for checks. Scored
-rows are written once, so that no report fits or applies a model a second time.
+rows are written once, so that no report fits or applies a model a second time, and so is a
+report from which others are derived.
 """
 
 from __future__ import annotations
@@ -185,6 +186,7 @@ def baseline_reports(scored: DataFrame, threshold: float = 0.5) -> Reports:
         scored, SUBGROUP_FEATURES, threshold=threshold, min_rows=SUBGROUP_ROWS, edges="open0"
     )
     overall = overall.withColumnRenamed("positive_rate_true", "positive_rate").select("model", *columns)
+    overall = stage(overall, "model_metrics")
     groups = groups.withColumnRenamed("positive_rate_true", "positive_rate")
     return {
         "model_metrics": overall,
@@ -194,7 +196,7 @@ def baseline_reports(scored: DataFrame, threshold: float = 0.5) -> Reports:
 
 
 def threshold_tuning(scored: DataFrame, min_recall: float = 0.60) -> Reports:
-    sweep = metrics.threshold_sweep(scored)
+    sweep = stage(metrics.threshold_sweep(scored), "threshold_metrics")
     return {
         "threshold_metrics": sweep,
         "threshold_best_f1": metrics.best_by_f1(sweep),
@@ -212,7 +214,7 @@ def advanced_metrics(scored: DataFrame, tuned: DataFrame | None = None, bins: in
 
 
 def subgroup_gap_analysis(subgroups: DataFrame, overall: DataFrame, min_rows: int = SUBGROUP_ROWS) -> Reports:
-    found = gaps.subgroup_gaps(subgroups, overall, min_rows=min_rows)
+    found = stage(gaps.subgroup_gaps(subgroups, overall, min_rows=min_rows), "subgroup_gap_metrics")
     return {"subgroup_gap_metrics": found, "subgroup_gap_summary": gaps.gap_summary(found)}
 
 
@@ -242,7 +244,7 @@ def degradation_experiment(
     report = report.withColumn("threshold", F.lit(TUNED_THRESHOLD)).withColumn(
         "description", perturb.scenario_text(F.col("degradation_type"), F.col("degradation_rate"))
     )
-    report = gaps.deltas_to_run(report, F.col("scenario") == "baseline")
+    report = gaps.deltas_to_run(stage(report, "degradation"), F.col("scenario") == "baseline")
     summary = ["scenario", "degradation_type", "degradation_rate", *QUALITY_METRICS, "delta_f1", "delta_recall", "delta_ece"]
     return {"degradation_experiments": report, "degradation_summary": report.select(*summary)}
 
@@ -260,7 +262,7 @@ def cleaning_experiment(df: DataFrame, scorer: Scorer) -> Reports:
     scored = stage(union_all(parts), "scored")
     shown = [*QUALITY_METRICS[:3], "balanced_accuracy", *QUALITY_METRICS[3:]]
     found = metrics.evaluate(scored, ["scenario"], TUNED_THRESHOLD, "closed0")
-    found = found.select("scenario", "rows", "positive_rate_true", "positive_rate_predicted", *shown)
+    found = stage(found.select("scenario", "rows", "positive_rate_true", "positive_rate_predicted", *shown), "cleaning")
     compared = gaps.deltas_to_run(found, F.col("scenario") == "prepared_original", shown, "delta_{}_vs_original")
     return {
         "cleaned": after,
@@ -294,7 +296,7 @@ def temporal_drift(df: DataFrame, scorer: Scorer, test_fraction: float = 0.2) ->
     )
     found = metrics.evaluate(scored, ["split_type"], TUNED_THRESHOLD, "open0").select("split_type", *EVALUATED)
     report = gaps.deltas_to_run(
-        found.join(ranges, "split_type"), F.col("split_type") == "random_split", pattern="delta_vs_random_{}"
+        stage(found.join(ranges, "split_type"), "drift"), F.col("split_type") == "random_split", pattern="delta_vs_random_{}"
     )
     periods = drift.period_summary(
         temporal.withColumn("split", F.concat(F.lit("temporal_"), F.col("split"))), "split"
@@ -347,7 +349,7 @@ def retraining(df: DataFrame, scorer: Scorer, periods: int = 5) -> Reports:
         F.col("positive_rate").alias("test_positive_rate"),
     )
     report = found.select("strategy", "test_period", *EVALUATED)
-    report = report.join(trained, ["strategy", "test_period"]).join(tested, "test_period")
+    report = stage(report.join(trained, ["strategy", "test_period"]).join(tested, "test_period"), "retraining")
     compared = gaps.versus_static(report).withColumn("threshold", F.lit(TUNED_THRESHOLD))
     return {
         "retraining_period_summary": summary,
@@ -367,6 +369,7 @@ def stability(df: DataFrame, scorer_for: Callable[[int], Scorer], seeds: Sequenc
         parts.append(scorer_for(seed)(train.drop(*sides), test.drop(*sides), str(seed), "seed"))
     scored = stage(union_all(parts), "scored").withColumn("seed", F.col("seed").cast("int"))
     found = metrics.evaluate(scored, ["seed"], TUNED_THRESHOLD, "closed0").select("seed", *EVALUATED)
+    found = stage(found, "stability")
     return {
         "stability_seed_metrics": found.withColumn("threshold", F.lit(TUNED_THRESHOLD)),
         "stability_seed_summary": gaps.seed_spread(found),
@@ -382,7 +385,7 @@ def possible_worlds(df: DataFrame, scorer: Scorer, worlds: int = 20, sample_size
     scored = stage(scorer(train, asked, "forest", "model").select("id", "world_id", "y_prob"), "worlds")
     baseline_rows = scored.where("world_id = 0").select("id", F.col("y_prob").alias("baseline_probability"))
     predictions = scored.where("world_id > 0").withColumnRenamed("y_prob", "predicted_probability")
-    spread = perturb.world_spread(predictions, baseline_rows)
+    spread = stage(perturb.world_spread(predictions, baseline_rows), "sensitivity")
     return {
         "possible_worlds_predictions": predictions,
         "possible_worlds_sensitivity_summary": spread,
@@ -411,7 +414,7 @@ def fairness_audit(
     parts = parts.withColumnsRenamed(
         {**FAIRNESS_SHORT, "subgroup_feature": "group_feature", "subgroup_value": "group_value"}
     )
-    parts = parts.withColumn("threshold", F.lit(threshold))
+    parts = stage(parts.withColumn("threshold", F.lit(threshold)), "group_metrics")
     return {
         "bias_fairness_global_metrics": whole.withColumn("threshold", F.lit(threshold)),
         "bias_fairness_group_metrics": parts,
@@ -445,7 +448,7 @@ def bias_experiment(
     whole = _run_metrics(scored, "scenario", threshold).withColumns(
         {"group_feature": F.lit(feature), "minority_group": F.lit(minority), "majority_group": F.lit(majority)}
     )
-    parts_by_group = _group_metrics(scored, "scenario", feature, threshold)
+    parts_by_group = stage(_group_metrics(scored, "scenario", feature, threshold), "group_metrics")
     return {
         "bias_scenario_metrics": whole,
         "bias_scenario_group_metrics": parts_by_group.withColumn("group_feature", F.lit(feature)),
@@ -501,6 +504,7 @@ def bias_mitigation(
             labelled(_run_metrics(tuned, "strategy", best), best),
         ]
     )
+    whole = stage(whole, "run_metrics")
     limits = mitigation.group_thresholds(base, group)
     guessed = mitigation.confusion_of_predictions(
         mitigation.with_group_threshold(base, group, limits), ["strategy"]
@@ -512,7 +516,8 @@ def bias_mitigation(
     by_group = union_all(
         [_group_metrics(scored, "strategy", group, threshold), _group_metrics(tuned, "strategy", group, best)]
     )
-    spread = gaps.disparity(by_group, "strategy")
+    by_group = stage(by_group, "group_metrics")
+    spread = stage(gaps.disparity(by_group, "strategy"), "disparities")
     return {
         "bias_mitigation_metrics": whole.unionByName(per_group).withColumn("group_feature", F.lit(group)),
         "bias_mitigation_group_metrics": by_group,

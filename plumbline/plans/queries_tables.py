@@ -9,7 +9,8 @@ from plumbline.operators import drift, gaps, kpi, metrics, perturb, prepare, pro
 from plumbline.operators.kpi import ReportTable
 from plumbline.plans.metric_sql import long_groups_sql, metrics_sql, pick, sweep_sql
 from plumbline.plans.registry import query, rounded
-from plumbline.plans.views import GROUPS, issues, labelled, normalize_sql, prepared, r, raw_issues, scored, sql, table, u_sql
+from plumbline.plans.views import GROUPS, issues, labelled, prepared, r, scored, sql, table, u_sql
+from plumbline.session import stage
 
 CATEGORIES = ["project_key", "issuetype", "priority", "status", "late_resolution"]
 
@@ -649,10 +650,11 @@ def kpi_reports(spark, sf_dir):
     df = scored(spark, sf_dir)
     whole = metrics.evaluate(df, ["model"], edges="open0").select("model", *_MODEL_COLUMNS)
     sweep = metrics.threshold_sweep(df).select("model", "threshold", *_SWEEP_COLUMNS)
+    # Reports are read from files, as they are when each analysis has run on its own.
     return [
-        ReportTable("model_metrics", whole, ["model"]),
+        ReportTable("model_metrics", stage(whole, "model_metrics"), ["model"]),
         ReportTable("degradation_summary", None, ["scenario"]),
-        ReportTable("threshold_metrics", sweep, ["model", "threshold"]),
+        ReportTable("threshold_metrics", stage(sweep, "threshold_metrics"), ["model", "threshold"]),
     ]
 
 

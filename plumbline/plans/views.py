@@ -54,8 +54,11 @@ def raw_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(number % 7 == 0, F.concat(F.lit("  "), F.col("o_orderpriority"), F.lit("\t")))
         .otherwise(F.col("o_orderpriority"))
     )
+    # Spread by order key as the join with the line items needs it; a small file is one task.
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return (
-        orders.withColumn("_doc", number % spread)
+        orders.repartition(partitions, "o_orderkey")
+        .withColumn("_doc", number % spread)
         .join(shipped, number == F.col("l_orderkey"), "left")
         .join(table(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("o_custkey"), "left")
         .join(table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("c_nationkey"), "left")
@@ -159,7 +162,13 @@ def with_scores(df: DataFrame, models=tuple(MODELS)) -> DataFrame:
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_scores(labelled(spark, sf_dir)).select("model", "id", "key", "created", *GROUPS, "y_true", "y_prob")
+    """The scored table, written once like the predictions of a model."""
+
+    def make() -> DataFrame:
+        rows = with_scores(labelled(spark, sf_dir))
+        return rows.select("model", "id", "key", "created", *GROUPS, "y_true", "y_prob")
+
+    return once(spark, sf_dir, "scored", make)
 
 
 def u_sql(key: str, salt: str) -> str:
