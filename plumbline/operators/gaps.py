@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from plumbline.functions.scalars import finite
 from plumbline.operators.metrics import QUALITY_METRICS
 
+TIE_DIGITS = 12
+
 # The metrics of each comparison.
 GAP_METRICS = ["positive_rate", "precision", "recall", "f1", "pr_auc", "brier_score", "ece"]
 DISPARITY_METRICS = ["precision", "recall", "f1", "fpr", "fnr", "ece", "brier_score"]
@@ -86,15 +88,15 @@ def fairness_disparity(
 ) -> DataFrame:
     """Spread, ratio, and the groups with the extreme values, per model and group column.
 
-    The lowest value counts as worst for every metric not named in ``lower_is_better``; ties
-    go to the group that sorts first.
+    The lowest value counts as worst for every metric not named in ``lower_is_better``; ties,
+    up to the noise of summation order, go to the group that sorts first.
     """
     eligible = groups.where(F.col("rows") >= min_rows)
     long = long_metrics(eligible, ["model", "group_feature", "group_value"], metrics)
     group, value = F.col("group_value"), F.col("value")
-    known = value.isNotNull()
-    lowest = F.min_by(F.when(known, group), F.when(known, F.struct(value, group)))
-    highest = F.min_by(F.when(known, group), F.when(known, F.struct(-value, group)))
+    known, level = value.isNotNull(), F.round(value, TIE_DIGITS)
+    lowest = F.min_by(F.when(known, group), F.when(known, F.struct(level, group)))
+    highest = F.min_by(F.when(known, group), F.when(known, F.struct(-level, group)))
     stats = long.groupBy("model", "group_feature", "metric").agg(
         F.count("*").alias("groups_considered"),
         F.min("value").alias("min_value"),

@@ -688,8 +688,8 @@ _FAIR_NAMES = """select * exclude (true_positive, true_negative, false_positive,
 _FAIRNESS = " union all ".join(
     f"""select model, group_feature, '{m}' as metric, count(*) as groups_considered, min("{m}") as min_value,
         max("{m}") as max_value, max("{m}") - min("{m}") as absolute_gap, min("{m}") / nullif(max("{m}"), 0) as min_max_ratio,
-        first(group_value order by "{m}" nulls last, group_value) as worst_group,
-        first(group_value order by "{m}" desc nulls last, group_value) as best_group
+        first(group_value order by round("{m}", 12) nulls last, group_value) as worst_group,
+        first(group_value order by round("{m}", 12) desc nulls last, group_value) as best_group
         from grp where rows >= 30 group by model, group_feature having max("{m}") is not null"""
     for m in gaps.FAIRNESS_METRICS
 )

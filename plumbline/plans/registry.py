@@ -13,6 +13,10 @@ SQL: dict[str, str] = {}
 
 DIGITS = 6
 
+# Added before rounding, so that values half-way between two results go the same way in both
+# engines, whichever side of the half the last bit falls on.
+NUDGE = 1e-10
+
 
 def query(name: str, sql: str | None = None):
     def register(run: Callable[[SparkSession, str], DataFrame]):
@@ -29,4 +33,4 @@ def query(name: str, sql: str | None = None):
 def rounded(df: DataFrame) -> DataFrame:
     """Doubles to a fixed number of digits, without negative zeros."""
     doubles = [f.name for f in df.schema.fields if isinstance(f.dataType, T.DoubleType)]
-    return df.withColumns({c: F.round(F.col(c), DIGITS) + F.lit(0.0) for c in doubles}) if doubles else df
+    return df.withColumns({c: F.round(F.col(c) + F.lit(NUDGE), DIGITS) + F.lit(0.0) for c in doubles}) if doubles else df

@@ -208,4 +208,4 @@ def sql(view: str | None, select: str, *ctes: str) -> str:
 
 def r(expression: str) -> str:
     """The expression as a double, rounded as the Spark results are."""
-    return f"(round(cast({expression} as double), 6) + 0e0)"
+    return f"(round(cast({expression} as double) + 1e-10, 6) + 0e0)"
