@@ -8,7 +8,7 @@ from plumbline.functions.grids import evenly_spaced
 from plumbline.functions.scalars import uniform
 from plumbline.operators import drift, features, perturb, prepare, selection
 from plumbline.plans.registry import query, rounded
-from plumbline.plans.views import labelled, prepared, r, scored, sql, u_sql
+from plumbline.plans.views import labelled, prepared, r, sql, u_sql
 
 # ---------------------------------------------------------------- splits and periods
 

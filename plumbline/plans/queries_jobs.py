@@ -20,7 +20,6 @@ from plumbline.plans.queries_change import (
     DEGRADED_CTES,
     PERIODS,
     RATES,
-    SHIFT_COLUMNS,
     TEMPORAL,
     WINDOWS,
     _means_sql,

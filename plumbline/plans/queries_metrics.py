@@ -163,25 +163,25 @@ def _(spark, sf_dir):
     return rounded(metrics.evaluate(scored(spark, sf_dir), keys).select(*keys, "pr_auc"))
 
 
+# Cells of one project in one month are small, and many hold one class only.
+_CELL = ["model", "project_key", "created_year", "created_month"]
+
+
 @query(
     "M09_roc_auc",
     sql(
         "scored",
-        "select 'all' as scope, model, '' as created_month, " + pick(["roc_auc"]) + " from w union all "
-        "select 'month', model, cast(created_month as varchar), " + pick(["roc_auc"]) + " from m",
+        "select model, 'all' as cell, " + pick(["roc_auc"]) + " from w union all "
+        "select model, project_key || '-' || created_year || '-' || created_month, " + pick(["roc_auc"]) + " from m",
         metrics_sql("w", "scored", ["model"]),
-        metrics_sql("m", "small", ["model", "created_month"]).replace("from small", "from (select * from scored where id < 60)"),
+        metrics_sql("m", "scored", _CELL),
     ),
 )
 def _(spark, sf_dir):
     df = scored(spark, sf_dir)
-    whole = metrics.evaluate(df, ["model"]).select(
-        F.lit("all").alias("scope"), "model", F.lit("").alias("created_month"), "roc_auc"
-    )
-    months = metrics.evaluate(df.where("id < 60"), ["model", "created_month"]).select(
-        F.lit("month").alias("scope"), "model", F.col("created_month").cast("string"), "roc_auc"
-    )
-    return rounded(whole.union(months))
+    whole = metrics.evaluate(df, ["model"]).select("model", F.lit("all").alias("cell"), "roc_auc")
+    cells = metrics.evaluate(df, _CELL).select("model", F.concat_ws("-", *_CELL[1:]).alias("cell"), "roc_auc")
+    return rounded(whole.union(cells))
 
 
 SWEEP = (

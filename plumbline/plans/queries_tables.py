@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.functions.grids import SWEEP_THRESHOLDS
-from plumbline.operators import drift, gaps, kpi, metrics, perturb, prepare, profile, risk
+from plumbline.operators import gaps, kpi, metrics, perturb, prepare, profile, risk
 from plumbline.operators.kpi import ReportTable
 from plumbline.plans.metric_sql import long_groups_sql, metrics_sql, pick, sweep_sql
 from plumbline.plans.registry import query, rounded
@@ -315,13 +315,13 @@ def _(spark, sf_dir):
     sql(
         "scored",
         f"""select spread.id as id, worlds, {pick(_SPREAD_COLUMNS)}, {r("y_prob")} as baseline_probability
-            from spread left join (select * from scored where model = 'boosted' and id % 3 <> 0) b using (id)""",
+            from spread left join (select * from scored where model = 'boosted' and status <> 'P') b using (id)""",
         WORLDS,
         WORLD_SPREAD,
     ),
 )
 def _(spark, sf_dir):
-    baseline = scored(spark, sf_dir).where("model = 'boosted' and id % 3 <> 0")
+    baseline = scored(spark, sf_dir).where("model = 'boosted' and status <> 'P'")
     baseline = baseline.select("id", F.col("y_prob").alias("baseline_probability"))
     return rounded(perturb.world_spread(worlds(spark, sf_dir), baseline))
 
@@ -432,13 +432,13 @@ def _(spark, sf_dir):
 # Each model stands for a strategy, each year for a test period.
 RUNS = """named_runs as (
   select case model when 'boosted' then 'static_initial_train' else model end as strategy,
-         'period_' || created_year as test_period, y_true, y_prob from scored where created_year >= 1998)"""
+         'period_' || created_year as test_period, y_true, y_prob from scored)"""
 RUN_METRICS = metrics_sql("runs", "named_runs", ["strategy", "test_period"], edges="open0")
 Q = metrics.QUALITY_METRICS
 
 
 def strategy_runs(spark, sf_dir):
-    named = scored(spark, sf_dir).where("created_year >= 1998").select(
+    named = scored(spark, sf_dir).select(
         F.when(F.col("model") == "boosted", "static_initial_train").otherwise(F.col("model")).alias("strategy"),
         F.concat(F.lit("period_"), F.col("created_year")).alias("test_period"),
         "y_true",
