@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, exact, secret_scan
+from plumbline.llm import decontaminate, exact, lines, secret_scan
 from plumbline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +67,23 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_secrets")
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
+
+
+_TRIMMED = "trim({0}, chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13))"
+
+
+@query(
+    "op3_line_dedup",
+    f"""with d as (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents),
+    l as (select doc_id, unnest(range(1, len(ls) + 1)) as i, unnest(ls) as line from d),
+    k as (select *, {_LOWER.format(_TRIMMED.format("line"))} as key from l),
+    h as (select key, max(doc_id) as keeper from k where length(key) >= 40
+          group by key having count(distinct doc_id) >= 5),
+    j as (select k.*, h.key is not null and k.doc_id <> h.keeper as gone from k left join h on k.key = h.key)
+    select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped,
+           sha256(coalesce(string_agg(line, chr(10) order by i) filter (where not gone), '')) as kept_sha256
+    from j group by doc_id""",
+)
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lines.digests(docs, lines.keep_bitmaps(docs))
