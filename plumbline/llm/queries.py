@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, exact, lines, secret_scan
+from plumbline.llm import chat, decontaminate, exact, lines, secret_scan
 from plumbline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,18 @@ _TRIMMED = "trim({0}, chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13))"
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return lines.digests(docs, lines.keep_bitmaps(docs))
+
+
+_PROBE = "</s>[INST] ok [/INST]"
+
+
+@query("op4_chat_format")
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(_PROBE).alias("text"),
+    )
+    return chat.read_back(chat.format_conversations(turns.unionByName(probe)))
