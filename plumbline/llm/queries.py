@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat, decontaminate, exact, lines, secret_scan, warc_zip
+from plumbline.llm import chat, decontaminate, exact, lines, ngram_lm, secret_scan, warc_zip
 from plumbline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +109,8 @@ def op6_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = warc_zip.write_pages(table(spark, sf_dir, "pages"))
     records = warc_zip.read_archives(archives, with_payload=False)
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op9_ngram_lm")
+def op9_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score_documents(table(spark, sf_dir, "documents"))
