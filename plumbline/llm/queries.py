@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat, decontaminate, exact, lines, ngram_lm, secret_scan, warc_zip
+from plumbline.llm import chat, decontaminate, exact, lang_id, lines, ngram_lm, secret_scan, warc_zip
 from plumbline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,3 +114,17 @@ def op6_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_ngram_lm")
 def op9_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_lm.score_documents(table(spark, sf_dir, "documents"))
+
+
+def _languages(found: DataFrame, key: str) -> DataFrame:
+    return found.select(key, "_language.language", F.round("_language.probability", 6).alias("probability"), "_language.accepted")
+
+
+@query("op10_language_id")
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _languages(lang_id.document_languages(table(spark, sf_dir, "documents")), "doc_id")
+
+
+@query("page_language_id")
+def page_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _languages(lang_id.page_languages(table(spark, sf_dir, "pages")), "page_id")
