@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat, decontaminate, exact, lang_id, lines, ngram_lm, secret_scan, warc_zip
+from plumbline.llm import chat, decontaminate, exact, lang_id, lines, minhash, ngram_lm, secret_scan, warc_zip
 from plumbline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,3 +128,9 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("page_language_id")
 def page_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _languages(lang_id.page_languages(table(spark, sf_dir, "pages")), "page_id")
+
+
+@query("op2_minhash")
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.find_classes(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", "class_size", "kept")
