@@ -79,10 +79,10 @@ class Shingler:
         size = min(self.size, len(h))
         total = np.zeros(len(h) - size + 1, dtype=U)
         for i in range(size):
-            total += mix(h[i : len(h) - size + 1 + i] + _ODD[i % 5]) * _ODD[(i + 1) % 5]
+            total = mix(total * _ODD[1] + h[i : len(h) - size + 1 + i])
         if len(self.hashes) > 1_000_000:
             self.codes, self.hashes = {}, []
-        return mix(total)
+        return total
 
 
 def _gap(elements: np.ndarray, weights: np.ndarray, step: np.ndarray) -> np.ndarray:
@@ -400,3 +400,26 @@ def find_classes(
         "class_size",
         (F.col("row_no") == F.col("best.row_no")).alias("kept"),
     )
+
+
+def keep_one(docs: DataFrame, classes: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One document of each class, with all its columns: the one that ``find_classes`` keeps.
+
+    Rows to drop are written and joined by id and text. Rows that are repeated as a whole share
+    both; of these, one is taken.
+    """
+    per_key = classes.groupBy("doc_id", "text_key").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    per_key = stage(per_key.where(~F.col("kept") | (F.col("n") > 1)), "dropped")
+    per_key = per_key.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "kept")
+    packed = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
+        F.col(id_column).cast("long").alias("_doc"),
+        F.xxhash64(F.coalesce(F.col(text_column), F.lit(""))).alias("_text"),
+    )
+    same = F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_key"))
+    rest = packed.join(per_key.hint("shuffle_hash"), same, "left_anti").select("_row.*")
+    repeated = per_key.where("kept")
+    if repeated.isEmpty():
+        return rest
+    once = packed.join(repeated.hint("shuffle_hash"), same).dropDuplicates(["_doc", "_text"]).select("_row.*")
+    return rest.unionByName(once)

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat, decontaminate, exact, lang_id, lines, minhash, ngram_lm, secret_scan, warc_zip
+from plumbline.llm import bpe, chat, decontaminate, exact, lang_id, lines, minhash, ngram_lm, secret_scan, warc_zip
 from plumbline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,3 +135,14 @@ def page_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash.find_classes(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "class_id", "class_size", "kept")
+
+
+def tokenizer_json(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return Path(public_tokenizers.path(name)).read_text()
+
+
+@query("op1_bpe")
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer_json(), full=False)
