@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import travels
+from plumbline.llm.common import in_slices, travels
 from plumbline.session import stage
 
 MIN_CHUNK, MAX_CHUNK = 256, 8_192
@@ -121,7 +121,7 @@ def signed(hashes: list[int]) -> list[int]:
 
 
 def _count_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in in_slices(batches):
         texts = batch.column("text").to_pylist()
         hashes = [h for _, row in _pieces(texts, chunk_ends(texts)) for h in row]
         values, counts = np.unique(np.array(hashes, dtype=np.uint64), return_counts=True)
@@ -184,7 +184,7 @@ def _cut(tokenizer_json: str, shared: np.ndarray, hot: dict[int, int], full: boo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(tokenizer_json)
-        for batch in batches:
+        for batch in in_slices(batches):
             texts, rows, single = batch.column("text").to_pylist(), [], []
             numbers, doc_ids = batch.column("row_no").to_pylist(), batch.column("doc_id").to_pylist()
             for text, row_no, doc_id, (chunks, hashes) in zip(texts, numbers, doc_ids, _pieces(texts, chunk_ends(texts))):

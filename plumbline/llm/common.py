@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,3 +38,28 @@ def small_side(df: DataFrame, bytes_per_row: Column, limit: int = BROADCAST_BYTE
     """Mark a written table for broadcast if its measured size is within the limit."""
     size = df.agg(F.coalesce(F.sum(bytes_per_row), F.lit(0)).alias("b")).first().b
     return F.broadcast(df) if size <= limit else df
+
+
+# Bytes of text that a task turns into numbers at a time; a longer text goes alone.
+SLICE_BYTES = 4 << 20
+
+
+def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with ``limit`` bytes of text or one row each."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    begin = 0
+    while begin < len(texts):
+        before = ends[begin - 1] if begin else 0
+        end = max(int(np.searchsorted(ends, before + limit, side="right")), begin + 1)
+        yield begin, end
+        begin = end
+
+
+def in_slices(batches: Iterable[pa.RecordBatch], limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut up by the size of their column ``text``."""
+    for batch in batches:
+        for begin, end in slices(batch.column("text"), limit):
+            yield batch.slice(begin, end - begin)
+
+
+travels(__name__)
