@@ -164,9 +164,11 @@ def _batch(rows: list[tuple], names: list[str], types: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
 
 
-def edges(text: bytes) -> tuple[bytes, bytes]:
-    """What stands before the first and behind the last white space; the whole text twice if it has none."""
+def edges(text: bytes) -> tuple[bytes, bytes | None]:
+    """What stands before the first and behind the last white space; (text, None) if there is none."""
     words = text.split()
+    if len(words) == 1 and len(words[0]) == len(text):
+        return text, None
     head = b"" if not words or text[:1].isspace() else words[0]
     tail = b"" if not words or text[-1:].isspace() else words[-1]
     return head, tail
@@ -242,8 +244,8 @@ class Joiner:
     def __init__(self, encoder: Encoder) -> None:
         self.encoder, self.ids, self.tail = encoder, bytearray(), b""
 
-    def add(self, ids: bytes, head: bytes, tail: bytes) -> None:
-        left, solid = self.tail, bool(head) and len(head) == len(tail) and self.encoder.encode(head) == ids
+    def add(self, ids: bytes, head: bytes, tail: bytes | None) -> None:
+        left = self.tail
         if left and head:
             before, after, joined = (self.encoder.encode(w) for w in (left, head, left + head))
             if not (self.ids.endswith(before) and ids.startswith(after)):
@@ -254,7 +256,7 @@ class Joiner:
                 ids = ids[len(after) :]
         self.ids += ids
         # Without white space in the piece, the open word goes on from further left.
-        self.tail = left + tail if solid and left else tail
+        self.tail = left + head if tail is None else tail
 
 
 def _assemble(tokenizer_json: str, full: bool):
