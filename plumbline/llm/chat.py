@@ -33,7 +33,10 @@ ESCAPE = "␛"
 
 CONTROLS = [mark for pair in MARKS.values() for mark in pair] + [OTHER_OPEN, OTHER_CLOSE]
 CONTROL = "|".join(re.escape(c) for c in CONTROLS)
-TOKENS = re.compile(f"{ESCAPE}({ESCAPE}|{CONTROL}|\\])|({CONTROL})")
+TOKENS = re.compile(f"{ESCAPE}({ESCAPE}|{CONTROL})|({CONTROL})")
+# In the name of a role only the bracket that ends it, and the escape character, are escaped.
+ROLE_ESCAPED = re.compile(f"{ESCAPE}(.)", re.S)
+ROLE_NAME = re.compile(f"((?:{ESCAPE}.|[^{ESCAPE}\\]])*)\\]", re.S)
 
 # Characters after which a part of a long conversation is closed.
 PART_CHARS = 1 << 20
@@ -61,13 +64,10 @@ def parse(rendered: str) -> Iterator[tuple[str, str, int, int]]:
         else:
             if not rendered.startswith(OTHER_OPEN, at):
                 raise ValueError("a turn must begin with a mark")
-            start = at = at + len(OTHER_OPEN)
-            while not rendered.startswith("]", at):
-                at += 2 if rendered.startswith(ESCAPE, at) else 1
-                if at >= len(rendered):
-                    raise ValueError("unfinished role")
-            role, closing = rendered[start:at].replace(ESCAPE, ""), OTHER_CLOSE
-            at += 1
+            name = ROLE_NAME.match(rendered, at + len(OTHER_OPEN))
+            if not name:
+                raise ValueError("unfinished role")
+            role, closing, at = ROLE_ESCAPED.sub(r"\1", name[1]), OTHER_CLOSE, name.end()
         start = at
         while True:
             found = TOKENS.search(rendered, at)
@@ -84,8 +84,7 @@ def parse(rendered: str) -> Iterator[tuple[str, str, int, int]]:
 def _framed(role: str, text: str) -> str:
     if role in MARKS:
         return f"{MARKS[role][0]}{text}{MARKS[role][1]}"
-    # In a role's name every special character is escaped by itself.
-    name = re.sub(r"([\]\[<>/])", lambda m: ESCAPE + m[0], role)
+    name = re.sub(f"[{ESCAPE}\\]]", lambda m: ESCAPE + m[0], role)
     return f"{OTHER_OPEN}{name}]{text}{OTHER_CLOSE}"
 
 

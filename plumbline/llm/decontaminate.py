@@ -115,6 +115,21 @@ def covered(windows: Column) -> Column:
     return F.aggregate(windows, start, add, lambda acc: acc["n"])
 
 
+def merged(windows: Column) -> Column:
+    """The ranges, in order of their start, put together where they overlap: (start, end)."""
+    kind = "array<struct<start:int,end:int>>"
+
+    def add(acc, w):
+        end = w["start"] + w["k"]
+        last = F.try_element_at(acc, F.lit(-1))
+        grown = F.struct(last["start"].alias("start"), F.greatest(last["end"], end).alias("end"))
+        fresh = F.concat(acc, F.array(F.struct(w["start"].alias("start"), end.alias("end"))))
+        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(grown))
+        return F.when((F.size(acc) > 0) & (last["end"] >= w["start"]), joined).otherwise(fresh)
+
+    return F.aggregate(windows, F.array().cast(kind), add)
+
+
 def digest(found: DataFrame) -> DataFrame:
     n_hit = covered(F.col("windows"))
     return found.select(
@@ -145,11 +160,20 @@ def remove_spans(docs: DataFrame, found: DataFrame, id_column: str = "doc_id", t
     bad = stage(found.where(F.size("windows") > 0).select("doc_id", "text_key", "windows").distinct(), "contaminated")
     bad = bad.select(F.col("doc_id").alias("_bad_id"), F.col("text_key").alias("_bad_key"), F.col("windows").alias("_windows"))
     key = F.xxhash64(F.coalesce(F.col(text_column), F.lit("")))
-    same = F.col(id_column).eqNullSafe(F.col("_bad_id")) & (key == F.col("_bad_key"))
-    text = F.col(text_column)
-    words, gaps = F.filter(F.split(text, BETWEEN), lambda w: w != ""), F.split(text, WITHIN)
-    hit = lambda i: F.exists("_windows", lambda x: (i >= x["start"]) & (i < x["start"] + x["k"]))
-    rest = F.transform(words, lambda w, i: F.when(hit(i), F.lit("")).otherwise(F.concat(w, F.element_at(gaps, i + 2))))
-    clean = F.concat(F.element_at(gaps, 1), F.array_join(rest, ""))
-    marked = docs.join(bad, same, "left")
-    return marked.withColumn(text_column, F.when(F.col("_windows").isNull(), text).otherwise(clean)).select(*docs.columns)
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), key.alias("_key"))
+    same = F.col(f"_row.`{id_column}`").eqNullSafe(F.col("_bad_id")) & (F.col("_key") == F.col("_bad_key"))
+    text, hit = F.col(f"_row.`{text_column}`"), F.col("_windows").isNotNull()
+    # Columns of their own, so that the lambdas below do not cut the text up for every word.
+    cut = marked.join(bad, same, "left").select(
+        "_row",
+        F.when(hit, F.filter(F.split(text, BETWEEN), lambda w: w != "")).alias("_words"),
+        F.when(hit, F.split(text, WITHIN)).alias("_gaps"),
+        F.when(hit, merged(F.col("_windows"))).alias("_ranges"),
+    )
+    inside = lambda i: F.exists("_ranges", lambda x: (i >= x["start"]) & (i < x["end"]))
+    rest = F.transform(
+        "_words", lambda w, i: F.when(inside(i), F.lit("")).otherwise(F.concat(w, F.element_at("_gaps", i + 2)))
+    )
+    clean = F.concat(F.element_at("_gaps", 1), F.array_join(rest, ""))
+    new = F.when(F.col("_ranges").isNull(), text).otherwise(clean).alias(text_column)
+    return cut.select(*[new if c == text_column else F.col(f"_row.`{c}`") for c in docs.columns])

@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import SPACES
 from plumbline.session import stage
 
-# At least 200 characters, a boundary of three letters, at most 1,000 characters.
-CHUNK = r"(?s).{200}.{0,797}?[aeiou][nrst][adehrt]|.{1,1000}"
+# At least 64 characters up to a boundary, at most 1,000: one place in some 200 is a boundary in
+# Latin letters and digits; in other scripts it is a sign behind a letter.
+CHUNK = r"(?s).{64}.{0,933}?(?:[aeio05][mcgpbd17][lfuyvk29]|[^\x00-\x7F]\p{P})|.{1,1000}"
 
 
 def recipes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", id_bits: int = 64) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import small_side, travels
+from plumbline.llm.common import in_slices, slices, small_side, travels
 from plumbline.session import stage
 
 LANGUAGES = ("de", "en", "es", "fr")
@@ -66,7 +66,7 @@ def trigram_buckets(texts: pa.Array) -> tuple[np.ndarray, ...]:
 def _count(languages: Sequence[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((len(languages), BUCKETS), dtype=np.int64)
-        for batch in batches:
+        for batch in in_slices(batches):
             labels = batch.column("label").to_pylist()
             buckets, real, starts, ends, _ = trigram_buckets(batch.column("text"))
             for label, a, b in zip(labels, starts, ends):
@@ -178,26 +178,31 @@ def identify(
     fused = [F.coalesce(F.log(F.col("prior")[i]), flat) + a + F.coalesce(b, F.lit(0.0)) for i, (a, b) in enumerate(by_source)]
     kind = T.StructType([T.StructField("language", T.StringType()), T.StructField("probability", T.DoubleType()), T.StructField("accepted", T.BooleanType())])
 
-    def posterior(texts: pa.Array, *logs: pa.Array) -> pa.Array:
+    def scored(texts: pa.Array, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Best class and its probability of each text."""
         buckets, real, starts, ends, letters = trigram_buckets(texts)
 
         def per_text(values: np.ndarray) -> np.ndarray:
             sums = np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])
             return sums[ends] - sums[starts]
 
-        n = per_text(real)
         scores = np.empty((len(texts), len(languages) + 1))
         for i, row in enumerate(model):
-            scores[:, i] = TEMPER * per_text(np.where(real, row[buckets], 0)) + logs[i].to_numpy(zero_copy_only=False)
-        scores[:, -1] = TEMPER * FOREIGN * n + np.log(FOREIGN_PRIOR)
+            scores[:, i] = TEMPER * per_text(np.where(real, row[buckets], 0)) + logs[i]
+        scores[:, -1] = TEMPER * FOREIGN * per_text(real) + np.log(FOREIGN_PRIOR)
         scores[~letters, :-1] = -np.inf
-        scores -= scores.max(axis=1, keepdims=True)
-        chances = np.exp(scores)
+        chances = np.exp(scores - scores.max(axis=1, keepdims=True))
         chances /= chances.sum(axis=1, keepdims=True)
-        best = chances.argmax(axis=1)
-        top = chances[np.arange(len(best)), best]
+        return chances.argmax(axis=1), chances.max(axis=1)
+
+    def posterior(texts: pa.Array, *logs: pa.Array) -> pa.Array:
+        prior = np.stack([x.to_numpy(zero_copy_only=False) for x in logs])
+        parts = [scored(texts.slice(a, b - a), prior[:, a:b]) for a, b in slices(texts)]
+        best = np.concatenate([np.zeros(0, dtype=np.int64), *[p[0] for p in parts]])
+        top = np.concatenate([np.zeros(0), *[p[1] for p in parts]])
+        names = [*languages, "und"]
         fields = [
-            pa.array([([*languages, "und"])[b] for b in best], pa.string()),
+            pa.array([names[b] for b in best], pa.string()),
             pa.array(top),
             pa.array((best < len(languages)) & (top >= min_probability)),
         ]

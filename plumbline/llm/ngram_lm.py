@@ -27,14 +27,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import travels
+from plumbline.llm.common import in_slices, travels
 from plumbline.session import scratch_path, stage
 
 # Hashes of the end and the start of a text; words have no space in them.
 END, BEGIN = xxhash.xxh3_64_intdigest(b" </s>"), xxhash.xxh3_64_intdigest(b" <s>")
 
 # Distinct words, and tokens, that a task gathers before it sends them on.
-FLUSH_WORDS, FLUSH_TOKENS = 1_000_000, 8_000_000
+FLUSH_WORDS, FLUSH_TOKENS = 500_000, 4_000_000
 
 U = np.uint64
 
@@ -135,7 +135,7 @@ def _count_words(parts: int):
                 names=["part", "keys", "counts"],
             )
 
-        for batch in batches:
+        for batch in in_slices(batches):
             codes, _ = words.read(batch)
             seen = np.bincount(codes, minlength=len(words.hashes))
             seen[: len(counts)] += counts
@@ -282,7 +282,7 @@ def _count_bigrams(vocab: Vocabulary):
                 names=["part", "keys", "counts"],
             )
 
-        for batch in batches:
+        for batch in in_slices(batches):
             codes, sizes = words.read(batch)
             if len(words.hashes) > len(ids):
                 ids = np.concatenate([ids, word_ids(np.array(words.hashes[len(ids) :], dtype=U), vocab, mapped)])
@@ -422,7 +422,7 @@ def _score(model: Model | None):
         mapped, words = Mapped(), Words()
         ids = counts = total = back = level = np.zeros(0)
 
-        for batch in batches:
+        for batch in in_slices(batches):
             if len(words.hashes) > FLUSH_WORDS:
                 words, ids = Words(), np.zeros(0)
             codes, sizes = words.read(batch)

@@ -32,6 +32,9 @@ DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
 ARCHIVE_BYTES = 256 << 20
 RANGE_BYTES = 4 << 20
 BLOCK = 1 << 20
+OUT_BYTES = 16 << 20
+RANGES_PER_TASK = 4
+MOST_TASKS = 50_000
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 travels(__name__)
@@ -295,14 +298,24 @@ def _records(with_payload: bool):
     names = ["page_id", "url", "record_type", "refers_to", "payload", "payload_bytes", "payload_digest"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+
+        def flush() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
+            rows.clear()
+            return batch
+
         for batch in batches:
             for address, start, size in zip(*[batch.column(c).to_pylist() for c in ("address", "start", "size")]):
                 with _open(address) as source:
-                    rows = []
                     for record in gzip_members(source, start, size):
                         row = parse_record(record)
                         rows.append(row if with_payload else (*row[:4], None, *row[5:]))
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
+                        held += len(record) if with_payload else 500
+                        if held > OUT_BYTES:
+                            yield flush()
+                            held = 0
+        yield flush()
 
     return run
 
@@ -314,6 +327,9 @@ def read_archives(archives: DataFrame, with_payload: bool = True, range_bytes: i
     directory is an error; an archive without an index is read as one range.
     """
     ranges = archives.select("address").mapInArrow(_ranges(range_bytes), "address string, start long, size long")
-    # A few bytes per range of some megabytes: dealing them out moves next to nothing.
-    spread = ranges.repartition("address", "start")
+    # A few bytes stand for some megabytes each: they are dealt out by number, as Spark would take
+    # so few bytes for a single task's work.
+    ranges = stage(ranges, "ranges")
+    tasks = max(1, min(-(-ranges.count() // RANGES_PER_TASK), MOST_TASKS))
+    spread = ranges.repartition(tasks, "address", "start")
     return spread.mapInArrow(_records(with_payload), RECORD)
