@@ -34,6 +34,8 @@ STATES = len(ALPHABET) + 1
 # Labelled tokens that each model is fitted on, at most: those with the smallest hash.
 SAMPLE_TOKENS = 20_000
 MARGIN = 0.8
+# Weight of the single characters' shares against the counts of pairs.
+LEAN = 10.0
 
 
 def _spans(text: Column, matches: Column, pattern: str) -> Column:
@@ -112,9 +114,13 @@ def train(found: DataFrame, sample_tokens: int = SAMPLE_TOKENS) -> list[float]:
         return [0.0] * (STATES * STATES)
     logs = {}
     for label, seen in counts.items():
-        totals = [sum(seen.get(a * STATES + b, 0) for b in range(STATES)) for a in range(STATES)]
+        total = sum(seen.values())
+        ends = [sum(seen.get(a * STATES + b, 0) for a in range(STATES)) for b in range(STATES)]
+        single = [(n + 0.5) / (total + 0.5 * STATES) for n in ends]
+        starts = [sum(seen.get(a * STATES + b, 0) for b in range(STATES)) for a in range(STATES)]
+        # Pairs that are rare in the samples lean on how frequent the second character is.
         logs[label] = [
-            math.log((seen.get(a * STATES + b, 0) + 0.5) / (totals[a] + 0.5 * STATES))
+            math.log((seen.get(a * STATES + b, 0) + LEAN * single[b]) / (starts[a] + LEAN))
             for a in range(STATES)
             for b in range(STATES)
         ]

@@ -18,6 +18,7 @@ import uuid
 import zipfile
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -106,12 +107,8 @@ def _writer(folder: str, archive_bytes: int):
             store.create_dir(path, recursive=True)
             # A name of its own for each attempt: only files in the written list are ever read.
             address = f"{folder}/{uuid.uuid4().hex}.wacz"
-
-            def rest(head: bytes = first) -> Iterator[bytes]:
-                yield head
-                yield from source
-
-            count = write_archive(address, rest(), archive_bytes)
+            # A chain, unlike a generator, leaves the source open when the archive is full.
+            count = write_archive(address, chain([first], source), archive_bytes)
             yield pa.RecordBatch.from_arrays([pa.array([address]), pa.array([count], pa.int64())], names=["address", "records"])
 
     return run
