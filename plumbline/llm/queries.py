@@ -93,7 +93,26 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PROBE = "</s>[INST] ok [/INST]"
 
 
-@query("op4_chat_format")
+# Opening and closing marks together have 15 (system), 13 (user) and 7 characters. A text is escaped if it has a
+# control string, or an escape character where it would count as one.
+_CONTROL = r"<<SYS>>|<</SYS>>|\[INST\]|\[/INST\]|<s>|</s>|\[ROLE |\[/ROLE\]"
+
+
+@query(
+    "op4_chat_format",
+    rf"""with c as (
+      select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+      union all values (-7, 0, 'user', '{_PROBE}'), (-7, 1, 'assistant', '{_PROBE}')),
+    l as (select *, case role when 'system' then 15 when 'user' then 13 else 7 end + length(text)
+                    + case when regexp_matches(text, '{_CONTROL}|␛␛|␛$')
+                           then len(regexp_extract_all(text, '␛|{_CONTROL}')) else 0 end as n from c)
+    select conv_id, count(*) as n_turns,
+           sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+           coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
+           sha256(coalesce(string_agg(text, '' order by turn, text) filter (where role = 'assistant'), '')) as loss_sha256,
+           sum(n)::bigint as formatted_chars
+    from l group by conv_id""",
+)
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.range(2).select(
@@ -105,7 +124,21 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(turns.unionByName(probe)))
 
 
-@query("op6_warc_zip")
+_BIT = " + ".join(f"{16 >> i} * cast(substr(b, 5 * i + {i + 1}, 1) as int)" for i in range(5))
+
+
+@query(
+    "op6_warc_zip",
+    f"""with p as (select page_id, coalesce(html, '') as html from pages),
+    d as (select page_id, strlen(html) as payload_bytes, cast(cast(unhex(sha1(html)) as bit) as varchar) as b,
+                 max(page_id) over (partition by html) as owner from p)
+    select page_id, payload_bytes,
+           array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + {_BIT}, 1)), '')
+             as payload_digest,
+           case when page_id = owner then 'response' else 'revisit' end as record_type,
+           case when page_id <> owner then owner end as refers_to
+    from d""",
+)
 def op6_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = warc_zip.write_pages(table(spark, sf_dir, "pages"))
     records = warc_zip.read_archives(archives, with_payload=False)
