@@ -17,6 +17,8 @@ from plumbline.operators.metrics import METRIC_COLUMNS, QUALITY_METRICS
 from plumbline.plans import jobs
 from plumbline.plans.metric_sql import bin_sql, long_groups_sql, metrics_sql, sweep_sql
 from plumbline.plans.queries_change import (
+    BIAS,
+    BIAS_ROWS,
     DEGRADED_CTES,
     PERIODS,
     RATES,
@@ -91,6 +93,43 @@ def formula_sql(salt: str = "job") -> str:
     return f"floor({raw} * 65536e0) / 65536e0"
 
 
+_LEARNED_FROM = ["project_key", "priority", "has_description"]
+
+
+def learned_scorer(salt: str = "job"):
+    """A closed-form model: the weighted, smoothed positive rate of the training rows with the same
+    project, priority and description flag, beside noise, label and text length of the test row."""
+
+    def score(train, test, run, name="model"):
+        keys = [F.coalesce(F.col(c).cast("string"), F.lit("__NULL__")).alias(f"_{c}") for c in _LEARNED_FROM]
+        weight = F.col("weight") if "weight" in train.columns else F.lit(1.0)
+        rate = (F.sum(weight * F.col(TARGET)) + 2.5) / (F.sum(weight) + 10.0)
+        rates = train.groupBy(*keys).agg((F.round(rate * 4096.0) / 4096.0).alias("_rate"))
+        joined = test.select("*", *keys).join(rates, [f"_{c}" for c in _LEARNED_FROM], "left")
+        length = F.least(F.col("description_length").cast("double"), F.lit(1000.0)) / 1000.0
+        learned = F.coalesce("_rate", F.lit(0.25))
+        raw = 0.4 * uniform(F.col("id"), salt) + 0.1 * F.col(TARGET) + 0.4 * learned + 0.1 * length
+        kept = [c for c in ["id", "key", "created", "world_id", *jobs.FAIRNESS_GROUPS] if c in test.columns]
+        p = F.floor(raw * 65536.0).cast("double") / 65536.0
+        return joined.select(F.lit(run).alias(name), *kept, F.col(TARGET).alias("y_true"), p.alias("y_prob"))
+
+    return score
+
+
+def learned_sql(name: str, tests: str, training: str, runs=(), weight: str = "1e0", where="split = 'test'", among="split = 'train'", more="1 as one") -> str:
+    """Rates of the training rows per run, and the test rows with their scores."""
+    keys = [f"coalesce(cast({c} as varchar), '__NULL__') as k{i}" for i, c in enumerate(_LEARNED_FROM)]
+    same = [f"k{i} = coalesce(cast(x.{c} as varchar), '__NULL__')" for i, c in enumerate(_LEARNED_FROM)]
+    same += [f"rates.{c} = x.{c}" for c in runs]
+    length = "least(cast(x.description_length as double), 1000e0) / 1000e0"
+    raw = f"0.4e0 * {u_sql('x.id', 'job')} + 0.1e0 * x.late_resolution + 0.4e0 * coalesce(rate, 0.25e0) + 0.1e0 * ({length})"
+    return f"""{name}_rates as (select {", ".join([*runs, *keys])},
+             round((sum({weight} * late_resolution) + 2.5e0) / (sum({weight}) + 10e0) * 4096e0) / 4096e0 as rate
+             from {training} where {among} group by all),
+        {name} as (select {more}, x.*, x.late_resolution as y_true, floor(({raw}) * 65536e0) / 65536e0 as y_prob
+             from (select * from {tests} where {where}) x left join {name}_rates rates on {" and ".join(same)})"""
+
+
 SPLIT = stratified_split_sql("s", "labelled")
 
 
@@ -378,7 +417,7 @@ def deltas_sql(columns, source, key, base, pattern="delta_{}"):
         "labelled",
         [melt_sql("degradation_experiments", "report", ["scenario", "description"], _DEGRADED)],
         *DEGRADED_CTES,
-        tested("t", "degraded", "1 as one"),
+        learned_sql("t", "degraded", "degraded", ["scenario"]),
         metrics_sql("m", "t", ["scenario"], edges="open0"),
         """sizes as (select scenario, count(*) filter (where split = 'train') as train_rows,
              count(*) filter (where split = 'test') as test_rows,
@@ -399,7 +438,7 @@ def deltas_sql(columns, source, key, base, pattern="delta_{}"):
     ),
 )
 def _(spark, sf_dir):
-    reports = jobs.degradation_experiment(prepared(spark, sf_dir), formula_scorer())
+    reports = jobs.degradation_experiment(prepared(spark, sf_dir), learned_scorer())
     return together(
         melted("degradation_experiments", reports["degradation_experiments"], ["scenario", "description"], _DEGRADED)
     )
@@ -487,8 +526,8 @@ _SHIFT = [*NUM, TARGET]
         "dated_labelled as (select * from labelled where created is not null)",
         stratified_split_sql("s", "dated_labelled"),
         TEMPORAL,
-        tested("t1", "s", "'random_split' as split_type"),
-        tested("t2", "temporal", "'temporal_split' as split_type"),
+        learned_sql("t1", "s", "s", more="'random_split' as split_type"),
+        learned_sql("t2", "temporal", "temporal", more="'temporal_split' as split_type"),
         "t as (select split_type, y_true, y_prob from t1 union all select split_type, y_true, y_prob from t2)",
         metrics_sql("m", "t", ["split_type"], edges="open0"),
         """sizes as (select 'random_split' as split_type, count(*) filter (where split = 'train') as train_rows,
@@ -506,7 +545,7 @@ _SHIFT = [*NUM, TARGET]
     ),
 )
 def _(spark, sf_dir):
-    reports = jobs.temporal_drift(prepared(spark, sf_dir), formula_scorer())
+    reports = jobs.temporal_drift(prepared(spark, sf_dir), learned_scorer())
     return together(
         melted("temporal_drift_metrics", reports["temporal_drift_metrics"], ["split_type"], _DRIFTED),
         melted("temporal_numeric_shift", reports["temporal_numeric_shift"], ["column"], ["train_mean", "test_mean", "psi"]),
@@ -549,7 +588,9 @@ _STATIC = "static_initial_train"
         WINDOWS,
         "spans as (select time_bin, count(*) as rows, avg(late_resolution) as positive_rate from periods group by 1)",
         "asked as (select strategy, 'period_' || test_period as test_period, periods.* from periods join windows on period = windows.test_period)",
-        tested("t", "asked", "1 as one", "true"),
+        """taught as (select strategy, 'period_' || test_period as test_period, periods.*
+             from periods join windows on period between first_period and last_period)""",
+        learned_sql("t", "asked", "taught", ["strategy", "test_period"], where="true", among="true"),
         metrics_sql("m", "t", ["strategy", "test_period"], edges="open0"),
         """trained as (select strategy, 'period_' || test_period as test_period, count(*) as train_rows,
              avg(late_resolution) as train_positive_rate
@@ -570,7 +611,7 @@ _STATIC = "static_initial_train"
     ),
 )
 def _(spark, sf_dir):
-    reports = jobs.retraining(prepared(spark, sf_dir), formula_scorer())
+    reports = jobs.retraining(prepared(spark, sf_dir), learned_scorer())
     return together(
         melted("retraining_period_summary", reports["retraining_period_summary"], ["time_bin"], ["rows", "positive_rate"]),
         melted("retraining_metrics", reports["retraining_metrics"], ["strategy", "test_period"], _RETRAINED),
@@ -583,11 +624,11 @@ def _(spark, sf_dir):
     return rounded(jobs.retraining(prepared(spark, sf_dir), jobs.ForestScorer(**TREES))["retraining_summary"])
 
 
-_SEEDS = [42, 43, 44, 45]
+_SEEDS = list(jobs.SEEDS)
 _SEED_TESTS = [
     part
     for s in _SEEDS
-    for part in (stratified_split_sql(f"s{s}", "labelled", seed=s), tested(f"t{s}", f"s{s}", f"{s} as seed"))
+    for part in (stratified_split_sql(f"s{s}", "labelled", seed=s), learned_sql(f"t{s}", f"s{s}", f"s{s}", more=f"{s} as seed"))
 ]
 _SPREAD_SQL = " union all ".join(
     f"""select '{m}' as metric, avg("{m}") as mean, stddev_samp("{m}") as std, min("{m}") as min, max("{m}") as max,
@@ -613,7 +654,7 @@ _SPREAD_SQL = " union all ".join(
     ),
 )
 def _(spark, sf_dir):
-    reports = jobs.stability(prepared(spark, sf_dir), lambda seed: formula_scorer(), _SEEDS)
+    reports = jobs.stability(prepared(spark, sf_dir), lambda seed: learned_scorer(), _SEEDS)
     return together(
         melted("stability_seed_metrics", reports["stability_seed_metrics"], ["seed"], jobs.EVALUATED),
         melted("stability_seed_summary", reports["stability_seed_summary"], ["metric"]),
@@ -765,11 +806,13 @@ def _disparity_sql(run):
             melt_sql("bias_scenario_disparities", "spread_rows", ["scenario", "metric"], _GAPS3),
         ],
         SPLIT,
-        tested("t0", "s", "1 as one"),
-        "pc as (select project_key as p, count(*) as n from labelled where project_key is not null group by 1)",
-        "t as (select *, coalesce(project_key, '__NULL__') as group_value from t0, (select unnest(["
+        BIAS,
+        f"biased as (select b.*, s.project_key from ({BIAS_ROWS}) b join s on s.id = b.id)",
+        "asked as (select s.*, scenario from s, (select unnest(["
         + ", ".join(f"'{x}'" for x in perturb.BIAS_SCENARIOS)
         + "]) as scenario))",
+        learned_sql("t0", "asked", "biased", ["scenario"], among="true"),
+        "t as (select *, coalesce(project_key, '__NULL__') as group_value from t0)",
         metrics_sql("m", "t", ["scenario"], edges="left", one_class_ap=None),
         f"""whole as (select *, (select p from pc order by n, p limit 1) as minority_group,
              (select p from pc order by n desc, p limit 1) as majority_group from ({_BIAS_NAMES} m))""",
@@ -779,7 +822,7 @@ def _disparity_sql(run):
     ),
 )
 def _(spark, sf_dir):
-    reports = jobs.bias_experiment(prepared(spark, sf_dir), formula_scorer())
+    reports = jobs.bias_experiment(prepared(spark, sf_dir), learned_scorer())
     return together(
         melted(
             "bias_scenario_metrics",
@@ -819,13 +862,22 @@ _SEVEN = [m for m in jobs.BIAS_METRICS]
             ),
         ],
         SPLIT,
-        tested("t0", "s", "1 as one"),
-        "base as (select *, coalesce(project_key, '__NULL__') as group_value from t0)",
+        """counted as (select *, coalesce(project_key, '__NULL__') as g, count(*) over () as n,
+             count(*) over (partition by late_resolution) as n_y, count(*) over (partition by coalesce(project_key, '__NULL__')) as n_g,
+             count(*) over (partition by coalesce(project_key, '__NULL__'), late_resolution) as n_gy from s where split = 'train')""",
+        """kinds as (select count(distinct g) as k_g, count(distinct (g, late_resolution)) as k_gy from counted)""",
+        """weighted as (select strategy, counted.*, case strategy when 'class_weight_balanced' then n / (2e0 * n_y)
+             when 'group_reweighting' then n * 1e0 / (k_g * n_g) when 'group_class_reweighting' then n * 1e0 / (k_gy * n_gy)
+             else 1e0 end as weight from counted, kinds, """
+        + f"(select unnest({_STRATEGIES}) as strategy))",
+        f"asked as (select s.*, strategy from s, (select unnest({_STRATEGIES}) as strategy))",
+        learned_sql("t0", "asked", "weighted", ["strategy"], "weight", among="true"),
+        "every as (select *, coalesce(project_key, '__NULL__') as group_value from t0)",
+        "base as (select * exclude (strategy) from every where strategy = 'baseline')",
         sweep_sql("sweep", "base", [], MITIGATION_THRESHOLDS, None),
         "best as (select threshold from sweep order by f1 desc, threshold limit 1)",
-        "named as (select x.strategy, x.thr, base.* from base, (values "
-        + ", ".join(f"('{n}', 0.25e0)" for n in _STRATEGIES)
-        + ", ('global_threshold_best_f1', (select threshold from best))) x(strategy, thr))",
+        """named as (select strategy, 0.25e0 as thr, * exclude (strategy) from every union all
+             select 'global_threshold_best_f1', (select threshold from best), base.* from base)""",
         metrics_sql("m", "named", ["strategy"], "thr", "left", one_class_ap=None),
         metrics_sql("g", "named", ["strategy", "group_value"], "thr", "left", one_class_ap=None, min_rows=20),
         f"grp as ({_BIAS_NAMES} g)",
@@ -841,7 +893,7 @@ _SEVEN = [m for m in jobs.BIAS_METRICS]
     ),
 )
 def _(spark, sf_dir):
-    reports = jobs.bias_mitigation(prepared(spark, sf_dir), formula_scorer())
+    reports = jobs.bias_mitigation(prepared(spark, sf_dir), learned_scorer())
     return together(
         melted("bias_mitigation_metrics", reports["bias_mitigation_metrics"], ["strategy"], _SEVEN),
         melted("bias_mitigation_group_metrics", reports["bias_mitigation_group_metrics"], ["strategy", "group_value"], _SEVEN),

@@ -181,3 +181,19 @@ def test_feature_model_handles_the_unseen(spark):
 def test_most_frequent_takes_first_on_ties(spark):
     df = spark.createDataFrame([("b",), ("a",), (None,), (None,), (None,)], "c string")
     assert features.most_frequent(df, ["c"]).first().value == "a"
+
+
+def test_experiments_follow_their_training_rows(spark):
+    """Each damaged, biased or weighted training table gives figures of its own."""
+    from plumbline.plans.catalog import QUERIES
+
+    def values(query, report, measure):
+        rows = QUERIES[query](spark, "/root/testdata/sf0.001").where(f"report = '{report}' and measure = '{measure}'")
+        return {r["item"]: r["value"] for r in rows.collect()}
+
+    # The scenarios of this data that change no training rate may tie; labels and rows do change it.
+    assert len(set(values("E14_bias_scenarios", "bias_scenario_metrics", "brier_score").values())) >= 4
+    weighted = values("E15_bias_mitigation", "bias_mitigation_metrics", "brier_score")
+    assert len({v for k, v in weighted.items() if not k.startswith("global_")}) >= 4
+    assert any(v for v in values("E10_retraining", "retraining_metrics", "delta_vs_static_brier_score").values())
+    assert values("E07_degradation_experiment", "degradation_experiments", "delta_brier_score")
