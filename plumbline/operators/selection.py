@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.scalars import uniform
 
 SLICES = 4096
+TEXT_BOUNDS = 64
 MOST_CLASSES = 100
 SORT_AT_MOST = 200_000
 
@@ -38,6 +40,23 @@ class Cut:
         return result
 
 
+def _narrow_text(scope: DataFrame, name: str, lowest: str, position: int) -> tuple[DataFrame, int]:
+    """Narrow to the interval between two texts that holds a position.
+
+    The bounds are the lowest text and, for each of some hashes, the text with the smallest one:
+    a draw among the distinct texts that comes back in one row.
+    """
+    drawn = [F.min(F.struct(F.xxhash64(name, F.lit(i)), F.col(name).alias("v")))["v"].alias(f"v{i}") for i in range(TEXT_BOUNDS)]
+    bounds = sorted({lowest, *scope.agg(*drawn).first()}, key=str.encode)
+    counts = scope.agg(*[F.count_if(F.col(name) <= F.lit(b)).alias(f"n{i}") for i, b in enumerate(bounds)]).first()
+    at = next((i for i, n in enumerate(counts) if position < n), len(bounds))
+    if at < len(bounds):
+        scope = scope.where(F.col(name) <= F.lit(bounds[at]))
+    if at > 0:
+        scope, position = scope.where(F.col(name) > F.lit(bounds[at - 1])), position - counts[at - 1]
+    return scope, position
+
+
 def _row_at(rows: DataFrame, names: list[str], position: int, sort_at_most: int) -> Cut | None:
     """Narrow ``rows`` (ordering columns only) to the row at a zero-based position, if there is one."""
     depth, scope, fixed = 0, rows, []
@@ -52,14 +71,16 @@ def _row_at(rows: DataFrame, names: list[str], position: int, sort_at_most: int)
             fixed.append(bounds.lo)
             scope, depth = scope.where(F.col(name) == F.lit(bounds.lo)), depth + 1
             continue
+        if isinstance(bounds.lo, str):
+            scope, position = _narrow_text(scope, name, bounds.lo, position)
+            continue
         if not isinstance(bounds.lo, (int, float)):
-            raise TypeError(f"only the last ordering columns, with few ties before them, may be text: {name}")
-        whole = isinstance(bounds.lo, int)
-        if whole:
+            raise TypeError(f"ordering columns must be numbers or text: {name}")
+        if isinstance(bounds.lo, int):
+            # As decimals, since two 64-bit numbers may be more than 2^63 apart.
             width = -(-(bounds.hi - bounds.lo + 1) // SLICES)
-            slot = F.floor((F.col(name) - F.lit(bounds.lo)) / F.lit(float(width)))
-            if width == 1:
-                slot = F.col(name) - F.lit(bounds.lo)
+            above = F.col(name).cast("decimal(20,0)") - F.lit(Decimal(bounds.lo))
+            slot = F.floor(above / F.lit(Decimal(width)))
         else:
             width = (bounds.hi - bounds.lo) / SLICES
             slot = F.least(F.floor((F.col(name) - F.lit(bounds.lo)) / F.lit(width)), F.lit(SLICES - 1))
@@ -87,7 +108,8 @@ def cut_points(
 
     NULLs must be filtered out first.
 
-    The ordering columns must be numbers, with something unique last.
+    The ordering columns must be numbers or text (in the order of its UTF-8 bytes), with something
+    unique last.
     """
     names = [f"_o{i}" for i in range(len(order))]
     rows = df.select(*[c.alias(n) for c, n in zip(order, names)])

@@ -459,31 +459,31 @@ def _(spark, sf_dir):
     "P26_traffic_light_status",
     sql(
         "scored",
-        """select id, kpi, case when value is null then 'missing'
+        """select model, id, kpi, case when value is null then 'missing'
                   when kpi in ('ece', 'brier_score') then
                     case when value <= 0.05e0 then 'green' when value <= 0.15e0 then 'amber' else 'red' end
                   when value >= 0.75e0 then 'green' when value >= 0.5e0 then 'amber' else 'red' end as status
-           from (select id, case id % 3 when 0 then 'ece' when 1 then 'f1' else 'recall' end as kpi,
-                        case when id % 11 <> 0 then y_prob end as value from scored where model = 'boosted')""",
+           from (select model, id, case id % 3 when 0 then 'ece' when 1 then 'f1' else 'recall' end as kpi,
+                        case when id % 11 <> 0 then y_prob end as value from scored)""",
     ),
 )
 def _(spark, sf_dir):
     number = F.col("id")
     kpi = F.when(number % 3 == 0, "ece").when(number % 3 == 1, "f1").otherwise("recall")
     value = F.when(number % 11 != 0, F.col("y_prob"))
-    return scored(spark, sf_dir).where("model = 'boosted'").select("id", kpi.alias("kpi"), status_of(kpi, value).alias("status"))
+    return scored(spark, sf_dir).select("model", "id", kpi.alias("kpi"), status_of(kpi, value).alias("status"))
 
 
 @query(
     "P27_infinite_to_null",
     sql(
         "scored",
-        f"select id, {r('case when y_true <> 0 then y_prob / y_true end')} as ratio from scored where model = 'boosted'",
+        f"select model, id, {r('case when y_true <> 0 then y_prob / y_true end')} as ratio from scored",
     ),
 )
 def _(spark, sf_dir):
     ratio = F.when(F.col("y_true") == 0, F.lit(float("inf"))).otherwise(safe_ratio(F.col("y_prob"), F.col("y_true")))
-    return rounded(scored(spark, sf_dir).where("model = 'boosted'").select("id", finite(ratio).alias("ratio")))
+    return rounded(scored(spark, sf_dir).select("model", "id", finite(ratio).alias("ratio")))
 
 
 @query("P28_safe_ratio", f"select l_orderkey, l_linenumber, l_partkey, {r('l_tax / nullif(l_discount, 0)')} as ratio from lineitem")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.functions.grids import SWEEP_THRESHOLDS
+from plumbline.functions.scalars import null_group
 from plumbline.operators import gaps, kpi, metrics, perturb, prepare, profile, risk
 from plumbline.operators.kpi import ReportTable
 from plumbline.plans.metric_sql import long_groups_sql, metrics_sql, pick, sweep_sql
@@ -236,16 +237,23 @@ def _(spark, sf_dir):
 
 # ---------------------------------------------------------------- seeds, worlds, disparities
 
-# Ten runs: the scored rows of the first model, each run on its own hashed four fifths.
+# A scored row of its own for each model and record.
+_ROWS = "(select * replace (model || ':' || id as id) from scored)"
+
+
+def scored_rows(spark, sf_dir):
+    return scored(spark, sf_dir).withColumn("id", F.concat_ws(":", "model", "id"))
+
+
+# Ten runs over the scored rows, each on its own hashed four fifths.
 SEEDS = "seeds as (" + " union all ".join(
-    f"select {s} as seed, * from scored where model = 'logistic_regression' and {u_sql('id', f'seed{s}')} < 0.8e0"
-    for s in range(42, 52)
+    f"select {s} as seed, * from {_ROWS} where {u_sql('id', f'seed{s}')} < 0.8e0" for s in range(42, 52)
 ) + ")"
 SEED_METRICS = metrics_sql("runs", "seeds", ["seed"])
 
 
 def seed_metrics(spark, sf_dir):
-    base = scored(spark, sf_dir).where("model = 'logistic_regression'")
+    base = scored_rows(spark, sf_dir)
     chosen = F.array(*[F.when(perturb.hit("id", f"seed{s}", 0.8), s) for s in range(42, 52)])
     runs = base.select("y_true", "y_prob", F.explode(F.array_compact(chosen)).alias("seed"))
     return metrics.evaluate(runs, ["seed"])
@@ -276,7 +284,7 @@ def _(spark, sf_dir):
 WORLDS = f"""worlds as (
   select id, w as world_id,
          floor((0.9e0 * y_prob + 0.1e0 * {u_sql("id || '-' || w", 'w')}) * 65536e0) / 65536e0 as predicted_probability
-  from (select * from scored where model = 'boosted'), (select unnest(range(1, 9)) as w))"""
+  from {_ROWS}, (select unnest(range(1, 9)) as w))"""
 WORLD_SPREAD = """spread as (
   select id, count(distinct world_id) as worlds, avg(predicted_probability) as mean_probability,
          stddev_samp(predicted_probability) as std_probability, min(predicted_probability) as min_probability,
@@ -287,7 +295,7 @@ WORLD_SPREAD = """spread as (
 def worlds(spark, sf_dir):
     from plumbline.functions.scalars import uniform
 
-    base = scored(spark, sf_dir).where("model = 'boosted'")
+    base = scored_rows(spark, sf_dir)
     spread = base.select("id", "y_prob", F.explode(F.sequence(F.lit(1), F.lit(8))).alias("world_id"))
     noise = uniform(F.concat_ws("-", F.col("id").cast("string"), F.col("world_id").cast("string")), "w")
     moved = F.floor((0.9 * F.col("y_prob") + 0.1 * noise) * 65536.0).cast("double") / 65536.0
@@ -315,13 +323,13 @@ def _(spark, sf_dir):
     sql(
         "scored",
         f"""select spread.id as id, worlds, {pick(_SPREAD_COLUMNS)}, {r("y_prob")} as baseline_probability
-            from spread left join (select * from scored where model = 'boosted' and status <> 'P') b using (id)""",
+            from spread left join {_ROWS} b using (id)""",
         WORLDS,
         WORLD_SPREAD,
     ),
 )
 def _(spark, sf_dir):
-    baseline = scored(spark, sf_dir).where("model = 'boosted' and status <> 'P'")
+    baseline = scored_rows(spark, sf_dir)
     baseline = baseline.select("id", F.col("y_prob").alias("baseline_probability"))
     return rounded(perturb.world_spread(worlds(spark, sf_dir), baseline))
 
@@ -356,7 +364,6 @@ SHORTENED = "short as (select *, false_positive_rate as fpr, false_negative_rate
 
 
 def strategy_groups(spark, sf_dir):
-    from plumbline.functions.scalars import null_group
 
     named = scored(spark, sf_dir).select(
         F.when(F.col("model") == "boosted", "baseline").otherwise(F.col("model")).alias("strategy"),
@@ -579,13 +586,14 @@ def _(spark, sf_dir):
     sql(
         "labelled",
         f"""select id, priority, row_number() over (partition by priority order by {u_sql('id', 'rank')}, id) - 1 as rank,
-                   count(*) over (partition by priority) as n from labelled where priority is not null""",
+                   count(*) over (partition by priority) as n
+            from (select id, coalesce(priority, '__NULL__') as priority from labelled)""",
     ),
 )
 def _(spark, sf_dir):
     from plumbline.operators.selection import with_dense_rank
 
-    df = labelled(spark, sf_dir).select("id", "priority").where("priority is not null")
+    df = labelled(spark, sf_dir).select("id", null_group(F.col("priority")).alias("priority"))
     return with_dense_rank(df, ["priority"])
 
 

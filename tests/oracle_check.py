@@ -64,7 +64,7 @@ def compare(spark, db, name, run, sql, sf_dir):
     bad = [(g, w) for g, w in zip(got, want) if g != w]
     if bad:
         return f"VALUES {len(bad)} of {len(got)}: {got_names}\n   spark {bad[0][0]}\n   duck  {bad[0][1]}"
-    return f"ok ({len(got)})" if got else "ok EMPTY"
+    return f"ok ({len(got)})" if got else "EMPTY"
 
 
 def main():
