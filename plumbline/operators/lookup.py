@@ -9,12 +9,17 @@ from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 20_000
 
-# Rows that one window partition may hold.
+# Rows that one window partition may hold, unless the session sets ``plumbline.windowRows``.
 WINDOW_ROWS = 4_000_000
 
 
+def window_limit(df: DataFrame, given: int | None) -> int:
+    """The number given, that of the session, or the default."""
+    return given if given is not None else int(df.sparkSession.conf.get("plumbline.windowRows", str(WINDOW_ROWS)))
+
+
 def large_groups(
-    df: DataFrame, keys: Sequence[str], window_rows: int = WINDOW_ROWS, broadcast_rows: int = BROADCAST_ROWS
+    df: DataFrame, keys: Sequence[str], window_rows: int | None = None, broadcast_rows: int = BROADCAST_ROWS
 ) -> DataFrame | None:
     """The keys with more rows than one window partition may hold; None if there are none.
 
@@ -22,6 +27,7 @@ def large_groups(
     whole that counting the rows answers the question, and for a written table that only
     reads file footers.
     """
+    window_rows = window_limit(df, window_rows)
     if df.count() <= window_rows:
         return None
     sizes = df.groupBy(*keys).agg(F.count("*").alias("_size")).where(F.col("_size") > window_rows).drop("_size")

@@ -22,7 +22,7 @@ from plumbline.functions.grids import (
 )
 from plumbline.functions.scalars import absolute_error, count_reached, null_group, predicted, safe_ratio, zero_ratio
 from plumbline.operators.curves import areas, ranking_curves, with_running_totals
-from plumbline.operators.lookup import WINDOW_ROWS, attach, large_groups
+from plumbline.operators.lookup import attach, large_groups
 
 METRIC_COLUMNS = [
     "rows",
@@ -157,7 +157,7 @@ def evaluate(
     one_class_ap: float | None = 0.0,
     y: str = "y_true",
     p: str = "y_prob",
-    window_rows: int = WINDOW_ROWS,
+    window_rows: int | None = None,
 ) -> DataFrame:
     """All metrics per key: ``keys`` + ``METRIC_COLUMNS`` (without the curves if so asked).
 

@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import to_number
-from plumbline.operators.lookup import WINDOW_ROWS
+from plumbline.operators.lookup import window_limit
 
 # Buckets per doubling of the value, for the first cut and within one bucket of it.
 COARSE, FINE = 256, 65536
@@ -104,7 +104,7 @@ def quantiles(
     value: Column,
     probs: Sequence[float],
     few_keys: bool | None = None,
-    window_rows: int = WINDOW_ROWS,
+    window_rows: int | None = None,
 ) -> DataFrame:
     """Linear-interpolation quantiles per key: columns ``keys``, ``n``, ``quantiles`` (array).
 
@@ -117,7 +117,7 @@ def quantiles(
     keys = list(keys)
     few = not keys if few_keys is None else few_keys
     base = df.select(*keys, to_number(value).alias("_v")).where(F.col("_v").isNotNull())
-    if df.count() <= window_rows:
+    if df.count() <= window_limit(df, window_rows):
         found = _ranked_in_one_window(base, keys, probs)
     else:
         found = _ranked_in_buckets(base, keys, probs, few)

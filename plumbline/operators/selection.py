@@ -191,9 +191,11 @@ def time_order(created: str = "created", id_column: str = "id") -> list[Column]:
     return [F.unix_micros(F.col(created).cast("timestamp")), F.col(id_column)]
 
 
-def temporal_train(df: DataFrame, test_fraction: float = 0.2, id_column: str = "id") -> Column:
+def temporal_train(
+    df: DataFrame, test_fraction: float = 0.2, id_column: str = "id", sort_at_most: int = SORT_AT_MOST
+) -> Column:
     """A predicate for the training rows of a temporal split: the earliest ``int(n * (1 - f))``."""
-    return first_k(df, time_order(id_column=id_column), int(df.count() * (1 - test_fraction)))
+    return first_k(df, time_order(id_column=id_column), int(df.count() * (1 - test_fraction)), sort_at_most)
 
 
 def positional_bin_sizes(rows: int, bins: int) -> list[int]:
@@ -201,10 +203,12 @@ def positional_bin_sizes(rows: int, bins: int) -> list[int]:
     return [max(rows - 1, 0) * b // bins for b in range(1, bins)]
 
 
-def with_time_bins(df: DataFrame, bins: int = 5, id_column: str = "id") -> DataFrame:
+def with_time_bins(
+    df: DataFrame, bins: int = 5, id_column: str = "id", sort_at_most: int = SORT_AT_MOST
+) -> DataFrame:
     """Equal-count bins in time order: ``period`` (1..bins) and ``time_bin`` (its label)."""
     order = time_order(id_column=id_column)
-    cuts = cut_points(df, order, positional_bin_sizes(df.count(), bins))
+    cuts = cut_points(df, order, positional_bin_sizes(df.count(), bins), sort_at_most)
     period = F.lit(bins)
     for number, cut in reversed(list(enumerate(cuts, start=1))):
         if cut:
