@@ -34,7 +34,7 @@ KPI_CATALOG = [
 
 @dataclass
 class ReportTable:
-    """A report, its identifying columns, and the order in which its rows count as written."""
+    """A report, its identifying columns, and the numbers that give the order its rows were written in."""
 
     source: str
     table: DataFrame | None
@@ -49,9 +49,11 @@ def numeric_columns(df: DataFrame, besides: Sequence[str] = ()) -> list[str]:
 def melt(report: ReportTable, table_ord: int, lower_is_better: Sequence[str] = LOWER_IS_BETTER) -> DataFrame:
     """One row per report row and numeric column, with status and place of writing."""
     df = report.table
+    if not report.order:
+        raise ValueError(f"{report.source} needs the columns that tell which row was written last")
     ids = [c for c in report.ids if c in df.columns]
-    kpis = numeric_columns(df, ids)
-    place = F.array(*[F.col(c).cast("string") for c in (report.order or ids)])
+    kpis = numeric_columns(df, [*ids, *report.order])
+    place = F.array(*[F.col(c).cast("double") for c in report.order])
     wide = df.select(*ids, *[F.col(c).cast("double").alias(c) for c in kpis], place.alias("_row"))
     long = wide.unpivot([*ids, "_row"], kpis, "kpi", "value")
     column_ord = F.array_position(F.array(*[F.lit(k) for k in kpis]), F.col("kpi"))

@@ -6,7 +6,7 @@ and a task that is run again does the same again.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +29,19 @@ DEGRADATION_SCENARIOS = [
     ("priority_noise_40", "priority_noise", 0.40),
     ("positive_class_undersample_50", "positive_undersample_train", 0.50),
 ]
+
+# What each of these scenarios does, as the report says it.
+SCENARIO_TEXTS = {
+    "baseline": "Datos originales preparados, sin degradación artificial.",
+    "priority_null_10": "Se elimina priority en el 10% de train y test.",
+    "priority_null_20": "Se elimina priority en el 20% de train y test.",
+    "priority_null_30": "Se elimina priority en el 30% de train y test.",
+    "description_loss_20": "Se simula pérdida textual en el 20% de train y test poniendo description_length=0 y has_description=0.",
+    "description_loss_40": "Se simula pérdida textual en el 40% de train y test poniendo description_length=0 y has_description=0.",
+    "priority_noise_20": "Se cambia aleatoriamente priority en el 20% de train y test.",
+    "priority_noise_40": "Se cambia aleatoriamente priority en el 40% de train y test.",
+    "positive_class_undersample_50": "Se conserva solo el 50% de ejemplos positivos en entrenamiento; el test no se altera.",
+}
 BIAS_SCENARIOS = [
     "baseline",
     "sample_bias_underrepresent_minority",
@@ -136,19 +149,10 @@ def degradation_scenarios(
     return damaged.where(~dropped)
 
 
-def scenario_text(kind: Column, rate: Column) -> Column:
-    """What a degradation scenario does, in the words of the report."""
-    percent = F.concat(F.round(rate * 100).cast("int").cast("string"), F.lit("%"))
-    both = F.concat(F.lit("en el "), percent, F.lit(" de train y test"))
-    fields = F.lit(" poniendo description_length=0 y has_description=0.")
-    kept = F.lit(" de ejemplos positivos en entrenamiento; el test no se altera.")
-    return (
-        F.when(kind == "none", "Datos originales preparados, sin degradación artificial.")
-        .when(kind == "priority_null", F.concat(F.lit("Se elimina priority "), both, F.lit(".")))
-        .when(kind == "description_loss", F.concat(F.lit("Se simula pérdida textual "), both, fields))
-        .when(kind == "priority_noise", F.concat(F.lit("Se cambia aleatoriamente priority "), both, F.lit(".")))
-        .when(kind == "positive_undersample_train", F.concat(F.lit("Se conserva solo el "), percent, kept))
-    )
+def scenario_text(scenario: Column, texts: Mapping[str, str] = SCENARIO_TEXTS) -> Column:
+    """What a degradation scenario does, in the words of the report; NULL for one without a text."""
+    cells = [F.struct(F.lit(name), F.lit(text)) for name, text in texts.items()]
+    return F.try_element_at(F.map_from_entries(F.array(*cells)), scenario)
 
 
 def choose_group(df: DataFrame, candidates: Sequence[str] = tuple(GROUP_CANDIDATES)) -> DataFrame:

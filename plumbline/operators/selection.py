@@ -19,9 +19,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import uniform
+from plumbline.operators.lookup import attach
 
 SLICES = 4096
 TEXT_BOUNDS = 64
+BUCKET_ROWS = 50_000
 MOST_CLASSES = 100
 SORT_AT_MOST = 200_000
 
@@ -221,15 +223,16 @@ def with_dense_rank(
     keys: Sequence[str],
     id_column: str = "id",
     salt: str = "rank",
-    buckets: int = 4096,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Number the rows of each key 0..n-1 in hashed order: columns ``rank`` and ``n``.
 
-    The keys must be few by construction (column names, say): the table of bucket offsets,
-    of at most ``keys x buckets`` rows, is broadcast. Rows are sorted per (key, bucket), and
-    hashing keeps these groups even, whatever the data.
+    Rows are sorted per (key, bucket), and hashing keeps these groups even, whatever the data. There
+    is a bucket for every ``BUCKET_ROWS`` rows unless ``buckets`` says otherwise. The bucket offsets
+    are broadcast if they are few enough, and joined by shuffle if not.
     """
     keys = list(keys)
+    buckets = buckets or max(1, -(-df.count() // BUCKET_ROWS))
     hashed = df.withColumn("_u", uniform(F.col(id_column), salt))
     hashed = hashed.withColumn("_bucket", F.floor(F.col("_u") * F.lit(float(buckets))).cast("int"))
     per_key = W.partitionBy(*keys)
@@ -242,5 +245,5 @@ def with_dense_rank(
     )
     inside = W.partitionBy(*keys, "_bucket").orderBy("_u", id_column)
     ranked = hashed.withColumn("_row", F.row_number().over(inside))
-    joined = ranked.join(F.broadcast(offsets), [*keys, "_bucket"])
+    joined = attach(ranked, offsets, [*keys, "_bucket"], "inner")
     return joined.withColumn("rank", F.col("_offset") + F.col("_row") - 1).drop("_u", "_bucket", "_row", "_offset")

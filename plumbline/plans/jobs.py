@@ -222,9 +222,15 @@ def subgroup_gap_analysis(subgroups: DataFrame, overall: DataFrame, min_rows: in
 
 
 def degradation_experiment(
-    df: DataFrame, scorer: Scorer, scenarios: Sequence[tuple] = tuple(perturb.DEGRADATION_SCENARIOS)
+    df: DataFrame,
+    scorer: Scorer,
+    scenarios: Sequence[tuple] = tuple(perturb.DEGRADATION_SCENARIOS),
+    texts: Mapping[str, str] = perturb.SCENARIO_TEXTS,
 ) -> Reports:
-    """Train and evaluate on each damaged copy, against the undamaged one."""
+    """Train and evaluate on each damaged copy, against the undamaged one.
+
+    Scenarios of one's own come with a text for each name.
+    """
     split = split_labelled(df)
     parts = []
     for scenario in scenarios:
@@ -242,7 +248,7 @@ def degradation_experiment(
     )
     report = sizes.join(found.select("scenario", "positive_rate_predicted", *QUALITY_METRICS), "scenario")
     report = report.withColumn("threshold", F.lit(TUNED_THRESHOLD)).withColumn(
-        "description", perturb.scenario_text(F.col("degradation_type"), F.col("degradation_rate"))
+        "description", perturb.scenario_text(F.col("scenario"), texts)
     )
     report = gaps.deltas_to_run(stage(report, "degradation"), F.col("scenario") == "baseline")
     summary = ["scenario", "degradation_type", "degradation_rate", *QUALITY_METRICS, "delta_f1", "delta_recall", "delta_ece"]

@@ -10,7 +10,7 @@ from plumbline.operators import gaps, kpi, metrics, perturb, prepare, profile, r
 from plumbline.operators.kpi import ReportTable
 from plumbline.plans.metric_sql import long_groups_sql, metrics_sql, pick, sweep_sql
 from plumbline.plans.registry import query, rounded
-from plumbline.plans.views import GROUPS, issues, labelled, prepared, r, scored, sql, table, u_sql
+from plumbline.plans.views import GROUPS, MODELS, issues, labelled, prepared, r, scored, sql, table, u_sql
 from plumbline.session import stage
 
 CATEGORIES = ["project_key", "issuetype", "priority", "status", "late_resolution"]
@@ -658,11 +658,14 @@ def kpi_reports(spark, sf_dir):
     df = scored(spark, sf_dir)
     whole = metrics.evaluate(df, ["model"], edges="open0").select("model", *_MODEL_COLUMNS)
     sweep = metrics.threshold_sweep(df).select("model", "threshold", *_SWEEP_COLUMNS)
+    # Models are written one after the other.
+    written = F.array_position(F.array(*[F.lit(m) for m in sorted(m[0] for m in MODELS)]), F.col("model"))
+    whole, sweep = whole.withColumn("written", written), sweep.withColumn("written", written)
     # Reports are read from files, as they are when each analysis has run on its own.
     return [
-        ReportTable("model_metrics", stage(whole, "model_metrics"), ["model"]),
+        ReportTable("model_metrics", stage(whole, "model_metrics"), ["model"], ["written"]),
         ReportTable("degradation_summary", None, ["scenario"]),
-        ReportTable("threshold_metrics", stage(sweep, "threshold_metrics"), ["model", "threshold"]),
+        ReportTable("threshold_metrics", stage(sweep, "threshold_metrics"), ["model", "threshold"], ["written", "threshold"]),
     ]
 
 

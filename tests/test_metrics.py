@@ -154,3 +154,15 @@ def test_seed_spread_of_known_values(spark):
     assert row["range"] == pytest.approx(0.2) and row["std"] == pytest.approx(0.1414213562373095)
     zero = gaps.seed_spread(spark.createDataFrame([(1.0,), (-1.0,)], "f1 double"), ["f1"]).first()
     assert zero.coefficient_of_variation is None
+
+
+def test_latest_kpi_is_the_one_written_last(spark):
+    """Not the one whose name sorts last."""
+    from plumbline.operators import kpi
+
+    rows = [("prepared_original", 0, 0.5209), ("cleaned_rules", 1, 0.5356)]
+    table = spark.createDataFrame(rows, "scenario string, written int, f1 double")
+    long = kpi.kpi_long([kpi.ReportTable("data_cleaning_metrics", table, ["scenario"], ["written"])])
+    assert [(r.metric, r.latest_value) for r in kpi.kpi_snapshot(long).collect()] == [("f1", 0.5356)]
+    with pytest.raises(ValueError):
+        kpi.kpi_long([kpi.ReportTable("data_cleaning_metrics", table, ["scenario"])])
