@@ -63,18 +63,20 @@ def group_thresholds(
     target_recall: float = TARGET_RECALL,
     min_rows: int = LEAST_ROWS,
     thresholds: Sequence[float] = tuple(MITIGATION_THRESHOLDS),
+    keys: Sequence[str] = (),
 ) -> DataFrame:
-    """The highest threshold per group that still reaches a recall.
+    """The highest threshold per group (and ``keys``) that still reaches a recall.
 
     0.25 for groups that are small, have one class only, or never reach it.
     """
-    named = scored.select(null_group(F.col(group)).alias("group_value"), "y_true", "y_prob")
-    counts = threshold_counts(named, ["group_value"], thresholds)
+    every = [*keys, "group_value"]
+    named = scored.select(*keys, null_group(F.col(group)).alias("group_value"), "y_true", "y_prob")
+    counts = threshold_counts(named, every, thresholds)
     positives = F.col("true_positive") + F.col("false_negative")
     reached = safe_ratio(F.col("true_positive"), positives) >= target_recall
     usable = (F.col("rows") >= min_rows) & (positives > 0) & (positives < F.col("rows"))
     best = F.max(F.when(usable & reached, F.col("threshold")))
-    return counts.groupBy("group_value").agg(F.coalesce(best, F.lit(TUNED_THRESHOLD)).alias("threshold"))
+    return counts.groupBy(*every).agg(F.coalesce(best, F.lit(TUNED_THRESHOLD)).alias("threshold"))
 
 
 def with_group_threshold(scored: DataFrame, group: str, thresholds: DataFrame) -> DataFrame:

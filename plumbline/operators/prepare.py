@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import days_between, normalize_text, parse_utc, text_length
 from plumbline.operators.quantiles import approx_quantiles, quantiles
+from plumbline.session import stage
 
 TARGET = "late_resolution"
 
@@ -94,7 +95,9 @@ def label_threshold(
         value = F.when(F.col("n") > 0, F.lit(float(days)))
     elif method == "percentile":
         find = approx_quantiles if approx else quantiles
-        valid = find(df, [], duration, [percentile / 100.0]).agg(F.first(F.col("quantiles")[0]).alias("v"))
+        # Durations alone are written, as an exact quantile reads them more than once.
+        known = df.select(duration) if approx else stage(df.select(duration), "durations")
+        valid = find(known, [], duration, [percentile / 100.0]).agg(F.first(F.col("quantiles")[0]).alias("v"))
         value = F.col("v")
     else:
         raise ValueError("method must be 'percentile' or 'fixed_days'")
@@ -112,9 +115,13 @@ def with_label(df: DataFrame, threshold: Column | float) -> DataFrame:
 
 
 def prepare(df: DataFrame, **label_options) -> DataFrame:
-    """Dates, text lengths and label for a flat issue table."""
-    dated = with_date_features(df)
-    return with_label(with_text_features(dated), label_threshold(dated, **label_options))
+    """Dates, text lengths and label for a flat issue table.
+
+    The table is written once before the label: the threshold and the labelled rows read it from
+    there, and what ``df`` is made of is not worked out again.
+    """
+    dated = stage(with_text_features(with_date_features(df)), "dated")
+    return with_label(dated, label_threshold(dated, **label_options))
 
 
 def labelled_rows(df: DataFrame, also: Sequence[str] = ()) -> DataFrame:

@@ -549,7 +549,7 @@ def _(spark, sf_dir):
     return rounded(features.fill_numbers(df, values).select("id", "time_to_resolution_days"))
 
 
-_LEVELS = ["1-URGENT", "2-HIGH", "3-MEDIUM"]
+_LEVELS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
 
 @query(

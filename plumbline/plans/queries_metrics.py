@@ -224,20 +224,19 @@ def _(spark, sf_dir):
 
 
 GROUP_THRESHOLDS = (
-    "base as (select *, coalesce(project_key, '__NULL__') as group_value from scored where model = 'boosted')",
-    sweep_sql("sweep", "base", ["group_value"], MITIGATION_THRESHOLDS, None),
-    """limits as (select group_value, coalesce(max(case when recall >= 0.65e0 and sweep.rows >= 30 and tp + fn > 0
-                         and fp + tn > 0 then threshold end), 0.25e0) as threshold from sweep group by 1)""",
+    "base as (select *, coalesce(project_key, '__NULL__') as group_value from scored)",
+    sweep_sql("sweep", "base", ["model", "group_value"], MITIGATION_THRESHOLDS, None),
+    """limits as (select model, group_value, coalesce(max(case when recall >= 0.65e0 and sweep.rows >= 30 and tp + fn > 0
+                         and fp + tn > 0 then threshold end), 0.25e0) as threshold from sweep group by 1, 2)""",
 )
 
 
 @query(
     "M14_group_recall_threshold",
-    sql("scored", f"select group_value, {r('threshold')} as threshold from limits", *GROUP_THRESHOLDS),
+    sql("scored", f"select model, group_value, {r('threshold')} as threshold from limits", *GROUP_THRESHOLDS),
 )
 def _(spark, sf_dir):
-    base = scored(spark, sf_dir).where("model = 'boosted'")
-    return rounded(mitigation.group_thresholds(base, "project_key"))
+    return rounded(mitigation.group_thresholds(scored(spark, sf_dir), "project_key", keys=["model"]))
 
 
 @query(
