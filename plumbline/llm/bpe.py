@@ -32,7 +32,7 @@ MIN_CHUNK, MAX_CHUNK = 256, 8_192
 CUT_BITS = 10
 
 # Distinct words whose ids a task remembers, at most.
-MEMORY_WORDS = 400_000
+MEMORY_WORDS = 200_000
 
 # Bits of the filter of shared chunk hashes: 16 per hash, 4 MB at most. A fuller filter only
 # sends more chunks on the way of shared ones.

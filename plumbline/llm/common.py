@@ -41,7 +41,7 @@ def small_side(df: DataFrame, bytes_per_row: Column, limit: int = BROADCAST_BYTE
 
 
 # Bytes of text that a task turns into numbers at a time; a longer text goes alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:

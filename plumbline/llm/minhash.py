@@ -38,7 +38,7 @@ LEAST_AGREEMENT = 0.65
 BLOCK = 1_024
 
 # Shingles that a task works on at a time.
-PIECE = 1 << 19
+PIECE = 1 << 18
 
 U = np.uint64
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=U)
@@ -80,7 +80,7 @@ class Shingler:
         total = np.zeros(len(h) - size + 1, dtype=U)
         for i in range(size):
             total = mix(total * _ODD[1] + h[i : len(h) - size + 1 + i])
-        if len(self.hashes) > 1_000_000:
+        if len(self.hashes) > 300_000:
             self.codes, self.hashes = {}, []
         return total
 
