@@ -6,6 +6,12 @@ signature value. Arrivals are only drawn up to the time by which all slots are e
 filled, and further only where one is not: a long text draws few more than a short one. Two
 signatures agree in a slot with the probability Jaccard similarity of the weighted sets.
 
+Links are defined on the shingle sets without weights, and the probability Jaccard similarity of a
+text and a copy in which a passage is repeated may be far below that of the sets. So a text with
+repeated shingles has a second signature with all weights 1, whose agreement is the Jaccard
+similarity of the sets, and is filed under the bands of both. Agreement is counted on signatures
+with weights 1 only.
+
 Texts with the same words are one node. Nodes that share a band are a bucket; in each bucket all are
 compared with the smallest one, on signatures and then on their whole shingle sets. Links give
 components. A bucket that still has several components is compared across these, in blocks, so that
@@ -16,6 +22,7 @@ needed. Components are found by alternating star contraction in Spark.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +38,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 30, 5
 SLOTS = BANDS * ROWS
 
-# Agreement below which two signatures are not of similar texts: over four deviations below 0.8.
-LEAST_AGREEMENT = 0.65
+# Chance at which a link may have less agreement than is asked for.
+MISSED = 1e-6
 
 # Nodes of a bucket that are compared in one task at a time, from each side.
 BLOCK = 1_024
@@ -122,6 +129,22 @@ def signatures(elements: np.ndarray, weights: np.ndarray, owner: np.ndarray, n:
     return signature.reshape(n, slots)
 
 
+def least_agreement(similarity: float, slots: int = SLOTS, missed: float = MISSED) -> float:
+    """Agreement that signatures with weights 1 of sets with that Jaccard similarity, or a higher one,
+    stay below with a chance of at most ``missed``.
+
+    The arrivals at each slot are a Poisson process of their own, so slots agree independently and
+    their number is binomial.
+    """
+    total, least = 0.0, 0
+    while least < slots:
+        total += comb(slots, least) * similarity**least * (1.0 - similarity) ** (slots - least)
+        if total > missed:
+            break
+        least += 1
+    return least / slots
+
+
 def weighted(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles and their weights, 1 + ln(count)."""
     elements, counts = np.unique(shingles, return_counts=True)
@@ -134,22 +157,31 @@ NODES = "row_no long, doc_id long, text_key long, w1 long, w2 long, signature bi
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shingler = Shingler()
 
+    def band_keys(table: np.ndarray) -> np.ndarray:
+        keys = np.zeros((len(table), BANDS), dtype=U)
+        for row in range(ROWS):
+            keys = mix(keys + table[:, row::ROWS] * _ODD[row])
+        return mix(keys + np.arange(BANDS, dtype=U)).view(np.int64)
+
+    def signed(sets: list[tuple], some: list[int], plain: bool) -> np.ndarray:
+        elements, weights = (np.concatenate([sets[i][k] for i in some]) for k in (0, 1))
+        owner = np.repeat(np.arange(len(some)), [len(sets[i][0]) for i in some])
+        return signatures(elements, np.ones(len(weights)) if plain else weights, owner, len(some))
+
     def made(batch: pa.RecordBatch, digests: list[bytes], sets: list[tuple]) -> pa.RecordBatch:
         filled = [i for i, (e, _) in enumerate(sets) if len(e)]
         texts, bands = [None] * len(sets), [None] * len(sets)
         if filled:
-            elements = np.concatenate([sets[i][0] for i in filled])
-            weights = np.concatenate([sets[i][1] for i in filled])
-            owner = np.repeat(np.arange(len(filled)), [len(sets[i][0]) for i in filled])
-            table = signatures(elements, weights, owner, len(filled))
-            keys = np.zeros((len(filled), BANDS), dtype=U)
-            for row in range(ROWS):
-                keys = mix(keys + table[:, row::ROWS] * _ODD[row])
-            keys = mix(keys + np.arange(BANDS, dtype=U)).view(np.int64)
+            table = signed(sets, filled, plain=True)
             # Two bytes of each value are enough to count agreeing slots.
             short = table.astype(np.uint16)
-            for i, s, k in zip(filled, short, keys):
+            for i, s, k in zip(filled, short, band_keys(table)):
                 texts[i], bands[i] = s.tobytes(), k.tolist()
+        # Where no shingle is repeated, both signatures are the same.
+        repeated = [i for i in filled if sets[i][1].max() > 1.0]
+        if repeated:
+            for i, k in zip(repeated, band_keys(signed(sets, repeated, plain=False))):
+                bands[i] = list(dict.fromkeys([*bands[i], *k.tolist()]))
         hashes = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
         columns = [batch.column(c) for c in ("row_no", "doc_id", "text_key")]
         columns += [pa.array(np.ascontiguousarray(hashes[:, i])) for i in (0, 1)]
@@ -332,8 +364,10 @@ def find_classes(
     the class; the row with it stays, of repeated rows one (NULL ids come last). Other columns are
     ignored; an empty table gives no rows.
 
-    A link is missed only if no band agrees, for which the chance at 0.8 is below one in 100,000.
+    A link is missed only if no band of the sets agrees, for which the chance at 0.8 is below one in
+    100,000, or if too few slots do, for which it is below one in 1,000,000.
     """
+    least = least_agreement(similarity)
     text = F.coalesce(F.col(text_column), F.lit(""))
     rows = docs.select(
         F.monotonically_increasing_id().alias("row_no"),
@@ -359,7 +393,7 @@ def find_classes(
         return pairs
 
     agreement, similar = F.arrow_udf(_agreement, "double"), F.arrow_udf(_similar, "double")
-    likely = with_both(pairs, sigs, "signature").where(agreement("signature_a", "signature_b") >= LEAST_AGREEMENT)
+    likely = with_both(pairs, sigs, "signature").where(agreement("signature_a", "signature_b") >= least)
     likely = stage(likely.select("a", "b"), "likely")
 
     def sets_of(wanted: DataFrame, name: str) -> DataFrame:
@@ -379,13 +413,13 @@ def find_classes(
     dealt = stage(_mixed_blocks(live, comps, block), "blocks").join(sigs, "node")
     schema = "block long, a long, b long"
     ordered = dealt.select("block", "node", "comp", "signature").repartition("block").sortWithinPartitions("block")
-    doubtful = stage(ordered.mapInArrow(_blocks(False, LEAST_AGREEMENT, similarity), schema).select("block").distinct(), "doubtful")
+    doubtful = stage(ordered.mapInArrow(_blocks(False, least, similarity), schema).select("block").distinct(), "doubtful")
     if not doubtful.isEmpty():
         open_blocks = stage(dealt.join(doubtful, "block"), "open-blocks")
         more_sets = sets_of(open_blocks.select("node").distinct(), "more-sets")
         filled = open_blocks.join(more_sets, "node").select("block", "node", "comp", "signature", "elements")
         filled = filled.repartition("block").sortWithinPartitions("block")
-        more = filled.mapInArrow(_blocks(True, LEAST_AGREEMENT, similarity), schema).select("a", "b")
+        more = filled.mapInArrow(_blocks(True, least, similarity), schema).select("a", "b")
         comps = components(more.unionByName(comps.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
     rows = _labelled(named.select("row_no", "doc_id", "text_key", "node"), comps)

@@ -73,6 +73,27 @@ def test_near_copies_around_the_threshold(spark):
     assert 25 < len(classes) < len(rows)
 
 
+def test_passages_repeated_in_one_side_only(spark):
+    """The sets are alike, but not the counts: many links are below 0.65 by weight."""
+    draw = random.Random(11)
+    rows = []
+    for g in range(60):
+        words = [f"g{g}w{i}" for i in range(204)]
+        once = [f"g{g}x{i}" for i in range(20 if g % 2 else 0)]
+        passage = words[40:84]
+        rows.append((len(rows), " ".join(words + once), "en", "a"))
+        rows.append((len(rows), " ".join(words[:84] + passage * draw.choice([19, 60]) + words[84:]), "en", "a"))
+    classes = check(spark, rows)
+    assert len(classes) == 60
+
+
+def test_least_agreement():
+    least = M.least_agreement(0.8)
+    assert 0.6 < least < 0.65 and M.least_agreement(0.5) < 0.4 and M.least_agreement(1.0) == 1.0
+    draw = np.random.default_rng(1)
+    assert (draw.binomial(M.SLOTS, 0.8, 1_000_000) < least * M.SLOTS).sum() < 8
+
+
 @pytest.mark.parametrize("block", [1024, 16])
 def test_large_bucket_with_links_through_others(spark, block):
     """All share most bands, but many pairs are below 0.8 and joined through others only."""
