@@ -146,7 +146,6 @@ def small_split(spark, sf_dir):
 
 
 CAT, NUM = prepare.CATEGORICAL_FEATURES, prepare.NUMERIC_FEATURES
-TREES = {"trees": 10, "max_depth": 6}
 
 
 @query("F05_feature_pipeline")
@@ -173,7 +172,7 @@ def _compare(spark, sf_dir, scorers):
 
 def _zoo(names):
     def scorers(rows):
-        zoo = models.model_zoo(rows, steps=20, **TREES)
+        zoo = models.model_zoo(rows)
         return {n: jobs.EstimatorScorer(zoo[n][0], CAT, NUM, zoo[n][1]) for n in names}
 
     return scorers
@@ -186,7 +185,7 @@ def _(spark, sf_dir):
 
 @query("F07_random_forest_balanced")
 def _(spark, sf_dir):
-    return _compare(spark, sf_dir, lambda rows: {"random_forest": jobs.ForestScorer(**TREES)})
+    return _compare(spark, sf_dir, lambda rows: {"random_forest": jobs.ForestScorer()})
 
 
 @query("F08_random_forest_least_leaf")
@@ -207,12 +206,12 @@ def _(spark, sf_dir):
 @query("F11_batch_scoring")
 def _(spark, sf_dir):
     train, test = small_split(spark, sf_dir)
-    return jobs.ForestScorer(**TREES)(train, test, "random_forest").select("model", "id", "y_true", "y_prob")
+    return jobs.ForestScorer()(train, test, "random_forest").select("model", "id", "y_true", "y_prob")
 
 
 @query("F12_model_comparison")
 def _(spark, sf_dir):
-    reports = jobs.fairness_audit(prepared(spark, sf_dir), lambda t, n: jobs.zoo_scorers(t, n, steps=20, **TREES))
+    reports = jobs.fairness_audit(prepared(spark, sf_dir), jobs.zoo_scorers)
     return reports["bias_fairness_global_metrics"]
 
 
@@ -307,7 +306,7 @@ def baseline_scorers(rows):
         "logistic_regression": jobs.EstimatorScorer(
             lambda f, w: models.logistic_regression(rows, weighted=True), CAT, NUM, balanced=True
         ),
-        "random_forest": jobs.ForestScorer(**TREES),
+        "random_forest": jobs.ForestScorer(),
     }
 
 
@@ -447,7 +446,7 @@ def _(spark, sf_dir):
 @query("E07b_degradation_models")
 def _(spark, sf_dir):
     scenarios = [s for s in perturb.DEGRADATION_SCENARIOS if s[0].endswith(("baseline", "30", "40", "50"))]
-    reports = jobs.degradation_experiment(prepared(spark, sf_dir), jobs.ForestScorer(**TREES), scenarios)
+    reports = jobs.degradation_experiment(prepared(spark, sf_dir), jobs.ForestScorer(), scenarios)
     return rounded(reports["degradation_summary"])
 
 
@@ -505,7 +504,7 @@ def _(spark, sf_dir):
 
 @query("E08b_cleaning_models")
 def _(spark, sf_dir):
-    reports = jobs.cleaning_experiment(prepared(spark, sf_dir), jobs.ForestScorer(**TREES))
+    reports = jobs.cleaning_experiment(prepared(spark, sf_dir), jobs.ForestScorer())
     return rounded(reports["data_cleaning_metrics"])
 
 
@@ -561,7 +560,7 @@ def _(spark, sf_dir):
 
 @query("E09b_temporal_drift_models")
 def _(spark, sf_dir):
-    return rounded(jobs.temporal_drift(prepared(spark, sf_dir), jobs.ForestScorer(**TREES))["temporal_drift_metrics"])
+    return rounded(jobs.temporal_drift(prepared(spark, sf_dir), jobs.ForestScorer())["temporal_drift_metrics"])
 
 
 _RETRAINED = [
@@ -621,7 +620,7 @@ def _(spark, sf_dir):
 
 @query("E10b_retraining_models")
 def _(spark, sf_dir):
-    return rounded(jobs.retraining(prepared(spark, sf_dir), jobs.ForestScorer(**TREES))["retraining_summary"])
+    return rounded(jobs.retraining(prepared(spark, sf_dir), jobs.ForestScorer())["retraining_summary"])
 
 
 _SEEDS = list(jobs.SEEDS)
@@ -664,7 +663,7 @@ def _(spark, sf_dir):
 @query("E11b_seed_stability_models")
 def _(spark, sf_dir):
     def forest(seed):
-        return jobs.ForestScorer(seed=seed, **TREES)
+        return jobs.ForestScorer(seed=seed)
 
     return rounded(jobs.stability(prepared(spark, sf_dir), forest, [42, 43, 44])["stability_seed_summary"])
 
@@ -718,7 +717,7 @@ def _(spark, sf_dir):
 
 @query("E12b_possible_worlds_models")
 def _(spark, sf_dir):
-    reports = jobs.possible_worlds(prepared(spark, sf_dir), jobs.ForestScorer(**TREES), worlds=8)
+    reports = jobs.possible_worlds(prepared(spark, sf_dir), jobs.ForestScorer(), worlds=8)
     return rounded(reports["possible_worlds_sensitivity_aggregate"])
 
 
@@ -778,7 +777,7 @@ def _(spark, sf_dir):
 @query("E13b_fairness_models")
 def _(spark, sf_dir):
     def scorers(train, rows):
-        zoo = jobs.zoo_scorers(train, rows, steps=15, **TREES)
+        zoo = jobs.zoo_scorers(train, rows)
         return {n: zoo[n] for n in ("logistic_regression", "random_forest_balanced")}
 
     return rounded(jobs.fairness_audit(prepared(spark, sf_dir), scorers)["bias_fairness_disparity_summary"])
@@ -839,7 +838,7 @@ def _(spark, sf_dir):
 
 @query("E14b_bias_scenario_models")
 def _(spark, sf_dir):
-    forest = jobs.ForestScorer(least_leaf=3, balanced=False, **TREES)
+    forest = jobs.ForestScorer(least_leaf=3, balanced=False)
     return rounded(jobs.bias_experiment(prepared(spark, sf_dir), forest)["bias_scenario_metrics"])
 
 
@@ -903,7 +902,7 @@ def _(spark, sf_dir):
 
 @query("E15b_bias_mitigation_models")
 def _(spark, sf_dir):
-    forest = jobs.ForestScorer(least_leaf=3, balanced=False, weighted=True, **TREES)
+    forest = jobs.ForestScorer(least_leaf=3, balanced=False, weighted=True)
     return rounded(jobs.bias_mitigation(prepared(spark, sf_dir), forest)["bias_mitigation_metrics"])
 
 
