@@ -445,8 +445,7 @@ def _(spark, sf_dir):
 
 @query("E07b_degradation_models")
 def _(spark, sf_dir):
-    scenarios = [s for s in perturb.DEGRADATION_SCENARIOS if s[0].endswith(("baseline", "30", "40", "50"))]
-    reports = jobs.degradation_experiment(prepared(spark, sf_dir), jobs.ForestScorer(), scenarios)
+    reports = jobs.degradation_experiment(prepared(spark, sf_dir), jobs.ForestScorer())
     return rounded(reports["degradation_summary"])
 
 
@@ -504,7 +503,7 @@ def _(spark, sf_dir):
 
 @query("E08b_cleaning_models")
 def _(spark, sf_dir):
-    reports = jobs.cleaning_experiment(prepared(spark, sf_dir), jobs.ForestScorer())
+    reports = jobs.cleaning_experiment(noisy(spark, sf_dir), jobs.ForestScorer())
     return rounded(reports["data_cleaning_metrics"])
 
 
@@ -665,7 +664,7 @@ def _(spark, sf_dir):
     def forest(seed):
         return jobs.ForestScorer(seed=seed)
 
-    return rounded(jobs.stability(prepared(spark, sf_dir), forest, [42, 43, 44])["stability_seed_summary"])
+    return rounded(jobs.stability(prepared(spark, sf_dir), forest, _SEEDS)["stability_seed_summary"])
 
 
 _WORLD_SUMMARY = [
@@ -717,7 +716,7 @@ def _(spark, sf_dir):
 
 @query("E12b_possible_worlds_models")
 def _(spark, sf_dir):
-    reports = jobs.possible_worlds(prepared(spark, sf_dir), jobs.ForestScorer(), worlds=8)
+    reports = jobs.possible_worlds(prepared(spark, sf_dir), jobs.ForestScorer())
     return rounded(reports["possible_worlds_sensitivity_aggregate"])
 
 
@@ -776,11 +775,7 @@ def _(spark, sf_dir):
 
 @query("E13b_fairness_models")
 def _(spark, sf_dir):
-    def scorers(train, rows):
-        zoo = jobs.zoo_scorers(train, rows)
-        return {n: zoo[n] for n in ("logistic_regression", "random_forest_balanced")}
-
-    return rounded(jobs.fairness_audit(prepared(spark, sf_dir), scorers)["bias_fairness_disparity_summary"])
+    return rounded(jobs.fairness_audit(prepared(spark, sf_dir), jobs.zoo_scorers)["bias_fairness_disparity_summary"])
 
 
 _BIAS_NAMES = "select *, false_positive_rate as fpr, false_negative_rate as fnr from"
