@@ -8,8 +8,22 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, chat, decontaminate, exact, lang_id, lines, minhash, ngram_lm, secret_scan, warc_zip
-from plumbline.llm.common import table
+from plumbline.llm import (
+    alignment,
+    bpe,
+    chat,
+    decontaminate,
+    exact,
+    lang_id,
+    lines,
+    minhash,
+    ngram_lm,
+    packing,
+    periods,
+    secret_scan,
+    warc_zip,
+)
+from plumbline.llm.common import SPACES, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -179,3 +193,50 @@ def tokenizer_json(name: str = "word_bpe_49k.json") -> str:
 @query("op1_bpe")
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer_json(), full=False)
+
+
+@query("op11_packing")
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_json("byte_bpe_50k.json"), full=False)
+
+
+def repeat_blocks(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``; in every tenth document by a hash of its id, a block of words is repeated from some word on."""
+    split = F.array_remove(F.split(F.coalesce("text", F.lit("")), f"{SPACES}+"), "")
+    hashed = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    rows = docs.select("doc_id", "text", F.when(hashed % 10 == 0, split).alias("w"), F.floor(hashed / 10).alias("g"))
+    n = F.size("w")
+    rows = rows.withColumn("a", (F.col("g") % F.greatest(n, F.lit(1))).cast("int"))
+    rows = rows.withColumn("p", (1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    a, p = F.col("a"), F.col("p")
+    block = F.slice("w", a + 1, p)
+    turned = F.slice(F.flatten(F.array_repeat(block, F.ceil((n - a) / p).cast("int"))), F.lit(1), n - a)
+    text = F.array_join(F.concat(F.slice("w", F.lit(1), a), turned), " ")
+    return rows.select("doc_id", F.coalesce(text, F.col("text")).alias("text"))
+
+
+@query("op12_periods")
+def op12_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periods.detect_runs(repeat_blocks(table(spark, sf_dir, "documents")))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    best = found.select("*", periods.best_run(F.col("runs")).alias("best"))
+    return best.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+@query("op13_alignment")
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    model = Path(public_tokenizers.path("piece_bpe_32k.model")).read_bytes()
+    return alignment.align_tokenizers(
+        table(spark, sf_dir, "documents"), tokenizer_json("byte_bpe_50k.json"), model, full=False
+    )

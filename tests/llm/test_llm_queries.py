@@ -18,7 +18,7 @@ def test_query(spark, name):
 def test_names():
     assert set(SQL) <= set(QUERIES)
     numbers = [int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")]
-    assert sorted(numbers) == list(range(1, 11))
+    assert sorted(numbers) == list(range(1, 14))
 
 
 def test_pipeline(spark):
