@@ -3,15 +3,15 @@
 The models give the probability of a token's characters, each given the one before, among random
 strings and among ordinary identifiers. They are counted from labelled samples of the corpus: the
 values that the fixed patterns found are the random strings, long tokens made of letters and
-separators only are the ordinary ones. A token whose log-likelihood ratio per character is above
-a margin, and which no pattern has covered, is reported as ``random``.
+separators only are the ordinary ones. A token, or what the patterns have left of it, whose log-likelihood ratio
+per character is above a margin is reported as ``random``.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.session import stage
@@ -25,9 +25,13 @@ ACCESS = r"AKIA[A-Z0-9]+"
 # Runs that are too short are passed over by the quantifier; a run is found from its start anyway.
 HEX = r"[0-9a-f]{16,}"
 KINDS = ("assign", "access", "hex")
+# The kind of tokens that are left to the models.
+TOKENS = len(KINDS)
 
+LEAST_TOKEN = 16
 TOKEN = r"[A-Za-z0-9+/_=-]{16,}"
-ORDINARY = r"^[A-Za-z]+(?:[_/-][A-Za-z]+)*$"
+# Letters with single separators between them; without a repeated group, which would be matched by recursion.
+ORDINARY, DOUBLED = r"^[A-Za-z][A-Za-z_/-]*[A-Za-z]$", r"[_/-][_/-]"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
 STATES = len(ALPHABET) + 1
 
@@ -38,77 +42,103 @@ MARGIN = 0.8
 LEAN = 10.0
 
 
-def _spans(text: Column, matches: Column, pattern: str) -> Column:
-    """(start, end, value) of all matches, in code points: running lengths of what lies between and of the matches."""
-    gaps = F.split(text, pattern)
-    kind = "array<struct<start:int,end:int,value:string>>"
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
+def _matches(text: Column, pattern: str) -> Column:
+    """All matches, each with the number of code points since the match before it."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    gaps = F.transform(F.slice(F.split(text, pattern), F.lit(1), F.size(found)), F.length)
+    return F.arrays_zip(gaps.alias("gap"), found.alias("value"))
 
-    def add(acc, x):
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["value"])
-        found = F.array(F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value")))
-        return F.struct(end.alias("at"), F.concat(acc["out"], found).alias("out"))
 
-    pairs = F.arrays_zip(F.slice(gaps, 1, F.size(matches)).alias("gap"), matches.alias("value"))
-    return F.when(F.size(matches) > 0, F.aggregate(pairs, zero, add, lambda acc: acc["out"])).otherwise(F.array().cast(kind))
-
-
-def find_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``doc_id, base, tokens``: pattern spans as (start, kind, end, value), and other long tokens."""
+def find_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, DataFrame]:
+    """``row_no, doc_id`` of all rows, and ``row_no, kind, start, end, value`` of the spans of the patterns (kinds 0 to 2)
+    and of other long tokens (kind 3). The value of an assignment is its second group."""
     text = F.coalesce(F.col(text_column), F.lit(""))
+    patterns = (ASSIGN, ACCESS, HEX, TOKEN)
     found = docs.select(
+        F.monotonically_increasing_id().alias("row_no"),
         F.col(id_column).alias("doc_id"),
-        text.alias("_t"),
-        *[
-            F.regexp_extract_all(text, F.lit(p), F.lit(0)).alias(c)
-            for c, p in (("_assign", ASSIGN), ("_access", ACCESS), ("_hex", HEX), ("_token", TOKEN))
-        ],
+        *[F.when(text.rlike(p), _matches(text, p)).alias(f"m{k}") for k, p in enumerate(patterns)],
     )
-    t = F.col("_t")
-    value = lambda m: F.regexp_extract(m, ASSIGN, 2)
-    kept = [
-        F.filter(_spans(t, F.col("_assign"), ASSIGN), lambda s: F.length(value(s["value"])) >= 12),
-        F.filter(_spans(t, F.col("_access"), ACCESS), lambda s: F.length(s["value"]) >= 18),
-        _spans(t, F.col("_hex"), HEX),
-    ]
+    found = stage(found, "matches")
+    spans = None
+    for k in range(len(patterns)):
+        rows = found.select("row_no", F.lit(k).alias("kind"), F.posexplode(f"m{k}").alias("pos", "m"))
+        spans = rows if spans is None else spans.unionByName(rows)
+    # Where a match ends: all gaps and matches up to it, added up along the text.
+    along = Window.partitionBy("row_no", "kind").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    length = F.length("m.value")
+    end = F.sum(F.col("m.gap") + length).over(along).cast("int")
+    spans = spans.select("row_no", "kind", length.alias("n"), F.col("m.value").alias("value"), end.alias("end"))
+    assign = F.col("kind") == 0
+    spans = spans.select(
+        "row_no",
+        "kind",
+        (F.col("end") - F.col("n")).alias("start"),
+        "end",
+        F.when(assign, F.regexp_extract("value", ASSIGN, 2)).otherwise(F.col("value")).alias("value"),
+    )
+    least = F.when(assign, 12).when(F.col("kind") == 1, 18).otherwise(LEAST_TOKEN)
+    return found.select("row_no", "doc_id"), stage(spans.where(F.length("value") >= least), "spans")
 
-    def named(spans: Column, kind: int) -> Column:
-        secret = (lambda v: value(v)) if kind == 0 else (lambda v: v)
-        return F.transform(
-            spans,
-            lambda s: F.struct(
-                s["start"].alias("start"), F.lit(kind).alias("kind"), s["end"].alias("end"), secret(s["value"]).alias("value")
-            ),
-        )
 
-    base = F.array_sort(F.concat(*[named(s, k) for k, s in enumerate(kept)]))
-    return found.select("doc_id", base.alias("base"), _spans(t, F.col("_token"), TOKEN).alias("tokens"))
+def uncovered(spans: DataFrame) -> DataFrame:
+    """``row_no, start, end, value`` of the parts of long tokens that no pattern covers.
+
+    Starts and ends of spans are passed in the order of their places; between two neighbouring
+    places there is a token or not, and a pattern span or not.
+    """
+    token = F.col("kind") == TOKENS
+    bound = F.struct("start", "value")
+    places = spans.select(
+        "row_no",
+        F.inline(
+            F.array(
+                F.struct(F.col("start").alias("at"), token.cast("int").alias("token"), (~token).cast("int").alias("base"), F.when(token, bound).alias("held")),
+                F.struct(F.col("end").alias("at"), (-token.cast("int")).alias("token"), (-(~token).cast("int")).alias("base"), F.lit(None).cast("struct<start:int,value:string>").alias("held")),
+            )
+        ),
+    )
+    places = places.groupBy("row_no", "at").agg(F.sum("token").alias("token"), F.sum("base").alias("base"), F.max("held").alias("held"))
+    along = Window.partitionBy("row_no").orderBy("at")
+    so_far = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    places = places.select(
+        "row_no",
+        F.col("at").alias("start"),
+        F.lead("at").over(along).alias("end"),
+        F.sum("token").over(so_far).alias("token"),
+        F.sum("base").over(so_far).alias("base"),
+        F.last("held", ignorenulls=True).over(so_far).alias("held"),
+    )
+    parts = places.where((F.col("token") > 0) & (F.col("base") == 0) & (F.col("end") - F.col("start") >= LEAST_TOKEN))
+    # Tokens are ASCII: taken as bytes, a part costs its own length.
+    part = F.substring(F.col("held.value").cast("binary"), F.col("start") - F.col("held.start") + 1, F.col("end") - F.col("start"))
+    return parts.select("row_no", "start", "end", part.cast("string").alias("value"))
 
 
-def _code(token: Column, at: Column) -> Column:
-    """The number of the state at a place of the token; 0 for a character outside the alphabet."""
-    return F.position(F.substr(token, at, F.lit(1)), F.lit(ALPHABET))
+def _states(token: Column) -> Column:
+    """The numbers of the states of a token's characters; 0 for one outside the alphabet."""
+    return F.transform(F.split(token, ""), lambda c: F.position(c, F.lit(ALPHABET)))
 
 
-def train(found: DataFrame, sample_tokens: int = SAMPLE_TOKENS) -> list[float]:
+def train(spans: DataFrame, sample_tokens: int = SAMPLE_TOKENS) -> list[float]:
     """Log-likelihood ratios (random against ordinary) of all pairs of states, row by row.
 
     The counts come back as one row per label and pair, a few thousand at most. With no samples
     at all both models are even and no token is reported.
     """
-    tokens = found.select(F.explode("tokens.value").alias("v")).where(F.col("v").rlike(ORDINARY))
-    secrets = found.select(F.explode("base.value").alias("v"))
+    v = F.col("value")
+    tokens = spans.where((F.col("kind") == TOKENS) & v.rlike(ORDINARY) & ~v.rlike(DOUBLED)).select(v.alias("v"))
+    secrets = spans.where(F.col("kind") < TOKENS).select(v.alias("v"))
     labelled = [
         rows.distinct().orderBy(F.xxhash64("v"), "v").limit(sample_tokens).select(F.lit(label).alias("label"), "v")
         for label, rows in (("random", secrets), ("ordinary", tokens))
     ]
-    v = F.col("v")
-    places = F.when(F.length(v) > 1, F.sequence(F.lit(1), F.length(v) - 1))
-    pairs = labelled[0].unionByName(labelled[1]).select("label", "v", F.explode(places).alias("i"))
-    pair = _code(v, F.col("i")) * STATES + _code(v, F.col("i") + 1)
+    states = labelled[0].unionByName(labelled[1]).select("label", _states(F.col("v")).alias("s"))
+    n = F.size("s") - 1
+    pairs = F.zip_with(F.slice("s", F.lit(1), n), F.slice("s", F.lit(2), n), lambda a, b: a * STATES + b)
+    pairs = states.where(n > 0).select("label", F.explode(pairs).alias("pair"))
     counts = {"random": {}, "ordinary": {}}
-    for r in pairs.groupBy("label", pair.alias("pair")).count().collect():
+    for r in pairs.groupBy("label", "pair").count().collect():
         counts[r["label"]][r["pair"]] = r["count"]
     if not counts["random"] or not counts["ordinary"]:
         return [0.0] * (STATES * STATES)
@@ -128,15 +158,15 @@ def train(found: DataFrame, sample_tokens: int = SAMPLE_TOKENS) -> list[float]:
 
 
 def ratio(token: Column, model: list[float]) -> Column:
-    """Mean log-likelihood ratio per pair of characters."""
+    """Mean log-likelihood ratio per pair of characters, in one pass over them."""
     table = F.split(F.lit(",".join(repr(x) for x in model)), ",").cast("array<double>")
-    places = F.sequence(F.lit(1), F.length(token) - 1)
-    total = F.aggregate(
-        places,
-        F.lit(0.0),
-        lambda acc, i: acc + F.element_at(table, _code(token, i) * STATES + _code(token, i + 1) + 1),
-    )
-    return total / (F.length(token) - 1)
+    zero = F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("sum"))
+
+    def add(acc: Column, state: Column) -> Column:
+        more = F.when(acc["last"] < 0, 0.0).otherwise(F.element_at(table, F.greatest(acc["last"], F.lit(0)) * STATES + state + 1))
+        return F.struct(state.alias("last"), (acc["sum"] + more).alias("sum"))
+
+    return F.aggregate(_states(token), zero, add, lambda acc: acc["sum"]) / (F.length(token) - 1)
 
 
 def scan(
@@ -149,19 +179,23 @@ def scan(
     """One row per document row: ``doc_id, base, spans``, spans as (start, kind, end, value).
 
     ``base`` are the pattern spans (kinds 0 to 2 of ``KINDS``); ``spans`` has them too, with the
-    tokens that only the models found (kind 3, ``random``). Start and end count code points of the
+    parts of tokens that only the models found (kind 3, ``random``). Where a pattern span lies in a token, what is
+    left of the token on both sides is judged by itself. Start and end count code points of the
     whole text. NULL counts as empty, an empty text has no spans, other columns are ignored,
-    repeated rows are rows of their own.
+    repeated rows are rows of their own. Time is linear in a text's length and its spans, but for sorting them.
     """
-    found = stage(find_spans(docs, id_column, text_column), "spans")
-    model = train(found, sample_tokens)
-    free = F.filter("tokens", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    odd = F.filter(free, lambda t: ratio(t["value"], model) > margin)
-    extra = F.transform(
-        odd,
-        lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("kind"), t["end"].alias("end"), t["value"].alias("value")),
+    rows, spans = find_spans(docs, id_column, text_column)
+    model = train(spans, sample_tokens)
+    odd = uncovered(spans).where(ratio(F.col("value"), model) > margin).withColumn("kind", F.lit(TOKENS))
+    both = spans.where(F.col("kind") < TOKENS).unionByName(odd)
+    span = F.struct("start", "kind", "end", "value")
+    listed = both.groupBy("row_no").agg(
+        F.sort_array(F.collect_list(F.when(F.col("kind") < TOKENS, span))).alias("base"),
+        F.sort_array(F.collect_list(span)).alias("spans"),
     )
-    return found.select("doc_id", "base", F.array_sort(F.concat("base", extra)).alias("spans"))
+    none = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
+    found = rows.join(listed, "row_no", "left")
+    return found.select("doc_id", *[F.coalesce(F.col(c), none).alias(c) for c in ("base", "spans")])
 
 
 def _listed(spans: Column) -> Column:
