@@ -154,7 +154,7 @@ def pack_documents(
     histogram = {r["length"]: r["n"] for r in held.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = stage(held.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n"), "packing-ranks")
-    ranked = pieces.join(small_side(before, F.lit(20)), ["length", "part"]).withColumn("rank", F.col("before") + F.col("place"))
+    ranked = pieces.join(small_side(before, F.lit(64)), ["length", "part"]).withColumn("rank", F.col("before") + F.col("place"))
 
     # The plan's size is bounded by the capacity.
     slots = docs.sparkSession.createDataFrame(plan(histogram, capacity), PLAN)
