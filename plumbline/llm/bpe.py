@@ -7,32 +7,35 @@ places is sent to one task, encoded there once, and its ids go back to all its d
 
 Chunks end anywhere, also inside a word. Where two pieces of a document meet, the parts of the
 word that the cut runs through are encoded together; if this disagrees with the pieces, the
-ids at the join are replaced, and the join grows over pieces without white space until both
-sides agree. Words between ASCII white space are encoded independently by the tokenizer, so this
+ids at the join are replaced. Over pieces without white space the word stays open, and is encoded once, when its
+end is found. Words between ASCII white space are encoded independently by the tokenizer, so this
 gives exactly the ids of the whole text.
 """
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import in_slices, travels
+from plumbline.llm.words import Memory, spread
 from plumbline.session import stage
 
 MIN_CHUNK, MAX_CHUNK = 256, 8_192
 # The hash must begin with so many zero bits at a cut: chunks of about 1.3 kB.
 CUT_BITS = 10
 
-# Distinct words whose ids a task remembers, at most.
-MEMORY_WORDS = 200_000
+# Words that are given to the tokenizer as one text, with a special token between them.
+JOINED_WORDS = 100
 
 # Bits of the filter of shared chunk hashes: 16 per hash, 4 MB at most. A fuller filter only
 # sends more chunks on the way of shared ones.
@@ -53,21 +56,64 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.memory: dict[bytes, bytes] = {}
-
-    def encode(self, text: bytes) -> bytes:
-        words, memory = text.split(), self.memory
-        fresh = [w for w in dict.fromkeys(words) if w not in memory]
-        if fresh:
-            if len(memory) + len(fresh) > MEMORY_WORDS:
-                memory.clear()
-                fresh = list(dict.fromkeys(words))
-            encoded = self.tokenizer.encode_batch_fast([w.decode() for w in fresh], add_special_tokens=False)
-            for word, e in zip(fresh, encoded):
-                memory[word] = np.array(e.ids, dtype="<u4").tobytes()
-        return b"".join(map(memory.__getitem__, words))
+        settings = json.loads(tokenizer_json)
+        # Special tokens cut a text before anything else is done to it, so they keep words apart.
+        added = settings["added_tokens"]
+        self.specials = [t["content"] for t in added]
+        self.between = next(((t["content"], t["id"]) for t in added if t["special"] and not t["lstrip"] and not t["rstrip"]), None)
+        # Without a decoder the text is the tokens, joined by spaces.
+        self.shown = None
+        if settings["decoder"] is None:
+            n = self.tokenizer.get_vocab_size(with_added_tokens=True)
+            self.shown = pa.array([self.tokenizer.id_to_token(i) for i in range(n)])
+        self.memory = Memory(self.fresh)
+
+    def fresh(self, words: list[str]) -> list[bytes]:
+        """Ids of words that are not remembered."""
+        alone = [self.between is None or any(t in w for t in self.specials) for w in words]
+        together = [w for w, a in zip(words, alone) if not a]
+        found = iter(self._together(together))
+        single = iter(self.tokenizer.encode_batch_fast([w for w, a in zip(words, alone) if a], add_special_tokens=False))
+        return [np.array(next(single).ids, dtype="<u4").tobytes() if a else next(found) for a in alone]
+
+    def _together(self, words: list[str]) -> list[bytes]:
+        if not words:
+            return []
+        text, mark = self.between
+        lists = [words[i : i + JOINED_WORDS] for i in range(0, len(words), JOINED_WORDS)]
+        out = []
+        for held, e in zip(lists, self.tokenizer.encode_batch_fast([text.join(x) for x in lists], add_special_tokens=False)):
+            ids = np.array(e.ids, dtype="<u4")
+            cuts = np.flatnonzero(ids == mark).tolist()
+            if len(cuts) != len(held) - 1:
+                raise AssertionError("words must stay apart")
+            data = ids.tobytes()
+            out += [data[4 * a : 4 * b] for a, b in zip([0, *[c + 1 for c in cuts]], [*cuts, len(ids)])]
+        return out
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of texts; each distinct word between white space is looked up once."""
+        if not texts:
+            return []
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.binary()).cast(pa.string()))
+        bounds = split.offsets.to_numpy().astype(np.int64)
+        coded = split.flatten().dictionary_encode()
+        codes = coded.indices.to_numpy().astype(np.int64)
+        found = self.memory(coded.dictionary.to_pylist())
+        store = np.frombuffer(b"".join(found), dtype="<u4")
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+        starts = np.cumsum(sizes) - sizes
+        counts = sizes[codes]
+        data = store[spread(starts[codes], counts)].tobytes()
+        ends = (4 * np.concatenate([[0], np.cumsum(counts)])[bounds - bounds[0]]).tolist()
+        return [data[a:b] for a, b in zip(ends, ends[1:])]
 
     def decode(self, ids: list[bytes]) -> list[str]:
+        flat = np.frombuffer(b"".join(ids), dtype="<u4")
+        if self.shown is not None:
+            bounds = np.concatenate([[0], np.cumsum([len(i) // 4 for i in ids], dtype=np.int64)])
+            tokens = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), self.shown.take(pa.array(flat)))
+            return pc.binary_join(tokens, " ").to_pylist()
         lists = [np.frombuffer(i, dtype="<u4").tolist() for i in ids]
         return self.tokenizer.decode_batch(lists, skip_special_tokens=False)
 
@@ -187,12 +233,14 @@ def _cut(tokenizer_json: str, shared: np.ndarray, hot: dict[int, int], full: boo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(tokenizer_json)
         for batch in in_slices(batches):
-            texts, rows, single = batch.column("text").to_pylist(), [], []
+            # Texts to encode go to the tokenizer together; rows name them by number.
+            texts, rows, wanted, single = batch.column("text").to_pylist(), [], [], []
             numbers, doc_ids = batch.column("row_no").to_pylist(), batch.column("doc_id").to_pylist()
             for text, row_no, doc_id, (chunks, hashes) in zip(texts, numbers, doc_ids, _pieces(texts, chunk_ends(texts))):
                 held = may_be_shared(hashes, shared) if hashes else np.zeros(0, dtype=bool)
                 if not held.any():
-                    single.append((row_no, doc_id, encoder.encode(text)))
+                    single.append((row_no, doc_id, len(wanted)))
+                    wanted.append(text)
                     continue
                 own: list[bytes] = []
                 seq = 0
@@ -201,7 +249,8 @@ def _cut(tokenizer_json: str, shared: np.ndarray, hot: dict[int, int], full: boo
                     nonlocal seq
                     if own:
                         piece = b"".join(own)
-                        rows.append((row_no, doc_id, seq, OWN, None, None, None, encoder.encode(piece), *edges(piece), *_BLANK))
+                        rows.append((row_no, doc_id, seq, OWN, None, None, None, len(wanted), *edges(piece), *_BLANK))
+                        wanted.append(piece)
                         seq += 1
                         own.clear()
 
@@ -213,7 +262,9 @@ def _cut(tokenizer_json: str, shared: np.ndarray, hot: dict[int, int], full: boo
                     else:
                         own.append(chunk)
                 close()
-            for (row_no, doc_id, _), (ids, result) in zip(single, results(encoder, [x[2] for x in single], full)):
+            encoded = encoder.encode(wanted)
+            rows = [r if r[3] == SHARED else (*r[:7], encoded[r[7]], *r[8:]) for r in rows]
+            for (row_no, doc_id, _), (ids, result) in zip(single, results(encoder, [encoded[x[2]] for x in single], full)):
                 rows.append((row_no, doc_id, 0, DONE, None, None, None, ids, None, None, *result))
             yield _batch(rows, _PIECE_NAMES, _PIECE_TYPES)
 
@@ -227,11 +278,14 @@ def _encode_shared(tokenizer_json: str):
         encoder, last, known = Encoder(tokenizer_json), None, ()
         for batch in batches:
             rows = list(zip(*[batch.column(c).to_pylist() for c in _PIECE_NAMES]))
+            # The text itself is compared, not its hash.
+            before = [last, *[r[6] for r in rows]]
+            fresh = [i for i, r in enumerate(rows) if r[6] != before[i]]
+            encoded = dict(zip(fresh, encoder.encode([rows[i][6] for i in fresh])))
             for i, row in enumerate(rows):
-                # The text itself is compared, not its hash.
-                if row[6] != last:
+                if i in encoded:
                     last = row[6]
-                    known = (encoder.encode(last), *edges(last))
+                    known = (encoded[i], *edges(last))
                 rows[i] = (*row[:6], None, *known, *_BLANK)
             yield _batch(rows, _PIECE_NAMES, _PIECE_TYPES)
 
@@ -239,24 +293,40 @@ def _encode_shared(tokenizer_json: str):
 
 
 class Joiner:
-    """Puts the ids of pieces together and repairs the joins."""
+    """Puts the ids of pieces together and repairs the joins.
+
+    ``ids`` ends with the ids of ``tail``, the word that may go on. Pieces without white space belong to it
+    and wait in ``open``, as texts; they are encoded with it when its end is known.
+    """
 
     def __init__(self, encoder: Encoder) -> None:
         self.encoder, self.ids, self.tail = encoder, bytearray(), b""
+        self.open: list[bytes] = []
 
     def add(self, ids: bytes, head: bytes, tail: bytes | None) -> None:
-        left = self.tail
-        if left and head:
-            before, after, joined = (self.encoder.encode(w) for w in (left, head, left + head))
-            if not (self.ids.endswith(before) and ids.startswith(after)):
-                raise AssertionError("pieces must begin and end with the ids of their outer words")
-            if joined != before + after:
-                del self.ids[len(self.ids) - len(before) :]
-                self.ids += joined
-                ids = ids[len(after) :]
-        self.ids += ids
-        # Without white space in the piece, the open word goes on from further left.
-        self.tail = left + head if tail is None else tail
+        if tail is None:
+            self.open.append(head)
+            return
+        self.ids += ids[self._close(ids, head) :]
+        self.tail = tail
+
+    def _close(self, ids: bytes, head: bytes) -> int:
+        """Ends the open word with ``head``; how much of ``ids`` it has taken."""
+        if not self.open and not (self.tail and head):
+            return 0
+        before, after, joined = self.encoder.encode([self.tail, head, b"".join([self.tail, *self.open, head])])
+        self.open.clear()
+        if not (self.ids.endswith(before) and ids.startswith(after)):
+            raise AssertionError("pieces must begin and end with the ids of their outer words")
+        if joined == before + after:
+            return 0
+        del self.ids[len(self.ids) - len(before) :]
+        self.ids += joined
+        return len(after)
+
+    def finish(self) -> bytes:
+        self._close(b"", b"")
+        return bytes(self.ids)
 
 
 def _assemble(tokenizer_json: str, full: bool):
@@ -272,17 +342,20 @@ def _assemble(tokenizer_json: str, full: bool):
 
         for batch in batches:
             done = []
-            for row_no, doc_id, ids, head, tail in zip(
-                *[batch.column(c).to_pylist() for c in ("row_no", "doc_id", "ids", "head", "tail")]
-            ):
+            rows = list(zip(*[batch.column(c).to_pylist() for c in ("row_no", "doc_id", "ids", "head", "tail")]))
+            # The words at most joins, in one call.
+            joins = [(x[4], y[3]) for x, y in zip(rows, rows[1:]) if x[0] == y[0] and x[4] and y[3]]
+            for begin in range(0, len(joins), 1000):
+                encoder.encode([w for a, b in joins[begin : begin + 1000] for w in (a, b, a + b)])
+            for row_no, doc_id, ids, head, tail in rows:
                 if held and held[0] != row_no:
-                    done.append((held[1], bytes(held[2].ids)))
+                    done.append((held[1], held[2].finish()))
                     held = None
                 held = held or (row_no, doc_id, Joiner(encoder))
                 held[2].add(ids, head, tail)
             yield out(done)
         if held:
-            yield out([(held[1], bytes(held[2].ids))])
+            yield out([(held[1], held[2].finish())])
 
     return run
 
@@ -307,9 +380,9 @@ def encode_documents(
     counted = rows.select("text").mapInArrow(_count_chunks, "chunk long, n long")
     shared = stage(counted.groupBy("chunk").agg(F.sum("n").alias("n")).where("n > 1"), "shared-chunks")
     whole = shared.agg(F.count("*").alias("n"), F.coalesce(F.sum("n"), F.lit(0)).alias("total")).first()
-    # Chunks with more than a task's fair share of places are dealt out to several tasks; there
-    # are at most as many of them as partitions.
-    share = max(whole.total // int(spark.conf.get("spark.sql.shuffle.partitions")), 1_000)
+    # Chunks with more than a part of a task's fair share of places are dealt out to several tasks;
+    # there are at most four times as many of them as partitions.
+    share = max(whole.total // (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))), 100)
     hot = {r.chunk: -(-r.n // share) for r in shared.where(F.col("n") > share).collect()}
     held = shared_filter(shared, whole.n)
 

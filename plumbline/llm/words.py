@@ -20,8 +20,8 @@ import pyarrow.compute as pc
 
 from plumbline.llm.common import travels
 
-# Words that a task remembers in each of two generations.
-MEMORY_WORDS = 200_000
+# Words that a task remembers in each of two generations, and characters of the longest one.
+MEMORY_WORDS, LONGEST_WORD = 200_000, 100
 
 # The split pattern of byte-level vocabularies, and the mark of a space in sentence pieces.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -59,7 +59,9 @@ class Memory:
                 found[i] = self.young[words[i]] = ids
         if fresh:
             for i, ids in zip(fresh, self.encode([words[i] for i in fresh])):
-                found[i] = self.young[words[i]] = ids
+                found[i] = ids
+                if len(words[i]) <= LONGEST_WORD:
+                    self.young[words[i]] = ids
         return found
 
 

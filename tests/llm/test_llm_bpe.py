@@ -5,7 +5,7 @@ from hashlib import sha256
 import pytest
 from llm_cases import EDGES, documents, empty
 
-from plumbline.llm import bpe
+from plumbline.llm import bpe, words
 from plumbline.llm.queries import tokenizer_json
 
 
@@ -41,7 +41,7 @@ def test_words_give_the_ids_of_the_whole_text(encoder, library):
     pieces = [*TRICKY, *TRICKY.split(" "), " ", "\n", "\t", "\x0b", "hello", "World"]
     for _ in range(3000):
         text = "".join(draw.choices(pieces, k=draw.randint(0, 12)))
-        assert encoder.encode(text.encode()) == packed(ids(library, text))
+        assert encoder.encode([text.encode()]) == [packed(ids(library, text))]
 
 
 def test_joins_are_repaired(encoder, library):
@@ -52,8 +52,38 @@ def test_joins_are_repaired(encoder, library):
         joiner = bpe.Joiner(encoder)
         for a, b in zip([0, *cuts], [*cuts, len(text)]):
             piece = text[a:b].encode()
-            joiner.add(encoder.encode(piece), *bpe.edges(piece))
-        assert bytes(joiner.ids) == packed(ids(library, text))
+            joiner.add(*encoder.encode([piece]), *bpe.edges(piece))
+        assert joiner.finish() == packed(ids(library, text))
+
+
+def test_open_words_are_encoded_once(encoder, library, monkeypatch):
+    """A text without white space costs its length, not its square."""
+    pieces = [f"{i:04x}Q.".encode() * 8 for i in range(2000)]
+    joiner, asked = bpe.Joiner(encoder), 0
+    encoded = encoder.encode(pieces)
+    whole = encoder.encode
+
+    def counting(texts):
+        nonlocal asked
+        asked += sum(map(len, texts))
+        return whole(texts)
+
+    monkeypatch.setattr(encoder, "encode", counting)
+    for piece, found in zip(pieces, encoded):
+        joiner.add(found, *bpe.edges(piece))
+    assert joiner.finish() == packed(ids(library, b"".join(pieces).decode()))
+    assert asked <= 2 * sum(map(len, pieces))
+
+
+def test_two_generations_of_words():
+    asked = []
+    memory = words.Memory(lambda fresh: [asked.append(w) or w.encode() for w in fresh], most=10)
+    for i in range(50):
+        # Words that stay in use outlive the ones between them.
+        assert memory(["hot", f"cold{i}"]) == [b"hot", f"cold{i}".encode()]
+    assert asked.count("hot") == 1 and len(memory.young) + len(memory.old) <= 20
+    long = "x" * 1000
+    assert memory([long]) == memory([long]) and asked.count(long) == 2
 
 
 def test_chunks_are_cut_by_content():
