@@ -1,4 +1,4 @@
-"""Classifiers and batch scoring, all from MLlib."""
+"""Classifiers and batch scoring: regressions, boosted trees and networks from MLlib, forests of `forest`."""
 
 from __future__ import annotations
 
@@ -9,20 +9,23 @@ from pyspark.ml.classification import (
     GBTClassifier,
     LogisticRegression,
     MultilayerPerceptronClassifier,
-    RandomForestClassifier,
 )
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators.features import FeatureModel, fit_features
+from plumbline.operators.forest import Forest, ForestModel
 from plumbline.operators.mitigation import class_weights
 from plumbline.operators.prepare import TARGET
+from plumbline.session import stage
 
 # Sizes of the compared models.
 FOREST_TREES, LARGE_FOREST_TREES, LEAST_LEAF = 200, 300, 3
 HIDDEN_LAYERS, NETWORK_STEPS = (64, 32), 300
 DEEPEST = 30
+# Rows per partition of an encoded training table: its fits are many short jobs.
+ENCODED_ROWS = 50_000
 
 
 def logistic_regression(rows: int, weighted: bool = False, strength: float = 1.0, max_iter: int = 1000) -> Estimator:
@@ -38,16 +41,15 @@ def logistic_regression(rows: int, weighted: bool = False, strength: float = 1.0
 
 def random_forest(
     trees: int = FOREST_TREES, seed: int = 42, least_leaf: int = 1, weighted: bool = False, max_depth: int = DEEPEST
-) -> Estimator:
-    model = RandomForestClassifier(
-        labelCol=TARGET,
-        numTrees=trees,
-        seed=seed,
-        minInstancesPerNode=least_leaf,
-        featureSubsetStrategy="sqrt",
-        maxDepth=max_depth,
-    )
-    return model.setWeightCol("weight") if weighted else model
+) -> Forest:
+    return Forest(trees, seed, least_leaf, max_depth, weighted)
+
+
+def extra_trees(
+    trees: int = LARGE_FOREST_TREES, seed: int = 42, least_leaf: int = LEAST_LEAF, weighted: bool = False, max_depth: int = DEEPEST
+) -> Forest:
+    """Extremely randomised trees: random thresholds, all rows in every tree."""
+    return Forest(trees, seed, least_leaf, max_depth, weighted, random_thresholds=True)
 
 
 def boosted_trees(seed: int = 42, steps: int = 100) -> Estimator:
@@ -62,14 +64,12 @@ def neural_network(inputs: int, seed: int = 42, steps: int = NETWORK_STEPS) -> E
 
 def score(model, table: DataFrame, keep: Sequence[str], run: str, name: str = "model") -> DataFrame:
     """A scored table: the kept columns, the run name, label and probability of class 1."""
-    scored = model.transform(table)
     kept = [c for c in keep if c in table.columns]
-    return scored.select(
-        F.lit(run).alias(name),
-        *kept,
-        F.col(TARGET).cast("int").alias("y_true"),
-        vector_to_array(F.col("probability"))[1].alias("y_prob"),
-    )
+    if isinstance(model, ForestModel):
+        scored, probability = model.transform(table.select(*kept, TARGET, "features")), F.col("y_prob")
+    else:
+        scored, probability = model.transform(table), vector_to_array(F.col("probability"))[1]
+    return scored.select(F.lit(run).alias(name), *kept, F.col(TARGET).cast("int").alias("y_true"), probability.alias("y_prob"))
 
 
 def fit_and_score(
@@ -77,7 +77,7 @@ def fit_and_score(
     test: DataFrame,
     categorical: Sequence[str],
     numeric: Sequence[str],
-    estimator: Callable[[FeatureModel, int], Estimator] | Estimator,
+    estimator: Callable[[FeatureModel, int], Estimator | Forest] | Estimator | Forest,
     keep: Sequence[str],
     run: str,
     name: str = "model",
@@ -89,9 +89,13 @@ def fit_and_score(
     fitted = features or fit_features(train, categorical, numeric)
     weighted = class_weights(train) if balanced else train
     table = fitted.transform(weighted)
-    if not isinstance(estimator, Estimator):
+    if not isinstance(estimator, (Estimator, Forest)):
         width = table.schema["features"].metadata["ml_attr"]["num_attrs"]
         estimator = estimator(fitted, width)
+    if isinstance(estimator, Estimator):
+        # Written once in few files, as each round of the fit is a job over it.
+        encoded = table.select("features", TARGET, *[c for c in ["weight"] if c in table.columns])
+        table = stage(encoded.coalesce(1 + train.count() // ENCODED_ROWS), "encoded")
     return score(estimator.fit(table), fitted.transform(test), keep, run, name)
 
 
@@ -105,6 +109,7 @@ def model_zoo(rows: int, trees: int = LARGE_FOREST_TREES, max_depth: int = DEEPE
             lambda f, w: random_forest(trees, 42, LEAST_LEAF, weighted=True, max_depth=max_depth),
             True,
         ),
+        "extra_trees": (lambda f, w: extra_trees(trees, max_depth=max_depth), False),
         "hist_gradient_boosting": (lambda f, w: boosted_trees(steps=max(1, steps // 3)), False),
         "mlp_classifier": (lambda f, w: neural_network(w, steps=steps), False),
     }

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +21,7 @@ from plumbline.functions.scalars import null_group
 from plumbline.operators import drift, gaps, kpi, metrics, mitigation, models, perturb, prepare, profile, risk, selection
 from plumbline.operators.metrics import QUALITY_METRICS
 from plumbline.operators.prepare import CATEGORICAL_FEATURES, NUMERIC_FEATURES, SUBGROUP_FEATURES, TARGET
-from plumbline.session import stage
+from plumbline.session import side_by_side, stage
 
 Reports = dict[str, DataFrame]
 Scorer = Callable[[DataFrame, DataFrame, str, str], DataFrame]
@@ -104,6 +104,11 @@ def zoo_scorers(df: DataFrame, train_rows: int, **sizes) -> dict[str, Scorer]:
     return {n: EstimatorScorer(f, categorical, numeric, balanced) for n, (f, balanced) in zoo.items()}
 
 
+def score_all(df: DataFrame, runs: Sequence[Callable[[], DataFrame]]) -> DataFrame:
+    """The scored rows of several fits, which run side by side, written once."""
+    return stage(union_all(side_by_side(df.sparkSession, runs)), "scored")
+
+
 def union_all(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
@@ -175,7 +180,7 @@ def kpi_export(reports: Sequence[kpi.ReportTable]) -> Reports:
 def baseline(df: DataFrame, scorers: Mapping[str, Scorer], threshold: float = 0.5) -> Reports:
     """Fit each model, then global metrics, subgroup metrics and calibration."""
     train, test = halves(split_labelled(df))
-    scored = stage(union_all([s(train, test, name, "model") for name, s in scorers.items()]), "scored")
+    scored = score_all(df, [partial(s, train, test, name, "model") for name, s in scorers.items()])
     return {"scored": scored, **baseline_reports(scored, threshold)}
 
 
@@ -232,11 +237,12 @@ def degradation_experiment(
     Scenarios of one's own come with a text for each name.
     """
     split = split_labelled(df)
-    parts = []
-    for scenario in scenarios:
+
+    def run(scenario: tuple) -> DataFrame:
         train, test = halves(perturb.degradation_scenarios(split, [scenario]).drop("scenario"))
-        parts.append(scorer(train, test, scenario[0], "scenario"))
-    scored = stage(union_all(parts), "scored")
+        return scorer(train, test, scenario[0], "scenario")
+
+    scored = score_all(df, [partial(run, s) for s in scenarios])
     found = metrics.evaluate(scored, ["scenario"], TUNED_THRESHOLD, "open0")
     damaged = perturb.degradation_scenarios(split, scenarios)
     side, label = F.col("split"), F.col(TARGET)
@@ -261,11 +267,7 @@ def cleaning_experiment(df: DataFrame, scorer: Scorer) -> Reports:
     after = stage(profile.clean(df, CATEGORICAL_FEATURES, NUMERIC_FEATURES), "cleaned")
     names = {"prepared_original": df, "cleaned_rules": after}
     snapshots = [profile.quality_snapshot(t.select(*columns), n) for n, t in names.items()]
-    parts = []
-    for name, t in names.items():
-        train, test = halves(split_labelled(t))
-        parts.append(scorer(train, test, name, "scenario"))
-    scored = stage(union_all(parts), "scored")
+    scored = score_all(df, [partial(lambda n, t: scorer(*halves(split_labelled(t)), n, "scenario"), n, t) for n, t in names.items()])
     shown = [*QUALITY_METRICS[:3], "balanced_accuracy", *QUALITY_METRICS[3:]]
     found = metrics.evaluate(scored, ["scenario"], TUNED_THRESHOLD, "closed0")
     found = stage(found.select("scenario", "rows", "positive_rate_true", "positive_rate_predicted", *shown), "cleaning")
@@ -295,8 +297,7 @@ def temporal_drift(df: DataFrame, scorer: Scorer, test_fraction: float = 0.2) ->
         for name in ("random_split", "temporal_split")
     ]
     splits = {"random_split": random, "temporal_split": temporal}
-    parts = [scorer(*halves(split), name, "split_type") for name, split in splits.items()]
-    scored = stage(union_all(parts), "scored")
+    scored = score_all(df, [partial(scorer, *halves(split), name, "split_type") for name, split in splits.items()])
     ranges = union_all(
         [_ranges(split).withColumn("split_type", F.lit(name)) for name, split in splits.items()]
     )
@@ -332,12 +333,13 @@ def retraining(df: DataFrame, scorer: Scorer, periods: int = 5) -> Reports:
     rows = narrow(prepare.labelled_rows(df, ["created"]))
     windows = drift.training_windows(periods)
     binned = stage(selection.with_time_bins(rows, periods), "periods", partition_by=["period"])
-    parts = []
-    for strategy, test, first, last in windows:
+
+    def run(strategy: str, test: int, first: int, last: int) -> DataFrame:
         train = binned.where(F.col("period").between(first, last))
         part = scorer(train, binned.where(F.col("period") == test), strategy, "strategy")
-        parts.append(part.withColumn("test_period", F.lit(f"period_{test}")))
-    scored = stage(union_all(parts), "scored")
+        return part.withColumn("test_period", F.lit(f"period_{test}"))
+
+    scored = score_all(df, [partial(run, *w) for w in windows])
     found = metrics.evaluate(scored, ["strategy", "test_period"], TUNED_THRESHOLD, "open0")
     trained = drift.training_rows(binned, windows).groupBy("strategy", "test_period").agg(
         F.count("*").alias("train_rows"),
@@ -367,13 +369,15 @@ def retraining(df: DataFrame, scorer: Scorer, periods: int = 5) -> Reports:
 def stability(df: DataFrame, scorer_for: Callable[[int], Scorer], seeds: Sequence[int] = tuple(SEEDS)) -> Reports:
     """The same model on differently seeded splits."""
     rows = narrow(prepare.labelled_rows(df))
-    sides = {f"_split{seed}": selection.stratified_test(rows, TARGET, seed=seed) for seed in seeds}
+    tests = side_by_side(df.sparkSession, [partial(selection.stratified_test, rows, TARGET, seed=seed) for seed in seeds])
+    sides = {f"_split{seed}": test for seed, test in zip(seeds, tests)}
     split = stage(rows.withColumns({n: F.when(t, "test").otherwise("train") for n, t in sides.items()}), "splits")
-    parts = []
-    for seed in seeds:
+
+    def run(seed: int) -> DataFrame:
         train, test = halves(split, f"_split{seed}")
-        parts.append(scorer_for(seed)(train.drop(*sides), test.drop(*sides), str(seed), "seed"))
-    scored = stage(union_all(parts), "scored").withColumn("seed", F.col("seed").cast("int"))
+        return scorer_for(seed)(train.drop(*sides), test.drop(*sides), str(seed), "seed")
+
+    scored = score_all(df, [partial(run, seed) for seed in seeds]).withColumn("seed", F.col("seed").cast("int"))
     found = metrics.evaluate(scored, ["seed"], TUNED_THRESHOLD, "closed0").select("seed", *EVALUATED)
     found = stage(found, "stability")
     return {
@@ -414,7 +418,7 @@ def fairness_audit(
     train, test = halves(split_labelled(selection.sample_rows(rows, sample) if sample else rows))
     if callable(scorers):
         scorers = scorers(train, train.count())
-    scored = stage(union_all([s(train, test, name, "model") for name, s in scorers.items()]), "scored")
+    scored = score_all(df, [partial(s, train, test, name, "model") for name, s in scorers.items()])
     whole = metrics.evaluate(scored, ["model"], threshold, "left").withColumnsRenamed(FAIRNESS_SHORT)
     parts = metrics.subgroup_metrics(scored, named, threshold=threshold, min_rows=FAIRNESS_ROWS, edges="left")
     parts = parts.withColumnsRenamed(
@@ -446,11 +450,12 @@ def bias_experiment(
     rows = prepare.labelled_rows(df)
     feature, minority, majority = group or perturb.chosen_group(rows)
     train, test = halves(split_labelled(rows))
-    parts = []
-    for name in perturb.BIAS_SCENARIOS:
+
+    def run(name: str) -> DataFrame:
         biased = perturb.bias_scenarios(train, feature, minority, majority, [name]).drop("scenario")
-        parts.append(scorer(biased, test, name, "scenario"))
-    scored = stage(union_all(parts), "scored")
+        return scorer(biased, test, name, "scenario")
+
+    scored = score_all(df, [partial(run, name) for name in perturb.BIAS_SCENARIOS])
     whole = _run_metrics(scored, "scenario", threshold).withColumns(
         {"group_feature": F.lit(feature), "minority_group": F.lit(minority), "majority_group": F.lit(majority)}
     )
@@ -493,10 +498,9 @@ def bias_mitigation(
     rows = prepare.labelled_rows(df)
     group = group or perturb.chosen_group(rows)[0]
     train, test = halves(split_labelled(rows))
-    parts = [
-        scorer(weighted_rows(train, group, mode), test, name, "strategy") for name, mode in MITIGATION_STRATEGIES
-    ]
-    scored = stage(union_all(parts), "scored")
+    scored = score_all(
+        df, [partial(lambda n, m: scorer(weighted_rows(train, group, m), test, n, "strategy"), n, m) for n, m in MITIGATION_STRATEGIES]
+    )
     base = scored.where("strategy = 'baseline'")
     tuned = base.withColumn("strategy", F.lit("global_threshold_best_f1"))
     best = mitigation.best_global_threshold(base).first()["threshold"]

@@ -7,6 +7,8 @@ MLlib models, whose results have no SQL counterpart.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -166,7 +168,7 @@ def _(spark, sf_dir):
 
 def _compare(spark, sf_dir, scorers):
     train, test = small_split(spark, sf_dir)
-    scored_ = stage(jobs.union_all([s(train, test, n, "model") for n, s in scorers(train.count()).items()]), "scored")
+    scored_ = jobs.score_all(train, [partial(s, train, test, n, "model") for n, s in scorers(train.count()).items()])
     return metrics.evaluate(scored_, ["model"])
 
 

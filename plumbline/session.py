@@ -4,9 +4,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
+
+# Calls that run side by side, at most.
+AT_ONCE = 4
+
 
 def build_session(app_name: str = "plumbline", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the library relies on (UTC, AQE, skew-join handling)."""
@@ -18,6 +27,7 @@ def build_session(app_name: str = "plumbline", master: str | None = None, **conf
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.scheduler.mode": "FAIR",
         **conf,
     }
     for key, value in settings.items():
@@ -55,3 +65,20 @@ def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def side_by_side(spark: SparkSession, calls: Sequence[Callable[[], T]], at_once: int = AT_ONCE) -> list[T]:
+    """The results of calls that start jobs of their own, from a bounded pool of threads.
+
+    Each call has a scheduler pool of its own, so that small jobs need not wait for large ones.
+    """
+
+    def in_pool(number: int, call: Callable[[], T]) -> Callable[[], T]:
+        def run() -> T:
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"call-{number % at_once}")
+            return call()
+
+        return inheritable_thread_target(spark)(run)
+
+    with ThreadPoolExecutor(max_workers=at_once) as pool:
+        return [f.result() for f in [pool.submit(in_pool(i, c)) for i, c in enumerate(calls)]]

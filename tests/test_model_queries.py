@@ -3,7 +3,7 @@
 import pytest
 from test_oracle import SMALL
 
-from plumbline.operators import models, perturb
+from plumbline.operators import forest, models, perturb
 from plumbline.plans import jobs
 from plumbline.plans.catalog import QUERIES
 from plumbline.plans.queries_jobs import formula_scorer
@@ -35,8 +35,8 @@ def test_models_have_their_default_sizes(asked, short):
     assert rows and fits
     kinds = {type(e).__name__: e for _, e in fits}
     for _, e in fits:
-        if type(e).__name__ == "RandomForestClassifier":
-            assert (e.getNumTrees(), e.getMaxDepth()) == (FORESTS.get(short, 200), 30)
+        if type(e).__name__ == "Forest":
+            assert (e.trees, e.max_depth, e.fit_rows) == (FORESTS.get(short, 200), 30, forest.FIT_ROWS)
     if short in BOOSTED:
         assert kinds["GBTClassifier"].getMaxIter() == 100
     if short in NETWORKS:
@@ -47,9 +47,10 @@ def test_experiments_run_whole(asked):
     rows, fits = asked("E07b")
     assert {r.scenario for r in rows} == {run for run, _ in fits} == {s[0] for s in perturb.DEGRADATION_SCENARIOS}
     _, fits = asked("E11b")
-    assert [e.getSeed() for _, e in fits] == list(jobs.SEEDS) and len(fits) == 10
+    assert sorted(e.seed for _, e in fits) == list(jobs.SEEDS) and len(fits) == 10
     assert [r.worlds for r in asked("E12b")[0]] == [20]
     rows, fits = asked("E13b")
+    assert len(fits) == 7
     assert {r.model for r in rows} == {run for run, _ in fits} == set(models.model_zoo(1))
     rows, _ = asked("E08b")
     before, after = sorted((r.rows for r in rows), reverse=True)
