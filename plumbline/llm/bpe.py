@@ -18,6 +18,7 @@ import json
 import os
 from collections.abc import Iterator
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +35,11 @@ MIN_CHUNK, MAX_CHUNK = 256, 8_192
 # The hash must begin with so many zero bits at a cut: chunks of about 1.3 kB.
 CUT_BITS = 10
 
-# Words that are given to the tokenizer as one text, with a special token between them.
-JOINED_WORDS = 100
+# Words that are given to the tokenizer as one text, with a special token between them, and texts per call.
+JOINED_WORDS, JOINED_TEXTS = 100, 20
+
+# Words that a task remembers in each of two generations.
+MEMORY_WORDS = 100_000
 
 # Bits of the filter of shared chunk hashes: 16 per hash, 4 MB at most. A fuller filter only
 # sends more chunks on the way of shared ones.
@@ -66,7 +70,7 @@ class Encoder:
         if settings["decoder"] is None:
             n = self.tokenizer.get_vocab_size(with_added_tokens=True)
             self.shown = pa.array([self.tokenizer.id_to_token(i) for i in range(n)])
-        self.memory = Memory(self.fresh)
+        self.memory = Memory(self.fresh, MEMORY_WORDS)
 
     def fresh(self, words: list[str]) -> list[bytes]:
         """Ids of words that are not remembered."""
@@ -82,7 +86,9 @@ class Encoder:
         text, mark = self.between
         lists = [words[i : i + JOINED_WORDS] for i in range(0, len(words), JOINED_WORDS)]
         out = []
-        for held, e in zip(lists, self.tokenizer.encode_batch_fast([text.join(x) for x in lists], add_special_tokens=False)):
+        groups = [lists[i : i + JOINED_TEXTS] for i in range(0, len(lists), JOINED_TEXTS)]
+        encoded = (self.tokenizer.encode_batch_fast([text.join(x) for x in g], add_special_tokens=False) for g in groups)
+        for held, e in zip(lists, chain.from_iterable(encoded)):
             ids = np.array(e.ids, dtype="<u4")
             cuts = np.flatnonzero(ids == mark).tolist()
             if len(cuts) != len(held) - 1:

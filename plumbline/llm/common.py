@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 from collections.abc import Iterable, Iterator
 
@@ -55,8 +56,18 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int
         begin = end
 
 
+def give_back() -> None:
+    """Return to the system what earlier tasks of this worker have freed: workers are used again."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # not every C library has it
+
+
 def in_slices(batches: Iterable[pa.RecordBatch], limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut up by the size of their column ``text``."""
+    give_back()
     for batch in batches:
         for begin, end in slices(batch.column("text"), limit):
             yield batch.slice(begin, end - begin)
