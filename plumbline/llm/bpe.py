@@ -70,7 +70,7 @@ class Encoder:
         if settings["decoder"] is None:
             n = self.tokenizer.get_vocab_size(with_added_tokens=True)
             self.shown = pa.array([self.tokenizer.id_to_token(i) for i in range(n)])
-        self.memory = Memory(self.fresh, MEMORY_WORDS)
+        self.memory = Memory(MEMORY_WORDS)
 
     def fresh(self, words: list[str]) -> list[bytes]:
         """Ids of words that are not remembered."""
@@ -105,7 +105,7 @@ class Encoder:
         bounds = split.offsets.to_numpy().astype(np.int64)
         coded = split.flatten().dictionary_encode()
         codes = coded.indices.to_numpy().astype(np.int64)
-        found = self.memory(coded.dictionary.to_pylist())
+        found = self.memory(coded.dictionary.to_pylist(), self.fresh)
         store = np.frombuffer(b"".join(found), dtype="<u4")
         sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
         starts = np.cumsum(sizes) - sizes

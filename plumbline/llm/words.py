@@ -39,13 +39,13 @@ class Memory:
     Words that are met again move to the young generation; when that is full, the old one goes.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int = MEMORY_WORDS) -> None:
-        self.encode, self.most = encode, most
+    def __init__(self, most: int = MEMORY_WORDS) -> None:
+        self.most = most
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def __call__(self, words: list[str]) -> list[bytes]:
-        """Ids of distinct words."""
+    def __call__(self, words: list[str], encode: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+        """Ids of distinct words; ``encode`` gives those of unknown ones."""
         found = list(map(self.young.get, words))
         missing = [i for i, ids in enumerate(found) if ids is None]
         if len(self.young) + len(missing) > self.most:
@@ -58,7 +58,7 @@ class Memory:
             else:
                 found[i] = self.young[words[i]] = ids
         if fresh:
-            for i, ids in zip(fresh, self.encode([words[i] for i in fresh])):
+            for i, ids in zip(fresh, encode([words[i] for i in fresh])):
                 found[i] = ids
                 if len(words[i]) <= LONGEST_WORD:
                     self.young[words[i]] = ids
@@ -97,8 +97,10 @@ class Words:
         return pc.match_substring_regex(texts, UNEVEN).to_numpy(zero_copy_only=False)
 
     def __init__(self) -> None:
-        self.memory = Memory(self.later_words)
-        self.firsts = Memory(lambda words: [np.array(self.whole(w), dtype="<u4").tobytes() for w in words])
+        self.memory, self.firsts = Memory(), Memory()
+
+    def first_words(self, words: list[str]) -> list[bytes]:
+        return [np.array(self.whole(w), dtype="<u4").tobytes() for w in words]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, and the number of ids of each text."""
@@ -124,12 +126,12 @@ class Words:
         begins -= begins[0]
         codes = coded.indices.to_numpy().astype(np.int64)
         words = coded.dictionary.to_pylist()
-        found = self.memory(words)
+        found = self.memory(words, self.later_words)
         if not self.leading:
             # First words are words of another kind, numbered behind the others.
             kinds, inverse = np.unique(codes[begins[:-1]], return_inverse=True)
             codes[begins[:-1]] = len(words) + inverse
-            found = found + self.firsts([words[k] for k in kinds])
+            found = found + self.firsts([words[k] for k in kinds], self.first_words)
         store = np.frombuffer(b"".join(found), dtype="<u4")
         sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
         starts = np.cumsum(sizes) - sizes

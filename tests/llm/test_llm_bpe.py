@@ -77,11 +77,12 @@ def test_open_words_are_encoded_once(encoder, library, monkeypatch):
 
 def test_two_generations_of_words():
     asked = []
-    memory = words.Memory(lambda fresh: [asked.append(w) or w.encode() for w in fresh], most=10)
+    held, encode = words.Memory(most=10), lambda fresh: [asked.append(w) or w.encode() for w in fresh]
+    memory = lambda found: held(found, encode)
     for i in range(50):
         # Words that stay in use outlive the ones between them.
         assert memory(["hot", f"cold{i}"]) == [b"hot", f"cold{i}".encode()]
-    assert asked.count("hot") == 1 and len(memory.young) + len(memory.old) <= 20
+    assert asked.count("hot") == 1 and len(held.young) + len(held.old) <= 20
     long = "x" * 1000
     assert memory([long]) == memory([long]) and asked.count(long) == 2
 
