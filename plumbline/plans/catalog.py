@@ -3,6 +3,7 @@
 from plumbline.plans import (  # noqa: F401
     queries_change,
     queries_jobs,
+    queries_kpi,
     queries_large,
     queries_metrics,
     queries_scalar,

@@ -2,7 +2,7 @@
 
 Jobs that need a classifier take a *scorer*: a callable ``scorer(train, test, run, name)``
 that returns the test rows with ``y_true``, ``y_prob`` and the run's name in column ``name``.
-``ForestScorer`` and ``zoo_scorers`` fit MLlib models; a formula will do for checks. Scored
+``ForestScorer`` and ``zoo_scorers`` fit models; a formula will do for checks. Fits of one job run side by side. Scored
 rows are written once, so that no report fits or applies a model a second time, and so is a
 report from which others are derived.
 """
@@ -31,6 +31,7 @@ FAIRNESS_GROUPS = ["project_key", "issuetype", "priority", "status", "has_descri
 FAIRNESS_ROWS, BIAS_ROWS, SUBGROUP_ROWS = 10, 20, 30
 SEEDS = list(range(42, 52))
 FREE_TEXT = ["summary", "description"]
+# Names of reported metrics.
 EVALUATED = ["rows", "positive_rate_true", "positive_rate_predicted", *QUALITY_METRICS]
 SHORT = {"false_positive_rate": "fpr", "false_negative_rate": "fnr"}
 FAIRNESS_SHORT = {

@@ -2,7 +2,7 @@
 
 A job's reports are returned together in long form (report, item, measure, value). Jobs that
 fit models run twice: with a formula in place of the model, which SQL can check, and with
-MLlib models, whose results have no SQL counterpart.
+real models, whose results have no SQL counterpart.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from plumbline.plans.queries_change import (
     stratified_split_sql,
 )
 from plumbline.plans.queries_metrics import GAP_CTES, GAP_SELECT, OVERALL, SUBGROUP
-from plumbline.plans.queries_tables import CATEGORIES, KPI_CTES, NOISY, PROXIES, _top_sql, kpi_reports, noisy
+from plumbline.plans.queries_tables import CATEGORIES, NOISY, PROXIES, _top_sql, noisy
 from plumbline.plans.registry import query, rounded
 from plumbline.plans.views import issues, labelled, prepared, r, scored, sql, u_sql
 from plumbline.session import scratch_path, stage
@@ -352,6 +352,17 @@ def _(spark, sf_dir):
     )
 
 
+ADVANCED_CTES = [
+    """limited as (select *, case model when 'random_forest' then 0.25e0 when 'boosted' then 0.45e0 else 0.5e0 end
+         as threshold from scored)""",
+    metrics_sql("m", "limited", ["model", "threshold"], "threshold"),
+    f"""bins as (select model, {bin_sql()} as bin, count(*) as rows, avg(y_prob) as mean_predicted_probability,
+          avg(y_true) as observed_positive_rate, avg(y_true) - avg(y_prob) as calibration_gap from scored group by 1, 2)""",
+    """audit as (select model, key, cast(y_prob >= threshold as int) as y_predicted,
+         abs(y_true - y_prob) as absolute_probability_error from limited)""",
+]
+
+
 @query(
     "E05_advanced_metrics",
     together_sql(
@@ -366,13 +377,7 @@ def _(spark, sf_dir):
             ),
             melt_sql("prediction_audit", "audit", ["model", "key"], ["y_predicted", "absolute_probability_error"]),
         ],
-        """limited as (select *, case model when 'random_forest' then 0.25e0 when 'boosted' then 0.45e0 else 0.5e0 end
-             as threshold from scored)""",
-        metrics_sql("m", "limited", ["model", "threshold"], "threshold"),
-        f"""bins as (select model, {bin_sql()} as bin, count(*) as rows, avg(y_prob) as mean_predicted_probability,
-              avg(y_true) as observed_positive_rate, avg(y_true) - avg(y_prob) as calibration_gap from scored group by 1, 2)""",
-        """audit as (select model, key, cast(y_prob >= threshold as int) as y_predicted,
-             abs(y_true - y_prob) as absolute_probability_error from limited)""",
+        *ADVANCED_CTES,
     ),
 )
 def _(spark, sf_dir):
@@ -412,30 +417,35 @@ def deltas_sql(columns, source, key, base, pattern="delta_{}"):
     )
 
 
+DEGRADATION_CTES = [
+    *DEGRADED_CTES,
+    learned_sql("t", "degraded", "degraded", ["scenario"]),
+    metrics_sql("m", "t", ["scenario"], edges="open0"),
+    """sizes as (select scenario, count(*) filter (where split = 'train') as train_rows,
+         count(*) filter (where split = 'test') as test_rows,
+         avg(late_resolution) filter (where split = 'train') as train_positive_rate,
+         avg(late_resolution) filter (where split = 'test') as test_positive_rate from degraded group by 1)""",
+    """texts as (select * from (values ('baseline', 'Datos originales preparados, sin degradación artificial.'),
+         ('priority_null_10', 'Se elimina priority en el 10% de train y test.'),
+         ('priority_null_20', 'Se elimina priority en el 20% de train y test.'),
+         ('priority_null_30', 'Se elimina priority en el 30% de train y test.'),
+         ('description_loss_20', 'Se simula pérdida textual en el 20% de train y test poniendo description_length=0 y has_description=0.'),
+         ('description_loss_40', 'Se simula pérdida textual en el 40% de train y test poniendo description_length=0 y has_description=0.'),
+         ('priority_noise_20', 'Se cambia aleatoriamente priority en el 20% de train y test.'),
+         ('priority_noise_40', 'Se cambia aleatoriamente priority en el 40% de train y test.'),
+         ('positive_class_undersample_50', 'Se conserva solo el 50% de ejemplos positivos en entrenamiento; el test no se altera.')
+         ) x(scenario, description))""",
+    f"""report as (select *, 0.25e0 as threshold, {deltas_sql(QUALITY_METRICS, "m", "scenario", "baseline")}
+         from m join sizes using (scenario) join texts using (scenario))""",
+]
+
+
 @query(
     "E07_degradation_experiment",
     together_sql(
         "labelled",
         [melt_sql("degradation_experiments", "report", ["scenario", "description"], _DEGRADED)],
-        *DEGRADED_CTES,
-        learned_sql("t", "degraded", "degraded", ["scenario"]),
-        metrics_sql("m", "t", ["scenario"], edges="open0"),
-        """sizes as (select scenario, count(*) filter (where split = 'train') as train_rows,
-             count(*) filter (where split = 'test') as test_rows,
-             avg(late_resolution) filter (where split = 'train') as train_positive_rate,
-             avg(late_resolution) filter (where split = 'test') as test_positive_rate from degraded group by 1)""",
-        """texts as (select * from (values ('baseline', 'Datos originales preparados, sin degradación artificial.'),
-             ('priority_null_10', 'Se elimina priority en el 10% de train y test.'),
-             ('priority_null_20', 'Se elimina priority en el 20% de train y test.'),
-             ('priority_null_30', 'Se elimina priority en el 30% de train y test.'),
-             ('description_loss_20', 'Se simula pérdida textual en el 20% de train y test poniendo description_length=0 y has_description=0.'),
-             ('description_loss_40', 'Se simula pérdida textual en el 40% de train y test poniendo description_length=0 y has_description=0.'),
-             ('priority_noise_20', 'Se cambia aleatoriamente priority en el 20% de train y test.'),
-             ('priority_noise_40', 'Se cambia aleatoriamente priority en el 40% de train y test.'),
-             ('positive_class_undersample_50', 'Se conserva solo el 50% de ejemplos positivos en entrenamiento; el test no se altera.')
-             ) x(scenario, description))""",
-        f"""report as (select *, 0.25e0 as threshold, {deltas_sql(QUALITY_METRICS, "m", "scenario", "baseline")}
-             from m join sizes using (scenario) join texts using (scenario))""",
+        *DEGRADATION_CTES,
     ),
 )
 def _(spark, sf_dir):
@@ -471,6 +481,24 @@ _CAPS = ", ".join(f"least(greatest({c}, 0), (select quantile_cont({c}, 0.99) fro
 _FILLS = ", ".join(f"coalesce({c}, '__MISSING__') as {c}" for c in CAT)
 
 
+LEARNED_CLEANING_CTES = [
+    NOISY,
+    f"""clean as (select * exclude (rn) from (
+          select *, row_number() over (partition by key order by created desc, id desc) as rn
+          from (select * replace ({_FILLS}, {_CAPS}) from noisy)) where rn = 1)""",
+    f"snapshots as ({_snapshot_sql('prepared_original', 'noisy')} union all {_snapshot_sql('cleaned_rules', 'clean')})",
+    "l1 as (select * from noisy where late_resolution is not null)",
+    "l2 as (select * from clean where late_resolution is not null)",
+    stratified_split_sql("s1", "l1"),
+    stratified_split_sql("s2", "l2"),
+    learned_sql("t1", "s1", "s1", more="'prepared_original' as scenario"),
+    learned_sql("t2", "s2", "s2", more="'cleaned_rules' as scenario"),
+    "t as (select scenario, y_true, y_prob from t1 union all select scenario, y_true, y_prob from t2)",
+    metrics_sql("m", "t", ["scenario"]),
+    f"report as (select *, {deltas_sql(_SHOWN, 'm', 'scenario', 'prepared_original', 'delta_{}_vs_original')} from m)",
+]
+
+
 @query(
     "E08_cleaning_experiment",
     together_sql(
@@ -479,24 +507,11 @@ _FILLS = ", ".join(f"coalesce({c}, '__MISSING__') as {c}" for c in CAT)
             melt_sql("data_cleaning_quality_comparison", "snapshots", ["scenario"], _SNAPSHOT),
             melt_sql("data_cleaning_metrics", "report", ["scenario"], _CLEANED),
         ],
-        NOISY,
-        f"""clean as (select * exclude (rn) from (
-              select *, row_number() over (partition by key order by created desc, id desc) as rn
-              from (select * replace ({_FILLS}, {_CAPS}) from noisy)) where rn = 1)""",
-        f"snapshots as ({_snapshot_sql('prepared_original', 'noisy')} union all {_snapshot_sql('cleaned_rules', 'clean')})",
-        "l1 as (select * from noisy where late_resolution is not null)",
-        "l2 as (select * from clean where late_resolution is not null)",
-        stratified_split_sql("s1", "l1"),
-        stratified_split_sql("s2", "l2"),
-        tested("t1", "s1", "'prepared_original' as scenario"),
-        tested("t2", "s2", "'cleaned_rules' as scenario"),
-        "t as (select scenario, y_true, y_prob from t1 union all select scenario, y_true, y_prob from t2)",
-        metrics_sql("m", "t", ["scenario"]),
-        f"report as (select *, {deltas_sql(_SHOWN, 'm', 'scenario', 'prepared_original', 'delta_{}_vs_original')} from m)",
+        *LEARNED_CLEANING_CTES,
     ),
 )
 def _(spark, sf_dir):
-    reports = jobs.cleaning_experiment(noisy(spark, sf_dir), formula_scorer())
+    reports = jobs.cleaning_experiment(noisy(spark, sf_dir), learned_scorer())
     return together(
         melted("data_cleaning_quality_comparison", reports["data_cleaning_quality_comparison"], ["scenario"]),
         melted("data_cleaning_metrics", reports["data_cleaning_metrics"], ["scenario"], _CLEANED),
@@ -513,6 +528,29 @@ _DRIFTED = [*jobs.EVALUATED, "train_rows", "test_rows", *[f"delta_vs_random_{m}"
 _SHIFT = [*NUM, TARGET]
 
 
+DRIFT_CTES = [
+    "dated_labelled as (select * from labelled where created is not null)",
+    stratified_split_sql("s", "dated_labelled"),
+    TEMPORAL,
+    learned_sql("t1", "s", "s", more="'random_split' as split_type"),
+    learned_sql("t2", "temporal", "temporal", more="'temporal_split' as split_type"),
+    "t as (select split_type, y_true, y_prob from t1 union all select split_type, y_true, y_prob from t2)",
+    metrics_sql("m", "t", ["split_type"], edges="open0"),
+    """sizes as (select 'random_split' as split_type, count(*) filter (where split = 'train') as train_rows,
+         count(*) filter (where split = 'test') as test_rows from s union all
+         select 'temporal_split', count(*) filter (where split = 'train'), count(*) filter (where split = 'test') from temporal)""",
+    f"""report as (select *, {deltas_sql(QUALITY_METRICS, "m", "split_type", "random_split", "delta_vs_random_{}")}
+         from m join sizes using (split_type))""",
+    psi_sql(_SHIFT),
+    f'shift as (select * from ({_means_sql(_SHIFT)}) join psi using ("column"))',
+    RATES,
+    """cats as (select * from (select *, row_number() over (partition by "column" order by tr desc, value) as r1,
+         row_number() over (partition by "column" order by te desc, value) as r2 from rates where "column" <> 'summary')
+         where (r1 <= 20 and tr > 0) or (r2 <= 20 and te > 0))""",
+    "spans as (select 'temporal_' || split as split, count(*) as rows, avg(late_resolution) as positive_rate from temporal group by 1)",
+]
+
+
 @query(
     "E09_temporal_drift",
     together_sql(
@@ -523,25 +561,7 @@ _SHIFT = [*NUM, TARGET]
             melt_sql("temporal_categorical_shift", "cats", ["column", "value"], ["train_rate", "test_rate"]),
             melt_sql("temporal_period_summary", "spans", ["split"], ["rows", "positive_rate"]),
         ],
-        "dated_labelled as (select * from labelled where created is not null)",
-        stratified_split_sql("s", "dated_labelled"),
-        TEMPORAL,
-        learned_sql("t1", "s", "s", more="'random_split' as split_type"),
-        learned_sql("t2", "temporal", "temporal", more="'temporal_split' as split_type"),
-        "t as (select split_type, y_true, y_prob from t1 union all select split_type, y_true, y_prob from t2)",
-        metrics_sql("m", "t", ["split_type"], edges="open0"),
-        """sizes as (select 'random_split' as split_type, count(*) filter (where split = 'train') as train_rows,
-             count(*) filter (where split = 'test') as test_rows from s union all
-             select 'temporal_split', count(*) filter (where split = 'train'), count(*) filter (where split = 'test') from temporal)""",
-        f"""report as (select *, {deltas_sql(QUALITY_METRICS, "m", "split_type", "random_split", "delta_vs_random_{}")}
-             from m join sizes using (split_type))""",
-        psi_sql(_SHIFT),
-        f'shift as (select * from ({_means_sql(_SHIFT)}) join psi using ("column"))',
-        RATES,
-        """cats as (select * from (select *, row_number() over (partition by "column" order by tr desc, value) as r1,
-             row_number() over (partition by "column" order by te desc, value) as r2 from rates where "column" <> 'summary')
-             where (r1 <= 20 and tr > 0) or (r2 <= 20 and te > 0))""",
-        "spans as (select 'temporal_' || split as split, count(*) as rows, avg(late_resolution) as positive_rate from temporal group by 1)",
+        *DRIFT_CTES,
     ),
 )
 def _(spark, sf_dir):
@@ -575,6 +595,34 @@ _AVERAGED = ["periods", *_AVERAGES, *[f"delta_{a}_vs_static" for a in _AVERAGES]
 _STATIC = "static_initial_train"
 
 
+RETRAINING_CTES = [
+    PERIODS,
+    WINDOWS,
+    "spans as (select time_bin, count(*) as rows, avg(late_resolution) as positive_rate from periods group by 1)",
+    "asked as (select strategy, 'period_' || test_period as test_period, periods.* from periods join windows on period = windows.test_period)",
+    """taught as (select strategy, 'period_' || test_period as test_period, periods.*
+         from periods join windows on period between first_period and last_period)""",
+    learned_sql("t", "asked", "taught", ["strategy", "test_period"], where="true", among="true"),
+    metrics_sql("m", "t", ["strategy", "test_period"], edges="open0"),
+    """trained as (select strategy, 'period_' || test_period as test_period, count(*) as train_rows,
+         avg(late_resolution) as train_positive_rate
+         from periods join windows on period between first_period and last_period group by all)""",
+    """full_rows as (select m.*, train_rows, train_positive_rate, spans.rows as test_rows, spans.positive_rate as test_positive_rate
+         from m join trained using (strategy, test_period) join spans on time_bin = test_period)""",
+    "report as (select f.*, "
+    + ", ".join(f'z."{m}" as static_{m}, f."{m}" - z."{m}" as delta_vs_static_{m}' for m in QUALITY_METRICS)
+    + f" from full_rows f left join (select * from m where strategy = '{_STATIC}') z using (test_period))",
+    "means as (select strategy, count(distinct test_period) as periods, "
+    + ", ".join(f'avg("{m}") as avg_{m}' for m in QUALITY_METRICS)
+    + " from m group by 1)",
+    "summary as (select *, "
+    + ", ".join(
+        f"{a} - (select {a} from means where strategy = '{_STATIC}') as delta_{a}_vs_static" for a in _AVERAGES
+    )
+    + " from means)",
+]
+
+
 @query(
     "E10_retraining",
     together_sql(
@@ -584,30 +632,7 @@ _STATIC = "static_initial_train"
             melt_sql("retraining_metrics", "report", ["strategy", "test_period"], _RETRAINED),
             melt_sql("retraining_summary", "summary", ["strategy"], _AVERAGED),
         ],
-        PERIODS,
-        WINDOWS,
-        "spans as (select time_bin, count(*) as rows, avg(late_resolution) as positive_rate from periods group by 1)",
-        "asked as (select strategy, 'period_' || test_period as test_period, periods.* from periods join windows on period = windows.test_period)",
-        """taught as (select strategy, 'period_' || test_period as test_period, periods.*
-             from periods join windows on period between first_period and last_period)""",
-        learned_sql("t", "asked", "taught", ["strategy", "test_period"], where="true", among="true"),
-        metrics_sql("m", "t", ["strategy", "test_period"], edges="open0"),
-        """trained as (select strategy, 'period_' || test_period as test_period, count(*) as train_rows,
-             avg(late_resolution) as train_positive_rate
-             from periods join windows on period between first_period and last_period group by all)""",
-        """full_rows as (select m.*, train_rows, train_positive_rate, spans.rows as test_rows, spans.positive_rate as test_positive_rate
-             from m join trained using (strategy, test_period) join spans on time_bin = test_period)""",
-        "report as (select f.*, "
-        + ", ".join(f'z."{m}" as static_{m}, f."{m}" - z."{m}" as delta_vs_static_{m}' for m in QUALITY_METRICS)
-        + f" from full_rows f left join (select * from m where strategy = '{_STATIC}') z using (test_period))",
-        "means as (select strategy, count(distinct test_period) as periods, "
-        + ", ".join(f'avg("{m}") as avg_{m}' for m in QUALITY_METRICS)
-        + " from m group by 1)",
-        "summary as (select *, "
-        + ", ".join(
-            f"{a} - (select {a} from means where strategy = '{_STATIC}') as delta_{a}_vs_static" for a in _AVERAGES
-        )
-        + " from means)",
+        *RETRAINING_CTES,
     ),
 )
 def _(spark, sf_dir):
@@ -637,6 +662,14 @@ _SPREAD_SQL = " union all ".join(
 )
 
 
+STABILITY_CTES = [
+    *_SEED_TESTS,
+    "t as (" + " union all ".join(f"select seed, y_true, y_prob from t{s}" for s in _SEEDS) + ")",
+    metrics_sql("m", "t", ["seed"]),
+    f"spread as ({_SPREAD_SQL})",
+]
+
+
 @query(
     "E11_seed_stability",
     together_sql(
@@ -647,10 +680,7 @@ _SPREAD_SQL = " union all ".join(
                 "stability_seed_summary", "spread", ["metric"], ["mean", "std", "min", "max", "range", "coefficient_of_variation"]
             ),
         ],
-        *_SEED_TESTS,
-        "t as (" + " union all ".join(f"select seed, y_true, y_prob from t{s}" for s in _SEEDS) + ")",
-        metrics_sql("m", "t", ["seed"]),
-        f"spread as ({_SPREAD_SQL})",
+        *STABILITY_CTES,
     ),
 )
 def _(spark, sf_dir):
@@ -948,26 +978,3 @@ def _(spark, sf_dir):
         melted("project_risk_proxy_summary", reports["project_risk_proxy_summary"], keys, _RISK),
         melted("project_risk_proxy_by_group", reports["project_risk_proxy_by_group"], keys, _RISK),
     )
-
-
-@query(
-    "E17_kpi_export",
-    together_sql(
-        "scored",
-        [
-            melt_sql("performance_kpis_long", "kpis", ["source_table", "kpi", "o", "status"], ["value"]),
-            melt_sql("kpi_snapshot", "snapshot", ["metric"], ["latest_value", "min_value", "max_value", "mean_value"]),
-        ],
-        *KPI_CTES,
-        """snapshot as (select kpi as metric, last(value order by t, c, o) as latest_value, min(value) as min_value,
-             max(value) as max_value, avg(value) as mean_value from kpis where value is not null group by 1)""",
-    ),
-)
-def _(spark, sf_dir):
-    reports = jobs.kpi_export(kpi_reports(spark, sf_dir))
-    threshold = F.coalesce(F.col("threshold").cast("string"), F.lit(""))
-    long = reports["performance_kpis_long"].withColumn("o", F.concat("model", threshold))
-    return together(
-        melted("performance_kpis_long", long, ["source_table", "kpi", "o", "status"], ["value"]),
-        melted("kpi_snapshot", reports["kpi_snapshot"], ["metric"]),
-    )

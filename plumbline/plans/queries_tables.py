@@ -646,93 +646,3 @@ def _(spark, sf_dir):
     known = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
     union = ordered.union(known).distinct().select(F.lit("union").alias("op"), "k")
     return union.union(known.exceptAll(ordered.distinct()).distinct().select(F.lit("difference").alias("op"), "k"))
-
-
-# ---------------------------------------------------------------- KPI tables
-
-_MODEL_COLUMNS = ["rows", "positive_rate_true", *Q]
-_SWEEP_COLUMNS = ["rows", "positive_rate_true", "positive_rate_predicted", *Q]
-
-
-def kpi_reports(spark, sf_dir):
-    df = scored(spark, sf_dir)
-    whole = metrics.evaluate(df, ["model"], edges="open0").select("model", *_MODEL_COLUMNS)
-    sweep = metrics.threshold_sweep(df).select("model", "threshold", *_SWEEP_COLUMNS)
-    # Models are written one after the other.
-    written = F.array_position(F.array(*[F.lit(m) for m in sorted(m[0] for m in MODELS)]), F.col("model"))
-    whole, sweep = whole.withColumn("written", written), sweep.withColumn("written", written)
-    # Reports are read from files, as they are when each analysis has run on its own.
-    return [
-        ReportTable("model_metrics", stage(whole, "model_metrics"), ["model"], ["written"]),
-        ReportTable("degradation_summary", None, ["scenario"]),
-        ReportTable("threshold_metrics", stage(sweep, "threshold_metrics"), ["model", "threshold"], ["written", "threshold"]),
-    ]
-
-
-_LOWER = "('brier_score', 'ece', 'error_rate', 'false_positive_rate', 'false_negative_rate')"
-
-
-def _status_sql(metric, value):
-    return f"""case when {value} is null then 'missing'
-        when {metric} in {_LOWER} then case when {value} <= 0.05e0 then 'green' when {value} <= 0.15e0 then 'amber' else 'red' end
-        when {value} >= 0.75e0 then 'green' when {value} >= 0.5e0 then 'amber' else 'red' end"""
-
-
-_KPI_PARTS = [
-    f"""select model, cast(null as double) as threshold, '{c}' as kpi, cast("{c}" as double) as value,
-        'model_metrics' as source_table, 0 as t, {i} as c, model as o from fixed"""
-    for i, c in enumerate(_MODEL_COLUMNS)
-] + [
-    f"""select model, threshold, '{c}' as kpi, cast("{c}" as double) as value, 'threshold_metrics' as source_table,
-        2 as t, {i} as c, model || threshold as o from sweep"""
-    for i, c in enumerate(_SWEEP_COLUMNS)
-]
-KPI_CTES = (
-    metrics_sql("fixed", "scored", ["model"], edges="open0"),
-    sweep_sql("sweep", "scored", ["model"], SWEEP_THRESHOLDS, "fixed"),
-    f"kpis as (select *, {_status_sql('kpi', 'value')} as status from ({' union all '.join(_KPI_PARTS)}))",
-)
-
-
-def long_kpis(spark, sf_dir):
-    return kpi.kpi_long(kpi_reports(spark, sf_dir))
-
-
-@query(
-    "U03_wide_to_long",
-    sql(
-        "scored",
-        f"select model, {r('threshold')} as threshold, kpi, {r('value')} as value, source_table, status from kpis",
-        *KPI_CTES,
-    ),
-)
-def _(spark, sf_dir):
-    return rounded(long_kpis(spark, sf_dir).drop("ordinal"))
-
-
-_CATALOG = ", ".join("(" + ", ".join(f"'{cell}'" for cell in row) + ")" for row in kpi.KPI_CATALOG)
-
-
-@query(
-    "J12_kpis_join_catalogue",
-    sql(
-        "scored",
-        f"""select model, {r('threshold')} as threshold, kpi, {r('value')} as value, source_table, status, family, definition,
-                   interpretation from kpis left join (values {_CATALOG}) t(kpi, family, definition, interpretation) using (kpi)""",
-        *KPI_CTES,
-    ),
-)
-def _(spark, sf_dir):
-    return rounded(kpi.with_catalog(long_kpis(spark, sf_dir).drop("ordinal")))
-
-
-SNAPSHOT = f"""
-select kpi as metric, {r("latest")} as latest_value, {r("lo")} as min_value, {r("hi")} as max_value, {r("mean")} as mean_value,
-       {_status_sql("kpi", "latest")} as status
-from (select kpi, last(value order by t, c, o) as latest, min(value) as lo, max(value) as hi, avg(value) as mean
-      from kpis where value is not null group by kpi)"""
-
-
-@query("A17_kpi_snapshot", sql("scored", SNAPSHOT, *KPI_CTES))
-def _(spark, sf_dir):
-    return rounded(kpi.kpi_snapshot(long_kpis(spark, sf_dir)))

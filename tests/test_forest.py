@@ -2,12 +2,12 @@
 
 import numpy as np
 import pytest
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from plumbline.operators import forest, models
 from plumbline.plans import jobs
-from plumbline.session import side_by_side
+from plumbline.session import side_by_side, stage
 
 N, WIDTH = 400, 6
 
@@ -78,7 +78,7 @@ def test_every_split_is_the_best_one(table, least_leaf, weighted):
 @pytest.mark.parametrize("random_thresholds", [False, True])
 def test_tables_of_nodes(spark, table, random_thresholds):
     """Counts add up, trees differ, and following the table by joins gives what scoring gives."""
-    spec = forest.Forest(8, 3, 2, 30, True, random_thresholds)
+    spec = forest.Forest(8, 3, 2, 6, True, random_thresholds)
     model = spec.fit(table)
     nodes = model.nodes.cache()
     inner = nodes.where("feature >= 0")
@@ -93,20 +93,15 @@ def test_tables_of_nodes(spark, table, random_thresholds):
         limits = [r.threshold for r in inner.where("feature = 0").collect()]
         assert len(set(limits)) == len(limits)
     # Level by level, as joins on the table of nodes.
-    at = table.select("id", "features").crossJoin(nodes.select("tree").distinct()).withColumn("node", F.lit(0))
     value = F.element_at(F.col("x"), F.col("feature") + 1).cast("float")
-    from pyspark.ml.functions import vector_to_array
-
-    at = at.withColumn("x", vector_to_array("features")).drop("features")
-    done = None
-    while True:
-        joined = at.join(nodes, ["tree", "node"]).cache()
-        leaves = joined.where("feature < 0").select("id", "tree", "probability")
-        done = leaves if done is None else done.unionByName(leaves)
+    at = table.select("id", vector_to_array("features").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("tree"))
+    at, leaves = at.withColumn("node", F.lit(0)), []
+    for _ in range(spec.max_depth + 1):
+        joined = stage(at.join(nodes, ["tree", "node"]), "followed")
+        leaves.append(joined.where("feature < 0").select("id", "tree", "probability"))
         at = joined.where("feature >= 0")
-        if at.isEmpty():
-            break
         at = at.select("id", "tree", "x", F.when(value <= F.col("threshold"), F.col("left_node")).otherwise(F.col("right_node")).alias("node"))
+    done = jobs.union_all(leaves)
     followed = {r.id: r.p for r in done.groupBy("id").agg(F.avg("probability").alias("p")).collect()}
     scored = {r.id: r.y_prob for r in model.transform(table).collect()}
     assert scored == pytest.approx(followed) and len(scored) == N + 1
