@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import in_slices, travels
+from plumbline.llm.common import SLICE_BYTES, in_slices, travels
 from plumbline.llm.words import Memory, spread
 from plumbline.session import stage
 
@@ -347,7 +347,7 @@ def _assemble(tokenizer_json: str, full: bool):
             return _batch([(doc_id, ids, *result) for (doc_id, _), (ids, result) in zip(done, made)], names, types)
 
         for batch in batches:
-            done = []
+            done, size = [], 0
             rows = list(zip(*[batch.column(c).to_pylist() for c in ("row_no", "doc_id", "ids", "head", "tail")]))
             # The words at most joins, in one call.
             joins = [(x[4], y[3]) for x, y in zip(rows, rows[1:]) if x[0] == y[0] and x[4] and y[3]]
@@ -356,10 +356,14 @@ def _assemble(tokenizer_json: str, full: bool):
             for row_no, doc_id, ids, head, tail in rows:
                 if held and held[0] != row_no:
                     done.append((held[1], held[2].finish()))
-                    held = None
+                    held, size = None, size + len(done[-1][1])
+                    if size >= SLICE_BYTES:
+                        yield out(done)
+                        done, size = [], 0
                 held = held or (row_no, doc_id, Joiner(encoder))
                 held[2].add(ids, head, tail)
-            yield out(done)
+            if done:
+                yield out(done)
         if held:
             yield out([(held[1], held[2].finish())])
 
