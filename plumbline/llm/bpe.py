@@ -282,7 +282,7 @@ def _encode_shared(tokenizer_json: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, last, known = Encoder(tokenizer_json), None, ()
-        for batch in batches:
+        for batch in in_slices(batches):
             rows = list(zip(*[batch.column(c).to_pylist() for c in _PIECE_NAMES]))
             # The text itself is compared, not its hash.
             before = [last, *[r[6] for r in rows]]
@@ -346,7 +346,7 @@ def _assemble(tokenizer_json: str, full: bool):
             made = results(encoder, [d[1] for d in done], full)
             return _batch([(doc_id, ids, *result) for (doc_id, _), (ids, result) in zip(done, made)], names, types)
 
-        for batch in batches:
+        for batch in in_slices(batches, column="ids"):
             done, size = [], 0
             rows = list(zip(*[batch.column(c).to_pylist() for c in ("row_no", "doc_id", "ids", "head", "tail")]))
             # The words at most joins, in one call.

@@ -65,11 +65,11 @@ def give_back() -> None:
         pass  # not every C library has it
 
 
-def in_slices(batches: Iterable[pa.RecordBatch], limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches cut up by the size of their column ``text``."""
+def in_slices(batches: Iterable[pa.RecordBatch], limit: int = SLICE_BYTES, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """The batches cut up by the size of one column."""
     give_back()
     for batch in batches:
-        for begin, end in slices(batch.column("text"), limit):
+        for begin, end in slices(batch.column(column), limit):
             yield batch.slice(begin, end - begin)
 
 
