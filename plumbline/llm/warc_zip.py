@@ -1,9 +1,10 @@
 """Web archives packed into ZIP files: writer, and a reader by byte ranges.
 
-An archive holds ``archive/data.warc.gz`` (one gzip member per WARC record) and
-``indexes/index.cdx`` (offset and length of every record), both stored, not deflated. A reader
-finds them through the central directory, with ZIP64 where needed, and reads just the bytes of
-the records it is after; nothing is extracted.
+An archive holds one or more ``archive/*.warc.gz`` (a gzip member per WARC record) and
+``indexes/*`` (CDXJ or CDX lines, plain or in gzip blocks), all stored, not deflated. A reader
+finds them through the central directory, with ZIP64 where needed, and reads byte ranges; nothing
+is extracted. An index only says where a member may be cut into ranges, so records that it does
+not list are read as well. This writer packs one member and a sorted CDXJ index.
 
 Files are opened through ``pyarrow.fs`` by their address, so archives may lie in any store that
 it knows. The archives go below ``spark.checkpoint.dir``, which executors share.
@@ -13,13 +14,14 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import struct
 import uuid
 import zipfile
 import zlib
 from collections.abc import Iterable, Iterator
 from itertools import chain
-from urllib.parse import quote
+from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -29,7 +31,8 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import travels
 from plumbline.session import scratch_path, stage
 
-DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
+ARCHIVE, INDEXES = "archive/", "indexes/"
+DATA, INDEX = f"{ARCHIVE}data.warc.gz", f"{INDEXES}index.cdx"
 ARCHIVE_BYTES = 256 << 20
 RANGE_BYTES = 4 << 20
 BLOCK = 1 << 20
@@ -74,6 +77,31 @@ def warc_record(page_id, url, payload: bytes, owner, revisit: bool) -> bytes:
     return "\r\n".join(headers).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def sort_key(url: str | None) -> str:
+    """The address with its host turned round, by which an index is sorted."""
+    if url is None:
+        return "-"
+    try:
+        parts = urlsplit(url)
+        host = parts.hostname
+    except ValueError:
+        host = None
+    if not host:
+        return url.lower()
+    port = parts.netloc.rpartition("@")[2].partition(":")[2] if host.count(":") == 0 else ""
+    tail = (parts.path or "/") + (f"?{parts.query}" if parts.query else "")
+    return (",".join(reversed(host.split("."))) + (f":{port}" if port else "") + ")" + tail).lower()
+
+
+def _index_line(record: bytes, at: int, size: int) -> str:
+    fields = _fields(record[: record.index(b"\r\n\r\n")])
+    url = fields.get("warc-target-uri")
+    shown = {"url": url} if url is not None else {}
+    shown |= {"digest": fields["warc-payload-digest"], "length": str(size), "offset": str(at), "filename": DATA[len(ARCHIVE) :]}
+    stamp = "".join(c for c in fields["warc-date"] if c.isdigit())
+    return f"{sort_key(url)} {stamp} {json.dumps(shown)}\n"
+
+
 def write_archive(address: str, records: Iterable[bytes], archive_bytes: int = ARCHIVE_BYTES) -> int:
     """Write records until the archive is large enough; the number of records written."""
     store, path = pafs.FileSystem.from_uri(address)
@@ -84,12 +112,12 @@ def write_archive(address: str, records: Iterable[bytes], archive_bytes: int = A
                 squeezer = zlib.compressobj(1, zlib.DEFLATED, 31)
                 data = squeezer.compress(record) + squeezer.flush()
                 member.write(data)
-                places.append(f"{at} {len(data)}\n")
+                places.append(_index_line(record, at, len(data)))
                 at += len(data)
                 if at >= archive_bytes:
                     break
         with packed.open(zipfile.ZipInfo(INDEX), "w", force_zip64=True) as member:
-            member.write("".join(places).encode())
+            member.write("".join(sorted(places)).encode())
     return len(places)
 
 
@@ -202,77 +230,219 @@ def _open(address: str):
     return store.open_input_file(path)
 
 
-def archive_ranges(source, range_bytes: int = RANGE_BYTES) -> Iterator[tuple[int, int]]:
-    """Byte ranges of whole records, each of about ``range_bytes``; one range if there is no index."""
-    members = central_directory(source)
-    if DATA not in members:
-        return
-    method, start, size = members[DATA]
-    if method != 0:
-        raise ValueError("the archive member is not stored")
-    if INDEX not in members:
-        yield start, size
-        return
-    method, at, length = members[INDEX]
-    if method != 0:
-        raise ValueError("the index is not stored")
-    first, last, rest = None, None, b""
-    for block in range(0, length, BLOCK):
-        lines = (rest + read_range(source, at + block, min(BLOCK, length - block))).split(b"\n")
-        rest = lines.pop()
-        for line in lines:
-            offset, n = map(int, line.split())
-            if first is None:
-                first = offset
-            last = offset + n
-            if last - first >= range_bytes:
-                yield start + first, last - first
-                first = None
-    if first is not None:
-        yield start + first, last - first
+def _blocks(source, at: int, size: int) -> Iterator[bytes]:
+    for block in range(at, at + size, BLOCK):
+        yield read_range(source, block, min(BLOCK, at + size - block))
 
 
-def gzip_members(source, at: int, size: int) -> Iterator[bytes]:
-    """The records of a range, one gzip member each."""
-    end, unpacker, parts = at + size, zlib.decompressobj(31), []
-    while at < end:
-        block = read_range(source, at, min(BLOCK, end - at))
-        at += len(block)
+def _unpacked(blocks: Iterable[bytes]) -> Iterator[tuple[bytes, bool]]:
+    """What gzip members hold, piece by piece, and whether a member ends there."""
+    unpacker, open_member = zlib.decompressobj(31), False
+    for block in blocks:
         while block:
-            parts.append(unpacker.decompress(block))
+            data, open_member = unpacker.decompress(block), True
             block = b""
             if unpacker.eof:
-                yield b"".join(parts)
-                block, unpacker, parts = unpacker.unused_data, zlib.decompressobj(31), []
-    if any(parts):
-        raise ValueError("a record is cut short")
+                block, unpacker, open_member = unpacker.unused_data, zlib.decompressobj(31), False
+            yield data, not open_member
+    if open_member:
+        raise ValueError("a gzip member is cut short")
+
+
+def _lines(blocks: Iterable[bytes]) -> Iterator[bytes]:
+    rest = b""
+    for block in blocks:
+        *lines, rest = (rest + block).split(b"\n")
+        yield from lines
+    yield rest
+
+
+def index_entries(lines: Iterable[bytes]) -> Iterator[tuple[str, int]]:
+    """File name and offset of each line of a CDXJ or CDX index."""
+    order = None
+    for line in lines:
+        text = line.decode().rstrip("\r")
+        if not text.strip() or text.startswith("!"):
+            continue
+        if text.lstrip().startswith("CDX "):
+            order = text.split()[1:]
+            continue
+        if order is not None:
+            cells = dict(zip(order, text.split()))
+            name, offset = cells.get("g"), cells.get("V")
+        else:
+            try:
+                cells = json.loads(text[text.index("{") :])
+            except ValueError:
+                raise ValueError(f"no index line: {text[:200]}") from None
+            name, offset = cells.get("filename"), cells.get("offset")
+        if name is None or offset is None:
+            raise ValueError(f"an index line without file or offset: {text[:200]}")
+        yield name, int(offset)
+
+
+def _stored(members: dict[str, tuple[int, int, int]], name: str) -> tuple[int, int]:
+    method, start, size = members[name]
+    if method != 0:
+        raise ValueError(f"{name} is not stored")
+    return start, size
+
+
+def archive_ranges(source, range_bytes: int = RANGE_BYTES) -> Iterator[tuple[int, int]]:
+    """Byte ranges of whole records, each of about ``range_bytes``, over all WARC members.
+
+    Of each stretch of ``range_bytes`` only the first offset in the indexes is held, in any order of
+    their lines. A member that no index names is one range. Archives without a WARC member,
+    members that are deflated or no ``.warc.gz``, and indexes that cannot be read are errors.
+    """
+    members = central_directory(source)
+    wanted = [n for n in members if n.startswith(ARCHIVE) and not n.endswith("/")]
+    if not wanted:
+        raise ValueError("the archive has no WARC member")
+    if other := [n for n in wanted if not n.endswith(".warc.gz")]:
+        raise ValueError(f"{other[0]} is no .warc.gz")
+    places = {n: _stored(members, n) for n in wanted}
+    firsts: dict[str, dict[int, int]] = {n: {} for n in wanted}
+    for name in members:
+        kind = name.removesuffix(".gz")
+        if not name.startswith(INDEXES) or not kind.endswith((".cdx", ".cdxj")):
+            continue  # a summary of an index, say
+        blocks: Iterable[bytes] = _blocks(source, *_stored(members, name))
+        if kind != name:
+            blocks = (data for data, _ in _unpacked(blocks))
+        for file, offset in index_entries(_lines(blocks)):
+            member = file if file in firsts else ARCHIVE + file
+            if member not in firsts or not 0 <= offset < places[member][1]:
+                raise ValueError(f"{name} names a place outside the archive: {file} {offset}")
+            slot = offset // range_bytes
+            firsts[member][slot] = min(offset, firsts[member].get(slot, offset))
+    for member, (start, size) in places.items():
+        cuts = sorted({0, *firsts[member].values()})
+        yield from ((start + a, b - a) for a, b in zip(cuts, [*cuts[1:], size]) if b > a)
+
+
+def gzip_members(source, at: int, size: int) -> Iterator[bytes]:
+    """What the gzip members of a range hold: a record each, as a rule."""
+    parts: list[bytes] = []
+    for data, ended in _unpacked(_blocks(source, at, size)):
+        parts.append(data)
+        if ended:
+            yield b"".join(parts)
+            parts.clear()
 
 
 def _fields(lines: bytes) -> dict[str, str]:
-    return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines.decode().split("\r\n")[1:])}
+    """Header fields by lower-case name; the first of equal names counts."""
+    found: dict[str, str] = {}
+    for line in lines.decode(errors="replace").split("\r\n")[1:]:
+        name, _, value = line.partition(":")
+        found.setdefault(name.strip().lower(), value.strip())
+    return found
+
+
+def split_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Header fields and block of each record."""
+    at = 0
+    while at < len(data):
+        head = data.find(b"\r\n\r\n", at)
+        if head < 0 or not data.startswith(b"WARC/", at):
+            raise ValueError("not a WARC record")
+        fields = _fields(data[at:head])
+        end = head + 4 + int(fields["content-length"])
+        if end > len(data):
+            raise ValueError(f"record {fields.get('warc-record-id')} is cut short")
+        yield fields, data[head + 4 : end]
+        at = end
+        while data.startswith(b"\r\n", at):
+            at += 2
+
+
+PAGE = "<urn:page:"
 
 
 def _page(name: str | None) -> int | None:
-    value = name[len("<urn:page:") : -1] if name else "null"
+    value = name[len(PAGE) : -1] if name and name.startswith(PAGE) else "null"
     return None if value == "null" else int(value)
 
 
+def _base32(digest: bytes) -> str:
+    return base64.b32encode(digest).decode()
+
+
+def _fits(stated: str, data: bytes) -> bool:
+    """Whether a labelled digest is that of the data; digests of unknown kinds cannot be told."""
+    label, _, value = stated.partition(":")
+    label = label.lower().replace("-", "")
+    if label not in ("md5", "sha1", "sha256", "sha512"):
+        return True
+    digest = hashlib.new(label, data, usedforsecurity=False).digest()
+    return value.lower() == digest.hex() or value.upper().rstrip("=") == _base32(digest).rstrip("=")
+
+
+def _shown_digest(stated: str | None) -> str | None:
+    """A stated SHA-1 in base32 without its label; other digests as they are."""
+    if stated is None or not stated.lower().startswith("sha1:"):
+        return stated
+    value = stated[5:]
+    return _base32(bytes.fromhex(value)) if len(value) == 40 else value.upper()
+
+
+def unchunked(body: bytes) -> bytes | None:
+    """The body without its transfer encoding in chunks; None if it has none."""
+    parts, at = [], 0
+    while True:
+        end = body.find(b"\r\n", at)
+        try:
+            size = int(body[at:end].partition(b";")[0], 16) if end > at else -1
+        except ValueError:
+            size = -1
+        if size < 0 or end + 2 + size > len(body):
+            return None
+        if size == 0:
+            return b"".join(parts)
+        parts.append(body[end + 2 : end + 2 + size])
+        at = end + 2 + size + 2
+
+
+def _row(fields: dict[str, str], block: bytes) -> tuple:
+    name, kind = fields.get("warc-record-id"), fields["warc-type"]
+    stated, owner = fields.get("warc-payload-digest"), fields.get("warc-refers-to")
+    if "warc-block-digest" in fields and not _fits(fields["warc-block-digest"], block):
+        raise ValueError(f"block of {name} is damaged")
+    payload, http = block, {}
+    if fields.get("content-type", "").lower().startswith("application/http"):
+        head, _, payload = block.partition(b"\r\n\r\n")
+        http = _fields(head)
+    if kind == "revisit":
+        length = http.get("content-length", "")
+        stored, size, digest = None, int(length) if length.isdigit() else None, _shown_digest(stated)
+    else:
+        digest = _base32(hashlib.sha1(payload).digest())
+        if stated is not None and stated != f"sha1:{digest}" and not _fits(stated, payload):
+            # Some writers leave the transfer encoding in what they digest, others do not.
+            plain = unchunked(payload) if "chunked" in http.get("transfer-encoding", "").lower() else None
+            if plain is None or not _fits(stated, plain):
+                raise ValueError(f"payload of {name} is damaged")
+            payload, digest = plain, _base32(hashlib.sha1(plain).digest())
+        stored, size = payload, len(payload)
+    return _page(name), fields.get("warc-target-uri"), kind, _page(owner), stored, size, digest, name, owner
+
+
+def parse_records(data: bytes) -> Iterator[tuple]:
+    """The columns of ``RECORD`` for each record, checked against its digests."""
+    return (_row(*record) for record in split_records(data))
+
+
 def parse_record(record: bytes) -> tuple:
-    """(page_id, url, record_type, refers_to, payload, payload_bytes, payload_digest), checked against its headers."""
-    head, _, rest = record.partition(b"\r\n\r\n")
-    if not head.startswith(b"WARC/1."):
-        raise ValueError("not a WARC record")
-    fields = _fields(head)
-    block = rest[: int(fields["content-length"])]
-    http, _, payload = block.partition(b"\r\n\r\n")
-    size, digest, kind = int(_fields(http)["content-length"]), fields["warc-payload-digest"].removeprefix("sha1:"), fields["warc-type"]
-    if kind == "response" and (len(payload) != size or base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest):
-        raise ValueError(f"payload of {fields['warc-record-id']} is damaged")
-    stored = payload if kind == "response" else None
-    return _page(fields["warc-record-id"]), fields.get("warc-target-uri"), kind, _page(fields.get("warc-refers-to")), stored, size, digest
+    """The only record, as ``parse_records`` gives it."""
+    (row,) = parse_records(record)
+    return row
 
 
-RECORD = "page_id long, url string, record_type string, refers_to long, payload binary, payload_bytes long, payload_digest string"
+RECORD = (
+    "page_id long, url string, record_type string, refers_to long, payload binary, payload_bytes long, "
+    "payload_digest string, record_id string, refers_to_record string"
+)
 
 
 def _ranges(range_bytes: int):
@@ -291,24 +461,23 @@ def _ranges(range_bytes: int):
 
 
 def _records(with_payload: bool):
-    types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.string()]
-    names = ["page_id", "url", "record_type", "refers_to", "payload", "payload_bytes", "payload_digest"]
+    kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+    names, types = zip(*[(n, kinds[k]) for n, k in (f.split() for f in RECORD.split(", "))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, held = [], 0
 
         def flush() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
+            batch = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=list(names))
             rows.clear()
             return batch
 
         for batch in batches:
             for address, start, size in zip(*[batch.column(c).to_pylist() for c in ("address", "start", "size")]):
                 with _open(address) as source:
-                    for record in gzip_members(source, start, size):
-                        row = parse_record(record)
+                    for row in (r for data in gzip_members(source, start, size) for r in parse_records(data)):
                         rows.append(row if with_payload else (*row[:4], None, *row[5:]))
-                        held += len(record) if with_payload else 500
+                        held += 500 + (len(row[4] or b"") if with_payload else 0)
                         if held > OUT_BYTES:
                             yield flush()
                             held = 0
@@ -320,8 +489,12 @@ def _records(with_payload: bool):
 def read_archives(archives: DataFrame, with_payload: bool = True, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """All records of the archives whose ``address`` is given, a task per few byte ranges.
 
-    Without ``with_payload`` payloads are read and checked but not returned. A damaged record or
-    directory is an error; an archive without an index is read as one range.
+    Archives of other writers are read as well: records of every type give a row, ``record_id`` and
+    ``refers_to_record`` are their names, and ``page_id`` and ``refers_to`` are NULL where these name no page of
+    ``write_pages``. The payload is what follows the HTTP headers, else the whole block; revisits
+    have none, and a size only if their headers state one. Without ``with_payload`` payloads are read and checked
+    but not returned. A damaged record, index or directory is an error, and so is an archive without
+    WARC records; a member without an index is read as one range.
     """
     ranges = archives.select("address").mapInArrow(_ranges(range_bytes), "address string, start long, size long")
     # A few bytes stand for some megabytes each: they are dealt out by number, as Spark would take
