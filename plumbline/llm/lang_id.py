@@ -5,7 +5,8 @@ log P(language | all) is, up to a constant, the sum of
   neighbouring trigrams are not independent;
 - log P(declared language | language) and log P(address suffix | language), where there are any;
 - the log of the host's prior: declared languages counted per host by grouped aggregation, smoothed
-  towards the host's domain, and that towards the whole corpus.
+  towards the host's domain, and that towards the whole corpus. A host without a domain is smoothed
+  towards the corpus at once.
 
 A further class, ``und``, stands for text that is in none of the languages.
 """
@@ -31,7 +32,7 @@ SUFFIX_LANGUAGE = {
     "ie": "en", "mx": "es", "nz": "en", "uk": "en", "us": "en",
 }
 
-# Labelled rows per language that the text models are fitted on, about.
+# Distinct labelled texts per language that the text models are fitted on, about.
 SAMPLE_ROWS = 2_000
 BUCKETS = 1 << 16
 TEMPER = 0.2
@@ -67,10 +68,10 @@ def _count(languages: Sequence[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((len(languages), BUCKETS), dtype=np.int64)
         for batch in in_slices(batches):
-            labels = batch.column("label").to_pylist()
+            labels, weights = batch.column("label").to_pylist(), batch.column("weight").to_pylist()
             buckets, real, starts, ends, _ = trigram_buckets(batch.column("text"))
-            for label, a, b in zip(labels, starts, ends):
-                counts[languages.index(label)] += np.bincount(buckets[a:b][real[a:b]], minlength=BUCKETS)
+            for label, weight, a, b in zip(labels, weights, starts, ends):
+                counts[languages.index(label)] += weight * np.bincount(buckets[a:b][real[a:b]], minlength=BUCKETS)
         for language, row in zip(languages, counts):
             seen = np.flatnonzero(row)
             yield pa.RecordBatch.from_arrays(
@@ -89,15 +90,20 @@ def base_language(tag: Column) -> Column:
 def fit_texts(labelled: DataFrame, languages: Sequence[str] = LANGUAGES, sample_rows: int = SAMPLE_ROWS) -> np.ndarray:
     """Log-probabilities, languages x buckets, from a sample of (``label``, ``text``) rows.
 
-    The sample are the rows with the smallest hash, about ``sample_rows`` of each language; their
-    counts come back as ``BUCKETS`` rows per language at most.
+    The sample are the distinct texts with the smallest hash, about ``sample_rows`` of each language:
+    each doubling of a text's copies counts as one more text, so thousands of copies weigh as much as
+    a dozen texts. The counts come back as ``BUCKETS`` rows per language at most.
     """
-    labelled = labelled.where(F.col("label").isin(*languages)).select("label", F.coalesce("text", F.lit("")).alias("text"))
-    sizes = {r.label: r.n for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    text = F.coalesce("text", F.lit(""))
+    labelled = labelled.where(F.col("label").isin(*languages)).select("label", text.alias("text"), F.xxhash64(text).alias("key"))
+    sizes = {r.label: r.n for r in labelled.groupBy("label").agg(F.approx_count_distinct("key", 0.02).alias("n")).collect()}
     share = F.lit(0)
     for language, n in sizes.items():
         share = F.when(F.col("label") == language, F.lit(int(min(1.0, sample_rows / n) * (1 << 32)))).otherwise(share)
-    drawn = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1 << 32)) < share).select("label", F.col("text").cast("binary").alias("text"))
+    drawn = labelled.where(F.pmod("key", F.lit(1 << 32)) < share)
+    drawn = drawn.groupBy("label", "key").agg(
+        F.min("text").cast("binary").alias("text"), F.length(F.bin(F.count("*"))).alias("weight")
+    )
     counted = drawn.mapInArrow(_count(languages), "label string, bucket long, n long")
     counts = np.full((len(languages), BUCKETS), 0.5)
     for r in counted.groupBy("label", "bucket").agg(F.sum("n").alias("n")).collect():
@@ -106,7 +112,7 @@ def fit_texts(labelled: DataFrame, languages: Sequence[str] = LANGUAGES, sample_
 
 
 def host_priors(rows: DataFrame, languages: Sequence[str] = LANGUAGES, weight: float = HOST_WEIGHT) -> DataFrame:
-    """``host, prior``: one array per host, from (``host``, ``domain``, ``declared``) rows."""
+    """``host, prior``: one array per host and domain, from (``host``, ``domain``, ``declared``) rows."""
     counts = [F.count(F.when(F.col("declared") == x, 1)).alias(f"n{i}") for i, x in enumerate(languages)]
     names = [f"n{i}" for i in range(len(languages))]
     by_host = stage(rows.where(F.col("host").isNotNull()).groupBy("host", "domain").agg(*counts), "hosts")
@@ -120,12 +126,14 @@ def host_priors(rows: DataFrame, languages: Sequence[str] = LANGUAGES, weight: f
         n = sum(counted, F.lit(0))
         return [(c + F.lit(weight) * t) / (n + F.lit(weight)) for c, t in zip(counted, towards)]
 
-    domain = smoothed([F.col(f"d{n}") for n in names], [F.lit(p) for p in overall])
-    host = smoothed([F.col(n) for n in names], domain)
-    return by_host.join(by_domain, "domain").select("host", F.array(*host).alias("prior"))
+    corpus = [F.lit(p) for p in overall]
+    domain = smoothed([F.col(f"d{n}") for n in names], corpus)
+    parent = [F.when(F.col("domain").isNull(), c).otherwise(d) for c, d in zip(corpus, domain)]
+    host = smoothed([F.col(n) for n in names], parent)
+    return by_host.join(by_domain, "domain", "left").select("host", F.array(*host).alias("prior"))
 
 
-def identify(
+def _identified(
     docs: DataFrame,
     text: Column,
     declared: Column | None = None,
@@ -136,14 +144,7 @@ def identify(
     sample_rows: int = SAMPLE_ROWS,
     min_probability: float = MIN_PROBABILITY,
 ) -> DataFrame:
-    """The rows with a column ``_language``: struct of ``language``, ``probability`` and ``accepted``.
-
-    ``declared`` is the language tag in the markup or metadata; it also labels the rows for the text
-    models, so at least some rows need one. Missing or unknown tags, suffixes and hosts are no
-    evidence. NULL and empty texts and texts without a letter are ``und`` with probability 1. A row
-    is accepted if its language is one of ``languages`` with ``min_probability`` or more. Ties go
-    to the language that comes first. Repeated rows get the same result; an empty table gives none.
-    """
+    """``_row``, a struct of the row, and ``_language``; see ``identify``."""
     languages = list(languages)
     nothing = F.lit(None).cast("string")
     declared = base_language(declared if declared is not None else nothing)
@@ -155,10 +156,10 @@ def identify(
         declared.alias("declared"),
         suffix.alias("suffix"),
         host.alias("host"),
-        (domain if domain is not None else host).alias("domain"),
+        F.nullif(domain if domain is not None else nothing, F.lit("")).alias("domain"),
     )
     model = fit_texts(rows.select(F.col("declared").alias("label"), "text"), languages, sample_rows)
-    priors = stage(host_priors(rows.select("host", F.coalesce("domain", "host").alias("domain"), "declared"), languages), "host-priors")
+    priors = stage(host_priors(rows.select("host", "domain", "declared"), languages), "host-priors")
     # Per host, not per (host, domain): a host has one domain, or its first.
     priors = priors.groupBy("host").agg(F.min("prior").alias("prior")).withColumnRenamed("host", "_host")
     priors = small_side(stage(priors, "host-prior"), F.octet_length("_host") + 8 * len(languages) + 32)
@@ -209,14 +210,40 @@ def identify(
         return pa.StructArray.from_arrays(fields, names=["language", "probability", "accepted"])
 
     fuse = F.arrow_udf(posterior, kind)
-    found = joined.select("_row", fuse(F.coalesce("text", F.lit("")).cast("binary"), *fused).alias("_language"))
-    return found.select("_row.*", "_language")
+    return joined.select("_row", fuse(F.coalesce("text", F.lit("")).cast("binary"), *fused).alias("_language"))
 
 
-def document_languages(docs: DataFrame) -> DataFrame:
-    """``documents`` with ``_language``: the column ``lang`` is what is declared, ``source`` the host."""
+def identify(docs: DataFrame, text: Column, *evidence: Column | None, **options) -> DataFrame:
+    """The rows with a column ``_language``: struct of ``language``, ``probability`` and ``accepted``.
+
+    ``evidence`` are the columns ``declared, suffix, host, domain``, as far as there are any.
+    ``declared`` is the language tag in the markup or metadata; it also labels the rows for the text
+    models, so at least some rows need one. Missing or unknown tags, suffixes and hosts are no
+    evidence. NULL and empty texts and texts without a letter are ``und`` with probability 1. A row
+    is accepted if its language is one of ``languages`` with ``min_probability`` or more. Ties go
+    to the language that comes first. Repeated rows get the same result; an empty table gives none.
+    A column ``_language`` of ``docs`` is replaced. Options are ``languages``, ``sample_rows`` and
+    ``min_probability``.
+    """
+    found = _identified(docs, text, *evidence, **options)
+    return found.select(*[F.col(f"_row.`{c}`") for c in docs.columns if c != "_language"], "_language")
+
+
+def _document_evidence(docs: DataFrame) -> tuple[Column, ...]:
     source = F.col("source").cast("string")
-    return identify(docs, F.col("text"), F.col("lang"), F.element_at(F.split(source, r"\."), -1), source)
+    suffix = F.element_at(F.split(source, r"\."), -1)
+    return F.col("text"), F.col("lang"), suffix, source, F.regexp_extract(source, r"([^.]+\.[^.]+)$", 1)
+
+
+def document_languages(docs: DataFrame) -> DataFrame:
+    """``documents`` with ``_language``: ``lang`` is what is declared, ``source`` the host, its last two names the domain."""
+    return identify(docs, *_document_evidence(docs))
+
+
+def keep_accepted(docs: DataFrame, min_probability: float = MIN_PROBABILITY) -> DataFrame:
+    """The documents in one of the known languages, with all their columns as they are."""
+    found = _identified(docs, *_document_evidence(docs), min_probability=min_probability)
+    return found.where("_language.accepted").select("_row.*")
 
 
 def page_languages(pages: DataFrame) -> DataFrame:
@@ -227,4 +254,4 @@ def page_languages(pages: DataFrame) -> DataFrame:
     host = F.when(host != "", host)
     domain = F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1)
     plain = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " "), r"<[^>]*>|&[A-Za-z0-9#]+;", " ")
-    return identify(pages, plain, tag, F.element_at(F.split(host, r"\."), -1), host, F.when(domain != "", domain).otherwise(host))
+    return identify(pages, plain, tag, F.element_at(F.split(host, r"\."), -1), host, domain)
