@@ -13,7 +13,7 @@ from plumbline.session import stage
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the known languages; what has no letter or is in no known language goes."""
-    return lang_id.document_languages(docs).where("_language.accepted").select(*docs.columns)
+    return lang_id.keep_accepted(docs)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
