@@ -35,10 +35,14 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def is_small(df: DataFrame, bytes_per_row: Column, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether the measured size of a written table is within the limit."""
+    return df.agg(F.coalesce(F.sum(bytes_per_row), F.lit(0)).alias("b")).first().b <= limit
+
+
 def small_side(df: DataFrame, bytes_per_row: Column, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Mark a written table for broadcast if its measured size is within the limit."""
-    size = df.agg(F.coalesce(F.sum(bytes_per_row), F.lit(0)).alias("b")).first().b
-    return F.broadcast(df) if size <= limit else df
+    return F.broadcast(df) if is_small(df, bytes_per_row, limit) else df
 
 
 # Bytes of text that a task turns into numbers at a time; a longer text goes alone.

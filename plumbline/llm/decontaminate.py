@@ -1,10 +1,14 @@
 """Benchmark decontamination by n-grams, in DataFrame functions only.
 
 The n-grams of all benchmark items are few against the corpus. Their hash set is broadcast (its
-size is measured; beyond the bound the same joins run as shuffles). A training text is cut into
+size is measured). A training text is cut into
 words once. A word that some n-gram has as its anchor, its longest word, is looked up first; only
 there the window of words is put together and looked up among the n-grams, which compares the
 whole n-gram.
+
+Beyond the bound, words are shuffled to the anchors with the number of their row and their place
+only; the places go back to their rows, where the windows are put together, and these are
+shuffled to the n-grams.
 """
 
 from __future__ import annotations
@@ -12,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import BROADCAST_BYTES, ascii_lower, small_side
+from plumbline.llm.common import BROADCAST_BYTES, ascii_lower, is_small
 from plumbline.session import stage
 
 # What stands between words before letters are lower-cased, and what a word consists of.
@@ -43,6 +47,34 @@ def benchmark_grams(benchmark: DataFrame, n: int = 10) -> DataFrame:
     )
 
 
+def _by_shuffles(words: DataFrame, lead: Column, full: Column, anchors: DataFrame, known: DataFrame) -> DataFrame:
+    """``find_overlaps`` for more n-grams than may be broadcast; row numbers come from a written table."""
+    words = stage(words, "document-words")
+    each = words.select("row_no", F.posexplode("w").alias("pos", "word")).select("row_no", "pos", F.lower("word").alias("anchor"))
+    placed = each.join(anchors, "anchor").select("row_no", "pos", F.inline("places"))
+    starts = placed.where("pos >= offset").select("row_no", (F.col("pos") - F.col("offset")).alias("s"), "k").distinct()
+    per_row = starts.groupBy("row_no").agg(F.collect_list(F.struct("s", "k")).alias("places"))
+    candidates = words.join(per_row, "row_no").select("row_no", "w", lead.alias("lead"), F.inline("places"))
+    windows = candidates.where(F.col("s") + F.col("k") <= F.size("w")).select(
+        "row_no",
+        "k",
+        (F.col("s") - F.col("lead")).alias("start"),
+        ascii_lower(F.array_join(F.slice("w", F.col("s") + 1, F.col("k")), " ")).alias("gram"),
+    )
+    hits = windows.join(known, ["gram", "k"]).groupBy("row_no").agg(
+        F.array_sort(F.collect_set(F.struct("start", "k"))).alias("windows"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
+    )
+    rows = words.select("row_no", "doc_id", "text_key", full.alias("n_words"))
+    return rows.join(hits, "row_no", "left").select(
+        "doc_id",
+        "text_key",
+        "n_words",
+        F.coalesce("windows", F.array().cast("array<struct<start:int,k:int>>")).alias("windows"),
+        F.coalesce("items", F.array().cast("array<string>")).alias("items"),
+    )
+
+
 def find_overlaps(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -63,13 +95,10 @@ def find_overlaps(
     grams = stage(benchmark_grams(benchmark, n), "grams")
     spark = docs.sparkSession
     anchors = grams.groupBy("anchor").agg(F.collect_set(F.struct("offset", "k")).alias("places"))
-    last = spark.range(1).select(
-        F.lit(END).alias("anchor"), F.array(F.struct(F.lit(0).alias("offset"), F.lit(0).alias("k"))).alias("places")
-    )
-    empty = spark.range(1).select(F.lit("").alias("gram"), F.lit(0).alias("k"), F.array().cast("array<string>").alias("items"))
-    anchors = small_side(stage(anchors.unionByName(last), "anchors"), F.octet_length("anchor") + 100, broadcast_bytes)
-    known = grams.select("gram", "k", "items").unionByName(empty)
-    known = small_side(known, F.octet_length("gram") + 40 * F.size("items") + 40, broadcast_bytes)
+    anchors = stage(anchors, "anchors")
+    known = grams.select("gram", "k", "items")
+    small = is_small(anchors, F.octet_length("anchor") + 100, broadcast_bytes)
+    small = small and is_small(known, F.octet_length("gram") + 40 * F.size("items") + 40, broadcast_bytes)
 
     text = F.coalesce(F.col(text_column), F.lit(""))
     words = docs.select(
@@ -80,13 +109,21 @@ def find_overlaps(
     )
     # Only the first and the last piece can be empty; positions count from the first word.
     lead = (F.element_at("w", 1) == "").cast("int")
+    full = (F.size("w") - lead - ((F.element_at("w", -1) == "") & (F.size("w") > 1)).cast("int")).cast("long")
+    if not small:
+        return _by_shuffles(words, lead, full, anchors, known)
+
+    last = spark.range(1).select(
+        F.lit(END).alias("anchor"), F.array(F.struct(F.lit(0).alias("offset"), F.lit(0).alias("k"))).alias("places")
+    )
+    empty = spark.range(1).select(F.lit("").alias("gram"), F.lit(0).alias("k"), F.array().cast("array<string>").alias("items"))
+    anchors, known = F.broadcast(anchors.unionByName(last)), F.broadcast(known.unionByName(empty))
     each = words.select("row_no", "doc_id", "text_key", "w", F.posexplode(F.concat("w", F.array(F.lit(END)))).alias("pos", "word"))
     at_anchor = each.join(anchors, F.lower("word") == F.col("anchor"))
     placed = at_anchor.select("row_no", "doc_id", "text_key", "w", "pos", F.inline("places"))
     start = F.col("pos") - F.col("offset")
     inside = (start >= 0) & (start + F.col("k") <= F.size("w"))
     window = ascii_lower(F.array_join(F.slice("w", start + 1, F.col("k")), " "))
-    full = (F.size("w") - lead - ((F.element_at("w", -1) == "") & (F.size("w") > 1)).cast("int")).cast("long")
     windows = placed.where(inside).select(
         "row_no",
         "doc_id",

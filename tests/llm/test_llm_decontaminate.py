@@ -98,3 +98,15 @@ def test_empty_tables(spark):
     assert D.find_overlaps(empty(spark), benchmark(spark)).count() == 0
     found = D.find_overlaps(documents(spark), benchmark(spark, [])).collect()
     assert len(found) == len(EDGES) and not any(r.windows for r in found)
+
+
+def test_long_document_without_broadcast(spark):
+    """A text of 200,000 words, many of them anchors, by shuffles: its words travel alone, not with the text."""
+    item = "alpha beta gamma delta epsilon zeta eta theta iota extraordinarily"
+    filler = [f"w{i % 997}" if i % 5 else "extraordinarily" for i in range(200_000)]
+    rows = [(1, " ".join(filler[:150_000]) + f" {item.upper()} " + " ".join(filler[150_000:]), "en", "a"), (2, None, "en", "a"), (3, item, None, None)]
+    docs, items = documents(spark, rows), benchmark(spark, [(7, item)])
+    found = D.find_overlaps(docs, items, broadcast_bytes=-1)
+    got = {r.doc_id: (r.n_words, [tuple(w) for w in r.windows], r["items"]) for r in found.collect()}
+    assert got == {1: (200_010, [(150_000, 10)], ["7"]), 2: (0, [], []), 3: (10, [(0, 10)], ["7"])}
+    assert sorted(map(str, found.collect())) == sorted(map(str, D.find_overlaps(docs, items).collect()))
