@@ -125,8 +125,7 @@ def split_labelled(df: DataFrame, test_size: float = 0.2, seed: int = 42) -> Dat
     A fit reads its training rows many times; written, they are one pruned partition.
     """
     rows = narrow(prepare.labelled_rows(df))
-    made = selection.with_split(rows, selection.stratified_test(rows, TARGET, test_size, seed=seed))
-    return stage(made, "split", partition_by=["split"])
+    return stage(selection.stratified_split(rows, TARGET, test_size, seed=seed), "split", partition_by=["split"])
 
 
 def halves(split: DataFrame, column: str = "split") -> tuple[DataFrame, DataFrame]:
@@ -370,7 +369,7 @@ def retraining(df: DataFrame, scorer: Scorer, periods: int = 5) -> Reports:
 def stability(df: DataFrame, scorer_for: Callable[[int], Scorer], seeds: Sequence[int] = tuple(SEEDS)) -> Reports:
     """The same model on differently seeded splits."""
     rows = narrow(prepare.labelled_rows(df))
-    tests = side_by_side(df.sparkSession, [partial(selection.stratified_test, rows, TARGET, seed=seed) for seed in seeds])
+    tests = selection.stratified_tests(rows, TARGET, seeds)
     sides = {f"_split{seed}": test for seed, test in zip(seeds, tests)}
     split = stage(rows.withColumns({n: F.when(t, "test").otherwise("train") for n, t in sides.items()}), "splits")
 

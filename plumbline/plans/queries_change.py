@@ -13,10 +13,12 @@ from plumbline.plans.views import labelled, prepared, r, sql, u_sql
 # ---------------------------------------------------------------- splits and periods
 
 
-def stratified_split_sql(name: str, source: str, seed: int = 42, size: str = "0.2e0") -> str:
+def stratified_split_sql(
+    name: str, source: str, seed: int = 42, size: str = "0.2e0", label: str = "late_resolution"
+) -> str:
     """CTEs ending in ``name``: the rows with ``split``. Class sizes by largest remainder."""
     return f"""
-{name}_n as (select late_resolution as y, count(*) as n, (select count(*) from {source}) as total from {source} group by 1),
+{name}_n as (select {label} as y, count(*) as n, (select count(*) from {source}) as total from {source} group by 1),
 {name}_q as (select *, total - cast(ceil(total * {size}) as bigint) as train from {name}_n),
 {name}_w as (select *, n * train // total as whole, n * train % total as rest from {name}_q),
 {name}_k as (
@@ -24,8 +26,8 @@ def stratified_split_sql(name: str, source: str, seed: int = 42, size: str = "0.
   from {name}_w),
 {name} as (
   select * exclude (rn, y, k), case when rn <= k then 'test' else 'train' end as split
-  from (select *, row_number() over (partition by late_resolution order by {u_sql('id', f'split{seed}')}, id) as rn from {source})
-  join {name}_k on y = late_resolution)"""
+  from (select *, row_number() over (partition by {label} order by {u_sql('id', f'split{seed}')}, id) as rn from {source})
+  join {name}_k on y = {label})"""
 
 
 TEMPORAL = """temporal as (
@@ -48,8 +50,7 @@ def temporal(spark, sf_dir):
 
 
 def stratified(spark, sf_dir):
-    df = labelled(spark, sf_dir)
-    return selection.with_split(df, selection.stratified_test(df, prepare.TARGET))
+    return selection.stratified_split(labelled(spark, sf_dir), prepare.TARGET)
 
 
 def periods(spark, sf_dir):
@@ -329,9 +330,8 @@ BIAS_CTES = (stratified_split_sql("s", "labelled"), BIAS)
 
 
 def bias_setting(spark, sf_dir):
-    df = labelled(spark, sf_dir)
-    train = selection.with_split(df, selection.stratified_test(df, prepare.TARGET)).where("split = 'train'")
-    return train, perturb.chosen_group(df)
+    train = stratified(spark, sf_dir).where("split = 'train'")
+    return train, perturb.chosen_group(labelled(spark, sf_dir))
 
 
 def _one_scenario(spark, sf_dir, scenario, columns):

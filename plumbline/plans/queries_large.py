@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import selection
 from plumbline.plans import queries_change, queries_metrics, queries_scalar, queries_tables  # noqa: F401
-from plumbline.plans.queries_change import PERIODS, TEMPORAL, dated_rows
+from plumbline.plans.queries_change import PERIODS, TEMPORAL, dated_rows, stratified_split_sql
 from plumbline.plans.registry import QUERIES, SQL, query
-from plumbline.plans.views import sql
+from plumbline.plans.views import labelled, sql
 
 
 def in_slices(run):
@@ -63,3 +63,18 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     return selection.with_time_bins(one_day(spark, sf_dir), sort_at_most=0).select("id", "period", "time_bin")
+
+
+_CELLS = """cells as (
+  select * from (select *, project_key || '/' || issuetype || '/' || cast(created_year as varchar) as cell from labelled)
+  where cell is not null)"""
+
+
+@query(
+    "D06b_stratified_split_of_many_classes",
+    sql("labelled", "select id, cell, split from s", _CELLS, stratified_split_sql("s", "cells", label="cell")),
+)
+def _(spark, sf_dir):
+    cell = F.concat("project_key", F.lit("/"), "issuetype", F.lit("/"), F.col("created_year").cast("string"))
+    cells = labelled(spark, sf_dir).withColumn("cell", cell).where("cell is not null")
+    return selection.stratified_split(cells, "cell").select("id", "cell", "split")

@@ -126,3 +126,83 @@ def test_text_ids_and_far_apart_numbers(spark, sort_at_most):
     df = spark.createDataFrame([(n,) for n in numbers], "id long")
     cuts = sel.cut_points(df, [F.col("id")], [0, 3, 7], sort_at_most)
     assert [c.values[0] for c in cuts] == [numbers[i] for i in (0, 3, 7)]
+
+
+def jobs_of(spark, call):
+    """The result of a call, and how many jobs it ran (a shuffle under adaptive execution counts as one)."""
+    group = f"counted-{random.random()}"
+    spark.sparkContext.setJobGroup(group, "counted")
+    try:
+        return call(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_jobs_do_not_grow_with_positions_classes_and_seeds(spark):
+    df = spark.range(3000).select("id", (F.col("id") % 3).alias("y"), F.timestamp_seconds(F.col("id") % 50).alias("created"))
+    df = spark.createDataFrame(df.collect(), df.schema)
+    assert jobs_of(spark, lambda: sel.with_time_bins(df, 5))[1] <= 4
+    assert jobs_of(spark, lambda: sel.with_time_bins(df, 40))[1] <= 4
+    assert jobs_of(spark, lambda: sel.stratified_test(df, "y"))[1] <= 4
+    tests, jobs = jobs_of(spark, lambda: sel.stratified_tests(df, "y", range(10)))
+    assert jobs <= 8
+    assert [df.where(t).count() for t in tests] == [600] * 10
+    assert len({tuple(sorted(r.id for r in df.where(t).collect())) for t in tests[:3]}) == 3
+
+
+@pytest.mark.parametrize("sort_at_most", [0, 7, 200_000])
+def test_keyed_cuts_by_brute_force(spark, sort_at_most):
+    rnd = random.Random(5)
+    rows = [(rnd.choice("aaab"), rnd.choice([0.5, rnd.random(), -1e300, 1e300]), f"t{i * 13 % 400:03}") for i in range(400)]
+    rows += [("c", 1.0, "only"), (None, 0.0, "none")]
+    df = spark.createDataFrame(rows, "k string, v double, t string")
+    wanted = {("a",): [0, 5, 150, 150, 10**6], ("b",): [0, 60], ("c",): [0, 1], ("absent",): [0]}
+    seen = {}
+    got = sel.keyed_cuts(df, ["k"], ["v", "t"], lambda n: seen.update(n) or wanted, sort_at_most)
+    assert seen == {(k,): sum(r[0] == k for r in rows) for k in "abc"}
+    for (key,), places in wanted.items():
+        ranked = sorted(r[1:] for r in rows if r[0] == key)
+        assert [c and c.values for c in got[(key,)]] == [ranked[p] if p < len(ranked) else None for p in places]
+
+
+def test_keyed_cuts_of_empty_tables_and_too_many_keys(spark):
+    empty = spark.createDataFrame([], "k string, id long")
+    assert sel.keyed_cuts(empty, ["k"], ["id"], lambda n: {}) == {}
+    assert sel.cut_points(empty, [F.col("id")], [0, 1]) == [None, None]
+    assert sel.stratified_split(empty, "k").count() == 0
+    many = spark.range(50).select("id", F.col("id").cast("string").alias("k"))
+    with pytest.raises(sel.TooManyKeys):
+        sel.stratified_test(many, "k")
+
+
+def stratified_by_hand(rows, seed, draws, test_size=0.2):
+    classes = {}
+    for key, label in rows:
+        if label is not None:
+            classes.setdefault(label, []).append((draws[key], key))
+    sizes = sel.split_sizes({c: len(m) for c, m in classes.items()}, test_size)
+    return {key for c, members in classes.items() for _, key in sorted(members)[: sizes[c]]}
+
+
+@pytest.mark.parametrize("kind, bucket_rows", [("few", 40), ("many", 40), ("single", 40), ("many", 50_000)])
+def test_stratified_split_of_any_number_of_classes(spark, kind, bucket_rows):
+    """A hot class, many small ones, classes of one row and rows without a label."""
+    rnd = random.Random(3)
+    label = {"few": lambda i: rnd.choice(["x", "y", None]), "single": lambda i: f"c{i}"}.get(
+        kind, lambda i: "hot" if rnd.random() < 0.4 else rnd.choice([None, *(f"c{n}" for n in range(120))])
+    )
+    rows = [(i, label(i)) for i in range(300 if kind == "single" else 1200)]
+    df = spark.createDataFrame(rows, "id long, k string").withColumn("n", F.lit(1)).withColumn("rank", F.lit("kept"))
+    draws = {r.id: r.u for r in df.select("id", sel.uniform(F.col("id"), "split42").alias("u")).collect()}
+    split = sel.stratified_split(df, "k", literal_classes=1, bucket_rows=bucket_rows)
+    assert split.columns == [*df.columns, "split"]
+    got = split.collect()
+    assert len(got) == len(rows)
+    assert {r.id for r in got if r.split == "test"} == stratified_by_hand(rows, 42, draws)
+
+
+def test_the_two_ways_of_splitting_agree(spark):
+    df = spark.range(4000).select("id", (F.col("id") * F.col("id") % 17).alias("k"))
+    by_predicate = sel.with_split(df, sel.stratified_test(df, "k"))
+    by_table = sel.stratified_split(df, "k", literal_classes=0)
+    assert by_predicate.exceptAll(by_table).count() == 0 and by_table.count() == 4000
