@@ -36,8 +36,14 @@ END, BEGIN = xxhash.xxh3_64_intdigest(b" </s>"), xxhash.xxh3_64_intdigest(b" <s>
 # Distinct words, and tokens, that a task gathers before it sends them on.
 FLUSH_WORDS, FLUSH_TOKENS = 500_000, 4_000_000
 
+# Bytes of training text per part, at most on average: what a reducing task holds does not grow with the input.
+PART_BYTES = 128 << 20
+
 U = np.uint64
 
+# An id takes half of a bigram's key, and the greatest one stands for unknown words.
+MOST_WORDS = (1 << 32) - 1
+
 travels(__name__)
 
 
@@ -116,6 +122,12 @@ def _tokens(docs: DataFrame, id_column: str, text_column: str, *more: Column) ->
     return docs.select(*more, F.coalesce(F.col(text_column), F.lit("")).cast("binary").alias("text"))
 
 
+def parts_for(train: DataFrame) -> int:
+    """Parts for the texts of a training table."""
+    size = train.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(int(train.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
+
+
 # ---- words
 
 
@@ -211,6 +223,8 @@ def vocabulary(train: DataFrame, folder: str, parts: int) -> Vocabulary:
             large += [at + x["at"] for x in files[p].large if x["n"] * 2 * parts > tokens]
             at += files[p].size
     first[parts] = at
+    if at > MOST_WORDS:
+        raise OverflowError(f"{at} distinct words, but ids are for {MOST_WORDS}")
     types = sum(r.types for r in files.values())
     return Vocabulary(parts, {p: r.path for p, r in files.items()}, first, tokens, types, np.array(sorted(large), dtype=U))
 
@@ -483,14 +497,15 @@ def score_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str
     token, the end. Repeated rows are counted and scored as often as they occur. With no training
     text at all both scores are 0. Other columns are ignored; an empty table gives no rows.
 
-    ``parts`` is the number of files per array, ``spark.sql.shuffle.partitions`` by default; the
-    memory of a reducing task is that of the distinct bigrams of one part.
+    ``parts`` is the number of files per array: by default ``spark.sql.shuffle.partitions``, or as many
+    as leave ``PART_BYTES`` of training text to each if that is more. The memory of a reducing task is
+    that of the distinct bigrams of one part. More than ``MOST_WORDS`` distinct words are an error.
     """
     spark = docs.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     folder = local_path(scratch_path(spark, "bigram-model"))
     out = held_out(F.col(id_column))
     train = _tokens(docs.where(~out), id_column, text_column)
+    parts = parts or parts_for(train)
     model = fit(train, folder, parts)
     rows = _tokens(docs, id_column, text_column, F.col(id_column).cast("long").alias("doc_id"), out.alias("held_out"))
     return rows.mapInArrow(_score(model), SCORES)

@@ -84,3 +84,22 @@ def test_no_training_text(spark):
 
 def test_empty_table(spark):
     assert L.score_documents(empty(spark)).count() == 0
+
+
+def test_parts_follow_the_text_and_ids_do_not_overflow(spark, monkeypatch):
+    rows = [(i, f"word{i} and word{i % 7} again", "en", "a") for i in range(200)]
+    docs = documents(spark, rows)
+    want = sorted(tuple(r) for r in L.score_documents(docs, parts=3).collect())
+    train = L._tokens(docs, "doc_id", "text")
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert L.parts_for(train) == partitions and L.parts_for(train.limit(0)) == partitions
+    monkeypatch.setattr(L, "PART_BYTES", 100)
+    size = sum(len(r[1]) for r in rows)
+    assert L.parts_for(train) == -(-size // 100) > partitions
+    got = sorted(tuple(r) for r in L.score_documents(docs).collect())
+    assert [g[:5] for g in got] == [w[:5] for w in want]
+    for g, w in zip(got, want):
+        assert g[5:] == pytest.approx(w[5:], rel=1e-9)
+    monkeypatch.setattr(L, "MOST_WORDS", 50)
+    with pytest.raises(OverflowError):
+        L.score_documents(docs)
