@@ -22,7 +22,8 @@ from plumbline.functions.grids import (
 )
 from plumbline.functions.scalars import absolute_error, count_reached, null_group, predicted, safe_ratio, zero_ratio
 from plumbline.operators.curves import areas, ranking_curves, with_running_totals
-from plumbline.operators.lookup import attach, large_groups
+from plumbline.operators.lookup import attach, large_groups, window_limit
+from plumbline.session import stage
 
 METRIC_COLUMNS = [
     "rows",
@@ -52,18 +53,6 @@ METRIC_COLUMNS = [
 QUALITY_METRICS = ["precision", "recall", "f1", "pr_auc", "brier_score", "ece", "roc_auc"]
 
 
-def subgroup_rows(scored: DataFrame, features: Sequence[str], keep: Sequence[str]) -> DataFrame:
-    """One row per record and group column: ``subgroup_feature``, ``subgroup_value``.
-
-    Group columns the table lacks are skipped; NULL is a group of its own.
-    """
-    features = [f for f in features if f in scored.columns]
-    wide = scored.select(*keep, *[null_group(F.col(f)).alias(f"_g_{f}") for f in features])
-    named = F.array(*[F.struct(F.lit(f).alias("f"), F.col(f"_g_{f}").alias("v")) for f in features])
-    long = wide.select(*keep, F.inline(named).alias("subgroup_feature", "subgroup_value"))
-    return long
-
-
 def score_counts(scored: DataFrame, keys: Sequence[str], y: str = "y_true", p: str = "y_prob") -> DataFrame:
     """Positives and negatives per (keys, score). A score that many rows share becomes one row."""
     label = F.col(y)
@@ -72,6 +61,24 @@ def score_counts(scored: DataFrame, keys: Sequence[str], y: str = "y_true", p: s
     )
 
 
+def subgroup_counts(
+    scored: DataFrame, features: Sequence[str], runs: Sequence[str], y: str = "y_true", p: str = "y_prob"
+) -> DataFrame:
+    """The ``score_counts`` of every value of every group column, for all runs.
+
+    One row per run, group column (``subgroup_feature``), value (``subgroup_value``) and score. Group
+    columns the table lacks are skipped; NULL is a group of its own. Rows are counted once per cell of all group columns and score. The cells, not the rows, are then
+    spread to single columns, as their counts add up.
+    """
+    features = [f for f in features if f in scored.columns]
+    cells = scored.groupBy(*runs, *[null_group(F.col(f)).alias(f"_g_{f}") for f in features], F.col(p).alias("_score"))
+    cells = cells.agg(F.count_if(F.col(y) == 1).alias("_pos"), F.count_if(F.col(y) == 0).alias("_neg"))
+    named = F.array(*[F.struct(F.lit(f).alias("f"), F.col(f"_g_{f}").alias("v")) for f in features])
+    long = cells.select(*runs, "_score", "_pos", "_neg", F.inline(named).alias("subgroup_feature", "subgroup_value"))
+    keys = [*runs, "subgroup_feature", "subgroup_value", "_score"]
+    return long.groupBy(*keys).agg(F.sum("_pos").alias("_pos"), F.sum("_neg").alias("_neg"))
+
+
 def confusion_ratios(tp: Column, tn: Column, fp: Column, fn: Column) -> dict[str, Column]:
     """Every ratio of the four confusion counts.
 
@@ -168,8 +175,27 @@ def evaluate(
     Groups of up to ``window_rows`` rows take one pass: one shuffle of the counts by (key,
     score), one by key. Larger groups get their areas from running totals over score slices.
     """
-    keys = list(keys)
     counts = score_counts(scored, keys, y, p)
+    return evaluate_counts(counts, scored, keys, threshold, edges, bins, min_rows, curves, one_class_ap, window_rows)
+
+
+def evaluate_counts(
+    counts: DataFrame,
+    source: DataFrame,
+    keys: Sequence[str],
+    threshold: Column | float = TUNED_THRESHOLD,
+    edges: str = "closed0",
+    bins: int = 10,
+    min_rows: int = 0,
+    curves: bool = True,
+    one_class_ap: float | None = 0.0,
+    window_rows: int | None = None,
+) -> DataFrame:
+    """``evaluate`` for counts per (key, score) of a table ``source``.
+
+    No group has more rows than ``source``, so a short one needs no look at the groups.
+    """
+    keys = list(keys)
     guess = predicted(F.col("_score"), threshold)
     names = [m for m in METRIC_COLUMNS if curves or m not in ("pr_auc", "roc_auc")]
 
@@ -186,7 +212,11 @@ def evaluate(
         pair = ranked.select(F.struct("pr_auc", "roc_auc").alias("c")).scalar()
         return sums.withColumn("_c", pair).select("*", "_c.pr_auc", "_c.roc_auc").drop("_c")
 
-    large = large_groups(scored, keys, window_rows) if curves else None
+    large = None
+    if curves and source.count() > window_limit(source, window_rows):
+        # The counts are read several times from here on. A window holds them, not the rows.
+        counts = stage(counts, "score-counts")
+        large = large_groups(counts, keys, window_rows)
     if large is None:
         sums = one_pass(counts)
     elif not keys:
@@ -216,9 +246,8 @@ def subgroup_metrics(
 ) -> DataFrame:
     """Metrics of every value of every group column, for all runs in one plan."""
     keys = [*runs, "subgroup_feature", "subgroup_value"]
-    y, p = options.get("y", "y_true"), options.get("p", "y_prob")
-    long = subgroup_rows(scored, features, [*runs, y, p])
-    return evaluate(long, keys, threshold=threshold, min_rows=min_rows, **options)
+    counts = subgroup_counts(scored, features, runs, options.pop("y", "y_true"), options.pop("p", "y_prob"))
+    return evaluate_counts(counts, scored, keys, threshold=threshold, min_rows=min_rows, **options)
 
 
 def expected_calibration_error(

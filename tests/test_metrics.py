@@ -166,3 +166,50 @@ def test_latest_kpi_is_the_one_written_last(spark):
     assert [(r.metric, r.latest_value) for r in kpi.kpi_snapshot(long).collect()] == [("f1", 0.5356)]
     with pytest.raises(ValueError):
         kpi.kpi_long([kpi.ReportTable("data_cleaning_metrics", table, ["scenario"])])
+
+
+def grouped_rows(n=900):
+    rnd = random.Random(11)
+    for i in range(n):
+        yield (
+            "m1" if i % 2 else "m2",
+            rnd.choice(["a", "a", "a", "b", None]),
+            rnd.randrange(4),
+            rnd.choice([0, 1, 1]),
+            rnd.choice([0.25, 0.5, 0.75, None]) if i % 9 else rnd.random(),
+        )
+
+
+GROUPED = "model string, g string, h int, y_true int, y_prob double"
+
+
+@pytest.mark.parametrize("window_rows", [None, 0, 100])
+def test_subgroups_equal_one_column_at_a_time(spark, window_rows):
+    df = spark.createDataFrame([r for r in grouped_rows() if r[4] is not None], GROUPED)
+    got = metrics.subgroup_metrics(df, ["g", "h", "absent"], min_rows=0, window_rows=window_rows)
+    rows = {(r.model, r.subgroup_feature, r.subgroup_value): r for r in got.collect()}
+    seen = 0
+    for feature in ("g", "h"):
+        value = F.coalesce(F.col(feature).cast("string"), F.lit("__NULL__")).alias("v")
+        alone = metrics.evaluate(df.select("model", value, "y_true", "y_prob"), ["model", "v"], 0.5)
+        for r in alone.collect():
+            same = rows[(r.model, feature, r.v)]
+            seen += 1
+            for name in metrics.METRIC_COLUMNS:
+                assert same[name] == pytest.approx(r[name], rel=1e-9, abs=1e-12), (feature, r.v, name)
+    assert seen == len(rows)
+
+
+def test_cells_are_spread_and_not_rows(spark):
+    """The counts of a coarse table are few before they are spread; sums and nulls are kept."""
+    df = spark.createDataFrame([r for r in grouped_rows(3000) if r[4] in (0.25, 0.5, 0.75)], GROUPED)
+    counts = metrics.subgroup_counts(df, ["g", "h"], ["model"])
+    for feature in ("g", "h"):
+        part = counts.where(F.col("subgroup_feature") == feature).agg(F.sum("_pos"), F.sum("_neg")).first()
+        assert tuple(part) == tuple(df.agg(F.sum("y_true"), F.sum(1 - F.col("y_true"))).first())
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Generate") :]
+    assert "Aggregate" in below and plan.count("Aggregate") == 2
+    cells = df.select("model", "g", "h", "y_prob").distinct().count()
+    assert cells <= 2 * 3 * 4 * 3 < df.count() / 7
+    assert metrics.subgroup_counts(df.limit(0), ["g", "h"], ["model"]).count() == 0
