@@ -31,6 +31,7 @@ FAIRNESS_GROUPS = ["project_key", "issuetype", "priority", "status", "has_descri
 FAIRNESS_ROWS, BIAS_ROWS, SUBGROUP_ROWS = 10, 20, 30
 SEEDS = list(range(42, 52))
 FREE_TEXT = ["summary", "description"]
+LONG_TEXT = ["description"]
 # Names of reported metrics.
 EVALUATED = ["rows", "positive_rate_true", "positive_rate_predicted", *QUALITY_METRICS]
 SHORT = {"false_positive_rate": "fpr", "false_negative_rate": "fnr"}
@@ -119,6 +120,16 @@ def narrow(df: DataFrame) -> DataFrame:
     return df.drop(*FREE_TEXT)
 
 
+def with_texts(df: DataFrame, source: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The rows with the texts of ``source`` in columns that hold their digests. Each text is moved once per task."""
+    found = df
+    for c in columns:
+        texts = source.select(F.md5(c).alias("_digest"), F.col(c).alias("_text")).where(F.col("_text").isNotNull())
+        found = found.withColumnRenamed(c, "_digest").join(texts.dropDuplicates(["_digest"]), "_digest", "left")
+        found = found.withColumnRenamed("_text", c).drop("_digest")
+    return found.select(*df.columns)
+
+
 def split_labelled(df: DataFrame, test_size: float = 0.2, seed: int = 42) -> DataFrame:
     """The labelled rows with their side of a stratified split, written by side.
 
@@ -262,10 +273,15 @@ def degradation_experiment(
 
 
 def cleaning_experiment(df: DataFrame, scorer: Scorer) -> Reports:
-    """Data quality and model quality before and after cleaning."""
+    """Data quality and model quality before and after cleaning.
+
+    The cleaning steps move rows with digests in place of their descriptions, which no step looks into.
+    """
     columns = df.columns
-    after = stage(profile.clean(df, CATEGORICAL_FEATURES, NUMERIC_FEATURES), "cleaned")
-    names = {"prepared_original": df, "cleaned_rules": after}
+    long = [c for c in LONG_TEXT if dict(df.dtypes).get(c) == "string"]
+    before = stage(df.withColumns({c: F.md5(c) for c in long}), "original") if long else df
+    after = stage(profile.clean(before, CATEGORICAL_FEATURES, NUMERIC_FEATURES), "cleaned")
+    names = {"prepared_original": before, "cleaned_rules": after}
     snapshots = [profile.quality_snapshot(t.select(*columns), n) for n, t in names.items()]
     scored = score_all(df, [partial(lambda n, t: scorer(*halves(split_labelled(t)), n, "scenario"), n, t) for n, t in names.items()])
     shown = [*QUALITY_METRICS[:3], "balanced_accuracy", *QUALITY_METRICS[3:]]
@@ -273,9 +289,9 @@ def cleaning_experiment(df: DataFrame, scorer: Scorer) -> Reports:
     found = stage(found.select("scenario", "rows", "positive_rate_true", "positive_rate_predicted", *shown), "cleaning")
     compared = gaps.deltas_to_run(found, F.col("scenario") == "prepared_original", shown, "delta_{}_vs_original")
     return {
-        "cleaned": after,
+        "cleaned": with_texts(after, df, long),
         "data_cleaning_quality_comparison": union_all(snapshots),
-        "data_cleaning_actions": profile.cleaning_actions(df, after),
+        "data_cleaning_actions": profile.cleaning_actions(before, after),
         "data_cleaning_metrics": compared.withColumn("threshold", F.lit(TUNED_THRESHOLD)),
     }
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from test_oracle import SMALL
 
 from plumbline.plans import jobs, queries_tables, views
+from plumbline.plans.queries_jobs import learned_scorer
 
 
 def plan(df):
@@ -30,3 +31,13 @@ def test_descriptions_come_back(spark, tmp_path):
     shown = [*wanted.columns, F.coalesce(F.length("description"), F.lit(0)).alias("description_length")]
     assert Counter(found.select(*wanted.columns, "description_length").collect()) == Counter(wanted.select(*shown).collect())
     assert {r.description for r in found.collect()} == {None, "", "a", "b", "c"}
+
+
+def test_cleaning_moves_no_descriptions(spark, tmp_path):
+    df = queries_tables.noisy(spark, SMALL)
+    done = jobs.cleaning_experiment(df, learned_scorer())["cleaned"]
+    assert done.columns == df.columns
+    texts = df.groupBy("key").agg(F.first("description").alias("text"))
+    assert done.join(texts, "key").where(~F.col("description").eqNullSafe(F.col("text"))).count() == 0
+    assert done.where("length(description) > 100").count() > 0
+    assert "text#" not in plan(done.select("id", "late_resolution"))
