@@ -143,3 +143,25 @@ def test_side_by_side_keeps_order_and_errors(spark):
     assert side_by_side(spark, calls) == list(range(6))
     with pytest.raises(ZeroDivisionError):
         side_by_side(spark, [*calls, lambda: 1 // 0])
+
+
+def test_a_forest_stays_out_of_the_driver(spark, table, monkeypatch):
+    """No broadcast and no collected nodes: scoring gives what the nodes say, a file of trees at a time."""
+    spec = forest.Forest(2 * forest.TREES_AT_ONCE + 3, 5, 2, 6)
+    model = spec.fit(table)
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", None)
+    monkeypatch.setattr(type(table), "toArrow", None)
+    got = {r.id: r.y_prob for r in model.transform(table).collect()}
+    assert len(model._files) == 3 and model.transform(table.where("id < 0")).count() == 0
+    rows, x, _, _ = held(table)
+    trees = {}
+    for n in model.nodes.collect():
+        trees.setdefault(n.tree, {})[n.node] = n
+    for row, values in zip(rows[:50], x):
+        leaves = []
+        for _, nodes in sorted(trees.items()):
+            n = nodes[0]
+            while n.feature >= 0:
+                n = nodes[n.left_node if float(values[n.feature]) <= n.threshold else n.right_node]
+            leaves.append(n.probability)
+        assert got[row.id] == np.mean(leaves)
