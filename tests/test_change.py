@@ -197,3 +197,20 @@ def test_experiments_follow_their_training_rows(spark):
     assert len({v for k, v in weighted.items() if not k.startswith("global_")}) >= 4
     assert any(v for v in values("E10_retraining", "retraining_metrics", "delta_vs_static_brier_score").values())
     assert values("E07_degradation_experiment", "degradation_experiments", "delta_brier_score")
+
+
+def test_worlds_fold_before_the_shuffle(spark):
+    """Counting by bits gives the distinct worlds, of repeated and missing numbers too, and shuffles once."""
+    rows = [(i % 7 or None, (i * i) % 9 if i % 5 else None, (i % 13) / 13) for i in range(400)] + [(8, None, 0.5), (9, 8, None)]
+    df = spark.createDataFrame(rows, "id long, world_id int, predicted_probability double").repartition(3)
+    plain, folded = perturb.world_spread(df), perturb.world_spread(df, most_worlds=8)
+    assert plain.schema["worlds"].dataType == folded.schema["worlds"].dataType
+    by_id = [{r.id: (r.worlds, r.min_probability, r.max_probability) for r in t.collect()} for t in (plain, folded)]
+    assert by_id[0] == by_id[1] and by_id[1][8][0] == 0 and by_id[1][9][0] == 1
+    steps = [t._jdf.queryExecution().sparkPlan().toString().count("HashAggregate") for t in (plain, folded)]
+    assert steps == [4, 2]
+    with pytest.raises(Exception, match="world beyond the stated number: 8"):
+        perturb.world_spread(df, most_worlds=7).collect()
+    assert perturb.world_spread(df.withColumn("world_id", F.col("world_id") + 100), most_worlds=200).agg(F.max("worlds")).first()[0] == max(
+        n for n, *_ in by_id[0].values()
+    )
