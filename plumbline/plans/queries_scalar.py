@@ -89,7 +89,7 @@ from raw_issues"""
 @query("S01_nested_document_scan", sql("raw_issues", FLATTENED))
 def _(spark, sf_dir):
     path = scratch_path(spark, "documents-json")
-    nested_documents(spark, sf_dir).write.json(path)
+    nested_documents(spark, sf_dir).write.json(path, compression="gzip")
     return flattened(prepare.flatten_documents(read_nested(spark, path)))
 
 
@@ -106,7 +106,7 @@ ISSUE_CSV = """id bigint, key string, created timestamp_ntz, resolutiondate time
     ),
 )
 def _(spark, sf_dir):
-    path = write_report(raw_issues(spark, sf_dir), scratch_path(spark, "issues-csv"), "csv")
+    path = write_report(raw_issues(spark, sf_dir), scratch_path(spark, "issues-csv"), "csv", compression="gzip")
     return flattened(read_csv(spark, path, ISSUE_CSV))
 
 
