@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import in_slices, slices, small_side, travels
+from plumbline.llm.common import give_back, in_slices, slices, small_side, travels
 from plumbline.session import stage
 
 LANGUAGES = ("de", "en", "es", "fr")
@@ -35,6 +35,8 @@ SUFFIX_LANGUAGE = {
 # Distinct labelled texts per language that the text models are fitted on, about.
 SAMPLE_ROWS = 2_000
 BUCKETS = 1 << 16
+# Bytes of text that are scored at a time; the arrays for them take some thirty times as much.
+SCORED_BYTES = 256 << 10
 TEMPER = 0.2
 DECLARED_RIGHT, SUFFIX_RIGHT = 0.9, 0.8
 HOST_WEIGHT = 5.0
@@ -198,7 +200,8 @@ def _identified(
 
     def posterior(texts: pa.Array, *logs: pa.Array) -> pa.Array:
         prior = np.stack([x.to_numpy(zero_copy_only=False) for x in logs])
-        parts = [scored(texts.slice(a, b - a), prior[:, a:b]) for a, b in slices(texts)]
+        give_back()
+        parts = [scored(texts.slice(a, b - a), prior[:, a:b]) for a, b in slices(texts, SCORED_BYTES)]
         best = np.concatenate([np.zeros(0, dtype=np.int64), *[p[0] for p in parts]])
         top = np.concatenate([np.zeros(0), *[p[1] for p in parts]])
         names = [*languages, "und"]

@@ -1,4 +1,5 @@
 import math
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -170,3 +171,14 @@ def test_copies_do_not_fill_the_sample(spark):
     fit = lambda n: L.fit_texts(table(n).select(F.col("lang").alias("label"), "text"), sample_rows=100)
     alone, many = fit(0), fit(5000)
     assert np.array_equal(fit(5000), fit(8190)) and np.abs(alone - many).max() < 1.5
+
+
+def test_scoring_takes_little_memory_at_a_time():
+    """The arrays made of one slice of texts."""
+    texts = pa.array(["Wort und Satz " * 180] * 2000).cast(pa.binary())
+    begin, end = next(L.slices(texts, L.SCORED_BYTES))
+    tracemalloc.start()
+    L.trigram_buckets(texts.slice(begin, end - begin))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10 << 20
