@@ -1,6 +1,7 @@
 """Forests against a plain search over all splits, and real fits of every kind of model on a small table."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
@@ -165,3 +166,37 @@ def test_a_forest_stays_out_of_the_driver(spark, table, monkeypatch):
                 n = nodes[n.left_node if float(values[n.feature]) <= n.threshold else n.right_node]
             leaves.append(n.probability)
         assert got[row.id] == np.mean(leaves)
+
+
+def test_sorting_numbers_keeps_equal_keys_in_order():
+    draw = np.random.default_rng(3)
+    keys = draw.integers(0, 50, 2000)
+    for limit in (50, 1 << 61):  # the second has no room for places beside the keys
+        got, order = forest._in_order(keys, limit)
+        assert np.array_equal(order, np.argsort(keys, kind="stable")) and np.array_equal(got, keys[order])
+
+
+def test_packed_trees_are_read_without_copies_and_lead_to_the_same_leaves(tmp_path):
+    draw = np.random.default_rng(4)
+    x = np.round(draw.random((900, 5)), 3).astype(np.float32)
+    y = (x[:, 0] + draw.random(900) > 1).astype(float)
+    codes, values = forest._ranked(x)
+    assert codes.dtype == np.uint16
+    columns = [np.concatenate(c) for c in zip(*(forest.grow(x, codes, values, y, np.ones(900), forest.Forest(), t) for t in range(3)))]
+    names = [f.split()[0] for f in forest.NODES.split(", ")]
+    group = pa.table({n: pa.array(c, k, from_pandas=True) for n, c, k in zip(names, columns, forest._KINDS)})
+    packed = forest._pack(str(tmp_path))((pa.scalar(0),), group)
+    nodes = forest._read_trees(packed.column("path")[0].as_py())
+    assert all(column.flags.c_contiguous and not column.flags.owndata for column in nodes.values())
+    # Values at the thresholds, and the single-precision numbers beside them.
+    limits = np.array([v for v in columns[3] if v == v], dtype=np.float32)
+    asked = np.concatenate([x, *(np.tile(v[:, None], 5) for v in (limits, np.nextafter(limits, np.float32(2)), np.nextafter(limits, np.float32(-2))))])
+    got = forest._reached(nodes, asked)
+    trees = [{n: i for i, n in enumerate(columns[1]) if columns[0][i] == t} for t in range(3)]
+    own = [{n: [c[i] for c in columns] for n, i in at.items()} for at in trees]
+    for row, found in zip(asked[::7], got[::7]):
+        for tree, probability in zip(own, found):
+            node = tree[0]
+            while node[2] >= 0:
+                node = tree[node[4] if float(row[int(node[2])]) <= node[3] else node[5]]
+            assert probability == node[6]
