@@ -75,6 +75,9 @@ def in_slices(batches: Iterable[pa.RecordBatch], limit: int = SLICE_BYTES, colum
     for batch in batches:
         for begin, end in slices(batch.column(column), limit):
             yield batch.slice(begin, end - begin)
+    # A worker that waits for its next task keeps no more than it needs.
+    batch = None
+    give_back()
 
 
 travels(__name__)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import travels
+from plumbline.llm.common import give_back, in_slices, travels
 from plumbline.session import stage
 
 MIN_CHARS = 40
@@ -34,7 +34,7 @@ def _hashed(min_chars: int):
     schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("pos", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             digests, rows, positions = [], [], []
             for row, text in enumerate(batch.column("text")):
                 # On bytes, lower() and strip() know A-Z and the six ASCII spaces only.
@@ -72,6 +72,7 @@ def _streamed(min_docs: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, first_run, runs, docs, top, last, waiting = None, True, 0, 0, None, None, []
         out: list[tuple] = []
+        give_back()
 
         def flush() -> pa.RecordBatch:
             columns = list(zip(*out)) if out else [()] * len(names)
@@ -159,7 +160,7 @@ def keep_bitmaps(
 
 def _applied(with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             n_lines, n_dropped, results = [], [], []
             for text, keep in zip(batch.column("text"), batch.column("keep")):
                 lines = text.as_py().split(b"\n")

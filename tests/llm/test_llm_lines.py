@@ -2,10 +2,11 @@ import random
 from collections import defaultdict
 from hashlib import sha256
 
+import pyarrow as pa
 import pytest
 from llm_cases import EDGES, documents, empty
 
-from plumbline.llm import lines
+from plumbline.llm import common, lines
 
 WS = " \t\n\x0b\f\r"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -70,3 +71,16 @@ def test_exactly_at_the_limits(spark):
 def test_empty_table(spark):
     docs = empty(spark)
     assert lines.digests(docs, lines.keep_bitmaps(docs)).count() == 0
+
+
+def test_lines_are_taken_in_slices_and_memory_is_returned(monkeypatch):
+    """A batch of long texts is no single array of results, and each pass returns what was freed, also at its end."""
+    calls = []
+    monkeypatch.setattr(common, "give_back", lambda: calls.append(1))
+    texts = [(f"{i} " + "x" * 60 + "\n").encode() * 20_000 for i in range(4)]
+    batch = pa.record_batch({"doc_id": pa.array(range(4), pa.int64()), "text_key": pa.array(range(4), pa.int64()), "text": pa.array(texts, pa.binary())})
+    out = list(lines._hashed(40)(iter([batch])))
+    assert len(out) == 4 and [len(b) for b in out] == [20_000] * 4 and len(calls) == 2
+    packed = pa.record_batch({"text": pa.array(texts, pa.binary()), "keep": pa.array([None] * 4, pa.binary())})
+    out = list(lines._applied(with_text=True)(iter([packed])))
+    assert [b.column("result")[0].as_py() for b in out] == texts and len(calls) == 4
