@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import in_slices, small_side, travels
+from plumbline.llm.common import give_back, in_slices, is_small, travels
 from plumbline.llm.words import ByteLevelWords, spread
 from plumbline.session import stage
 
@@ -86,44 +86,51 @@ def _pieces(tokenizer_json: str, capacity: int, end_id: int, full: bool):
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64()]
     names = [f.split()[0] for f in PIECES.split(", ")]
 
+    def packed(words: ByteLevelWords, batch: pa.RecordBatch, part: int, seen: np.ndarray) -> pa.RecordBatch:
+        ids, sizes = words.encode(batch.column("text"))
+        totals = sizes + 1
+        ends = np.cumsum(totals)
+        flat = np.full(int(totals.sum()), end_id, dtype="<u4")
+        flat[spread(ends - totals, sizes)] = ids
+        # Pieces of each document; all but the first are whole sequences.
+        n = -(-totals // capacity)
+        doc = np.repeat(np.arange(len(n)), n)
+        piece = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+        first = (totals - (n - 1) * capacity)[doc]
+        start = np.where(piece == 0, 0, first + (piece - 1) * capacity)
+        length = np.where(piece == 0, first, capacity)
+        begin = (ends - totals)[doc] + start
+        data = memoryview(flat).cast("B")
+        cut = [data[4 * a : 4 * b] for a, b in zip(begin.tolist(), (begin + length).tolist())]
+        # Running numbers of the pieces of each length in this task.
+        order = np.argsort(length, kind="stable")
+        counts = np.bincount(length, minlength=capacity + 1)
+        place = np.empty(len(length), dtype=np.int64)
+        place[order] = spread(seen[counts > 0], counts[counts > 0])
+        seen += counts
+        columns = [
+            batch.column("doc_id").take(pa.array(doc)),
+            piece,
+            start,
+            length,
+            [zlib.crc32(c) for c in cut],
+            [bytes(c) for c in cut] if full else pa.nulls(len(cut), pa.binary()),
+            np.full(len(cut), part),
+            place,
+        ]
+        return pa.RecordBatch.from_arrays(
+            [c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds)], names=names
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = ByteLevelWords(tokenizer_json, leading=False, plain_specials=False)
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
+        batch = None
         for batch in in_slices(batches):
-            ids, sizes = words.encode(batch.column("text"))
-            totals = sizes + 1
-            ends = np.cumsum(totals)
-            flat = np.full(int(totals.sum()), end_id, dtype="<u4")
-            flat[spread(ends - totals, sizes)] = ids
-            # Pieces of each document; all but the first are whole sequences.
-            n = -(-totals // capacity)
-            doc = np.repeat(np.arange(len(n)), n)
-            piece = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
-            first = (totals - (n - 1) * capacity)[doc]
-            start = np.where(piece == 0, 0, first + (piece - 1) * capacity)
-            length = np.where(piece == 0, first, capacity)
-            begin = (ends - totals)[doc] + start
-            data = memoryview(flat).cast("B")
-            cut = [data[4 * a : 4 * b] for a, b in zip(begin.tolist(), (begin + length).tolist())]
-            # Running numbers of the pieces of each length in this task.
-            order = np.argsort(length, kind="stable")
-            counts = np.bincount(length, minlength=capacity + 1)
-            place = np.empty(len(length), dtype=np.int64)
-            place[order] = spread(seen[counts > 0], counts[counts > 0])
-            seen += counts
-            columns = [
-                batch.column("doc_id").take(pa.array(doc)),
-                piece,
-                start,
-                length,
-                [zlib.crc32(c) for c in cut],
-                [bytes(c) for c in cut] if full else pa.nulls(len(cut), pa.binary()),
-                np.full(len(cut), part),
-                place,
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds)], names=names
-            )
+            yield packed(words, batch, part, seen)
+        # Nor does a worker that waits keep the vocabulary and the words of its last task.
+        del words, batch
+        give_back()
 
     return run
 
@@ -153,8 +160,10 @@ def pack_documents(
     held = stage(pieces.groupBy("length", "part").agg(F.count("*").alias("n")), "packing-counts")
     histogram = {r["length"]: r["n"] for r in held.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    before = stage(held.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n"), "packing-ranks")
-    ranked = pieces.join(small_side(before, F.lit(64)), ["length", "part"]).withColumn("rank", F.col("before") + F.col("place"))
+    before = held.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
+    # As many rows as there are counts.
+    before = F.broadcast(before) if is_small(held, F.lit(64)) else before
+    ranked = pieces.join(before, ["length", "part"]).withColumn("rank", F.col("before") + F.col("place"))
 
     # The plan's size is bounded by the capacity.
     slots = docs.sparkSession.createDataFrame(plan(histogram, capacity), PLAN)

@@ -1,11 +1,14 @@
 """Packing against the tokenizers library on whole texts and against best fit, piece by piece."""
 
 import random
+import weakref
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_cases import EDGES, LONG, documents, empty
 from tokenizers import Tokenizer
@@ -106,6 +109,31 @@ def test_empty_table(spark, vocabulary):
     assert packing.pack_documents(empty(spark), vocabulary).count() == 0
 
 
+def test_a_worker_that_waits_keeps_no_vocabulary(monkeypatch, vocabulary):
+    made, held = [], []
+
+    class Watched(packing.ByteLevelWords):
+        def __init__(self, *args, **options):
+            super().__init__(*args, **options)
+            made.append(weakref.ref(self))
+
+    monkeypatch.setattr(packing, "ByteLevelWords", Watched)
+    monkeypatch.setattr(packing, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    monkeypatch.setattr(packing, "give_back", lambda: held.append(made[0]()), raising=False)
+    batch = pa.record_batch({"doc_id": pa.array([1, 2]), "text": pa.array(["one text", "and one more"])})
+    run = packing._pieces(vocabulary, 1024, packing.END_ID, False)(iter([batch]))
+    assert sum(b.num_rows for b in run) == 2
+    assert held == [None]
+
+
+def test_ranks_are_not_written(spark, vocabulary, monkeypatch):
+    names, stage = [], packing.stage
+    monkeypatch.setattr(packing, "stage", lambda df, name: names.append(name) or stage(df, name))
+    got = packing.pack_documents(documents(spark, ROWS), vocabulary).collect()
+    check(got, whole(vocabulary, ROWS), 1024)
+    assert names == ["packing-pieces", "packing-counts"]
+
+
 def test_query(spark, vocabulary):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     got = queries.QUERIES["op11_packing"](spark, "/root/testdata/sf0.001").collect()
