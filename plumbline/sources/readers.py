@@ -5,13 +5,21 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.session import stage
+from plumbline.sources import digest
+
 FIELD_SEPARATOR = "\x1f"
 NULL_FIELD = "\\N"
 
+# A file above this size is hashed slice by slice, a smaller one by one task that holds it.
+WHOLE_FILE_BYTES = 128 << 20
+# Names of files that the line reader would decompress; they are hashed whole.
+COMPRESSED = r"(?i)\.(gz|bz2|deflate|lz4|snappy|zst)$"
+
 NESTED_SCHEMA = """
     _id string, key string,
     fields struct<
@@ -61,14 +69,34 @@ def table_if_exists(spark: SparkSession, name: str) -> DataFrame | None:
 
 
 def file_inventory(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Path, size, time of change and SHA-256 of every file below a folder."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True)
-    return files.load(path).select(
+    """Path, size, time of change and SHA-256 of every file below a folder.
+
+    A task reads a file of up to ``WHOLE_FILE_BYTES``, or a slice of a larger one. Where no state of the hash can be
+    kept (see ``digest``), and for names that ``COMPRESSED`` lists, it reads the file whole, up to 2 GiB.
+    """
+
+    def load(source: str, **options: str) -> DataFrame:
+        reader = spark.read.format(source).options(pathGlobFilter=pattern, recursiveFileLookup=True, **options)
+        return reader.load(path)
+
+    size, name = F.col("_metadata.file_size"), F.col("_metadata.file_name")
+    sliced = (size > WHOLE_FILE_BYTES) & ~name.rlike(COMPRESSED)
+    listing = [
         F.col("path"),
         F.col("length").alias("size_bytes"),
         F.date_format("modificationTime", "yyyy-MM-dd'T'HH:mm:ssXXX").alias("modified_utc"),
-        F.sha2("content", 256).alias("sha256"),
-    )
+    ]
+    hashed = [*listing, F.sha2("content", 256).alias("sha256")]
+    files = load("binaryFile")
+    file = F.col("_metadata.file_path").alias("file")
+    large = files.filter(sliced).select(file, *listing)
+    if large.isEmpty() or not digest.resumable():
+        return files.select(*hashed)
+    numbered = stage(large.withColumn("number", F.row_number().over(Window.orderBy("file"))), "large_files")
+    lines = load("text", lineSep="\n").filter(sliced)
+    lines = lines.select(file, F.col("_metadata.file_block_start").alias("block"), "value")
+    digests = digest.digests(numbered, lines).select("path", "size_bytes", "modified_utc", "sha256")
+    return files.filter(~sliced).select(*hashed).unionByName(digests)
 
 
 def fingerprint(df: DataFrame, columns: Sequence[str] | None = None, by: Sequence[str] = ()) -> DataFrame:
